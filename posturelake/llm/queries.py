@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import linededup
 from .common import documents
 from .linededup import line_report
+from .mixing import mix
+from .packing import pack_documents
 from .quality import quality
 from .simhash import simhash_groups
 
@@ -21,9 +23,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op3_quality, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_simhash, op3_quality, op4_packing, op5_mixing, op9_line_dedup)}
 ORACLES: dict[str, str] = {"op9_line_dedup": linededup.ORACLE}
