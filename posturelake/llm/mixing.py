@@ -21,6 +21,7 @@ from .common import count_words
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK = 4096
+CHANGES = 8
 _NEAR = 1e-9
 
 
@@ -76,13 +77,21 @@ def flight(sizes: list[float], open_: list[float]) -> list[float]:
 
 
 def land(sizes: list[float], p: list[float]) -> list[float]:
-    """Rounds the few fractional probabilities so that the sizes taken come nearest to what was expected."""
+    """Rounds the few fractional probabilities so that the sizes taken come nearest to what was expected, then changes up to CHANGES units of the last block while that brings them nearer."""
     left = [i for i, x in enumerate(p) if 0 < x < 1]
     want = sum(sizes[i] * p[i] for i in left)
     best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda t: (abs(sum(sizes[i] * x for i, x in zip(left, t)) - want), t))
     out = list(p)
     for i, x in zip(left, best):
         out[i] = x
+    over = sum(sizes[i] * out[i] for i in left) - want
+    for _ in range(CHANGES):
+        then = [abs(over + (s if x == 0 else -s)) for s, x in zip(sizes, out)]
+        if not then or min(then) >= abs(over):
+            break
+        i = then.index(min(then))
+        over += sizes[i] if out[i] == 0 else -sizes[i]
+        out[i] = 1.0 - out[i]
     return out
 
 

@@ -28,6 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Entries of a worker's word table, which is emptied when full.
 _WORDS = 400_000
+_TEXTS = 50  # encoded at once
 #: Words that the tokenizer sees as these parts: its own splitting rule, for the letters of ASCII and Latin-1.
 _PLAIN = re.compile(r"[\x21-\x7e\xdf-\xf6\xf8-\xff]*\Z")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
@@ -56,8 +57,6 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) > _WORDS:
-            self.words.clear()
         if len(self.parts) > _WORDS:
             self.parts.clear()
         split, new = {}, {}
@@ -79,17 +78,17 @@ class WordEncoder:
                 self.parts.update((p, self._whole(p)) for p in some)
         self.words.update((w, b"".join([self.parts[p] for p in parts])) for w, parts in split.items())
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        for text in texts:
-            raw = (text or "").encode()
-            if any(s in raw for s in self.special):  # these stand for themselves, in upper and lower case as written
-                yield self._whole(text)
-                continue
-            words = raw.translate(_LOWER).split()
-            if missing := set(words) - self.words.keys():
-                self._learn(missing)
-            yield b"".join(map(self.words.__getitem__, words))
+        if len(self.words) > _WORDS:
+            self.words.clear()
+        raw = [(t or "").encode() for t in texts]
+        # special tokens stand for themselves, in upper and lower case as written
+        words = [None if any(s in r for s in self.special) else r.translate(_LOWER).split() for r in raw]
+        if missing := set().union(*(w for w in words if w)) - self.words.keys():
+            self._learn(missing)
+        get = self.words.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -104,7 +103,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         encoder, end, step = _encoders[tokenizer], np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             who, piece, start, length, crc = [], [], [], [], []
-            for k, raw in enumerate(encoder.encode(x.as_py() for x in b.column(1))):
+            ids = (raw for i in range(0, b.num_rows, _TEXTS) for raw in encoder.encode(b.column(1).slice(i, _TEXTS).to_pylist()))
+            for k, raw in enumerate(ids):
                 raw += end
                 for n, s in enumerate(range(0, len(raw), step)):
                     part = raw[s : s + step]
