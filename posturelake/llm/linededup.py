@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .common import SPACES, lower_ascii
 
 _NO_ID = -(2**63)
@@ -37,7 +38,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text, key = F.col(text_col).cast("string"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     found = docs.select(key.alias("doc"), F.explode(F.array_distinct(F.array_compact(F.transform(_lines(text), lambda x: _digest(x, min_chars))))).alias("h"))
-    common = found.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("h", "keeper")
+    common = cut(found.groupBy("h").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("h", "keeper"))  # a table of its own, so that Spark can split a hot hash in the join
     lost = found.join(common, "h").where("doc <> keeper").groupBy("doc").agg(F.collect_set("h").alias("__lost"))
     joined = docs.withColumn("__doc", key).join(lost.withColumnRenamed("doc", "__doc"), "__doc", "left")
     lines = _lines(text)
