@@ -149,5 +149,5 @@ def human_bytes(size: Column) -> Column:
     """FN-19: powers of 1024 with one decimal; plain bytes below."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB"), (5, "PiB"), (6, "EiB")):
-        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", size / float(1024**power)), F.lit(" " + unit))).otherwise(out)
+        out = F.when(size >= 1024**power, F.concat(F.format_string("%.1f", F.bround(size / float(1024**power), 1)), F.lit(" " + unit))).otherwise(out)
     return out

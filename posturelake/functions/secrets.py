@@ -109,8 +109,9 @@ def match_line(line: Column) -> Column:
 def scan_lines(lines: DataFrame, path: str = "path", line_no: str = "line_no", text: str = "line") -> DataFrame:
     """SEC-SCAN and SEC-REC: a record for each line that holds a credential; the line itself is dropped."""
     hit = lines.withColumn("__hit", match_line(F.col(text))).where("__hit IS NOT NULL")
-    hit = hit.withColumns({"type": F.col("__hit.type"), "field": F.col("__hit.field"), "length": F.col("__hit.length"), "location": F.col(path), "line": F.col(line_no)})
-    return hit.withColumn("fingerprint", secret_fingerprint(F.col("location"), F.col("line"), F.col("type"))).drop("__hit", text, *({path, line_no} - {"location", "line"}))
+    others = [c for c in lines.columns if c not in (path, line_no, text)]
+    hit = hit.select(*others, F.col(path).alias("location"), F.col(line_no).alias("line"), "__hit.*")
+    return hit.withColumn("fingerprint", secret_fingerprint(F.col("location"), F.col("line"), F.col("type")))
 
 
 def secret_fingerprint(location: Column, line: Column, kind: Column) -> Column:

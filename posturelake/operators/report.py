@@ -118,8 +118,8 @@ def weakest_support(df: DataFrame, by: str = "host_id") -> DataFrame:
 
 
 def support_from(rows: Column, unavailable: Column) -> Column:
-    """AGG-13: full, limited without rows, partial with missing sources, unavailable with neither."""
-    return F.when((rows == 0) & (unavailable > 0), "unavailable").when(unavailable > 0, "partial").otherwise("full")
+    """AGG-13: by what was found and how many sources were missing."""
+    return F.when((unavailable > 0) & (rows > 0), "partial").when(unavailable > 0, "unavailable").when(rows > 0, "full").otherwise("limited")
 
 
 def works(support: Column) -> Column:

@@ -1 +1 @@
-
+"""Evidence views, queries and plan helpers."""
