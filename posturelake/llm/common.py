@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,3 +38,15 @@ def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """``df.mapInArrow`` with small batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return df.mapInArrow(f, schema)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python needs it for the functions that it maps over batches. Once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='posturelake-')}/posturelake", "zip", root, "posturelake"))
+        _shipped.add(sc.applicationId)
