@@ -262,7 +262,7 @@ def document_metadata(text: Column, elements: dict[str, str] | None = None) -> C
     for name, key in (elements or METADATA_ELEMENTS).items():
         tag = rf"(?:[A-Za-z0-9_.\-]+:)?{name}"
         values = F.slice(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), 1, 2)
-        fields.append(F.transform(values, lambda v, k=key: F.struct(F.lit(k).alias("key"), clean_metadata(v).alias("value"))))
+        fields.append(F.arrays_zip(F.array_repeat(F.lit(key), F.size(values)).alias("key"), F.transform(values, clean_metadata).alias("value")))
     return F.filter(F.concat(*fields), lambda f: f["value"] != "")
 
 

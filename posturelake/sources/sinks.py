@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def reports(findings: DataFrame, summary: DataFrame, limitations: DataFrame) -> DataFrame:
     """One nested row per host: its summary, ordered findings and limitations. A report is one document, so that it is gathered per host."""
     cols = [c for c in findings.columns if c != "host_id"]
-    listed = findings.groupBy("host_id").agg(F.array_sort(F.collect_list(F.struct("place", *[c for c in cols if c != "place"]))).alias("findings"))
+    listed = findings.groupBy("host_id").agg(F.array_sort(F.collect_list(F.struct("place", *[c for c in cols if c != "place"])), lambda a, b: a["place"] - b["place"]).alias("findings"))
     texts = limitations.groupBy("host_id").agg(F.array_sort(F.collect_list("limitation")).alias("limitations"))
     totals = summary.select("host_id", F.struct(*[c for c in summary.columns if c != "host_id"]).alias("summary"))
     return totals.join(listed, "host_id", "left").join(texts, "host_id", "left")
