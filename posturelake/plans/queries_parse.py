@@ -185,9 +185,10 @@ query("prs-14", "SELECT host_id, 'svc' || CAST(host_id AS VARCHAR) AS name, CASE
 
 # PRS: configuration
 
-_REG = F.array(F.lit("HKEY_LOCAL_MACHINE\\Software\\A"), F.lit("    Name    REG_SZ    one"), F.concat(F.lit("    Name    REG_SZ    h"), c("host_id").cast("string")), F.lit(""), F.lit("HKEY_LOCAL_MACHINE\\Software\\B"), F.lit('    Path    REG_SZ    "c:\\x"'), F.lit("noise"))
+_REG = lambda: F.array(
+    F.lit("HKEY_LOCAL_MACHINE\\Software\\A"), F.lit("    Name    REG_SZ    one"), F.concat(F.lit("    Name    REG_SZ    h"), c("host_id").cast("string")), F.lit(""), F.lit("HKEY_LOCAL_MACHINE\\Software\\B"), F.lit('    Path    REG_SZ    "c:\\x"'), F.lit("noise"))
 query("prs-15", "SELECT host_id, 'Name=one; h' || CAST(host_id AS VARCHAR) AS settings FROM v_hosts UNION ALL SELECT host_id, 'Path=c:\\x' FROM v_hosts")(
-    lambda i: C.registry_blocks(i.view("v_hosts").select("host_id", F.lit("q").alias("path"), F.posexplode(_REG).alias("pos", "line"))).select("host_id", F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("settings"))
+    lambda i: C.registry_blocks(i.view("v_hosts").select("host_id", F.lit("q").alias("path"), F.posexplode(_REG()).alias("pos", "line"))).select("host_id", F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("settings"))
 )
 _TRUST = "CASE WHEN starts_with(uri, 'http://') THEN 'unsigned' WHEN contains(uri, 'debian.org') OR contains(uri, '.edu/') THEN 'official' ELSE 'third_party' END"
 query("prs-16", f"SELECT host_id, 'sources.list#2' AS id, uri, {_TRUST} AS trust, CAST(keys AS INTEGER) AS keys FROM v_sources")(
