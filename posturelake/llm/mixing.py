@@ -137,7 +137,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     rows = rows.withColumn("whole", F.floor(ratio + _NEAR)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     units = rows.where((F.col("p") > 0) & (F.col("size") > 0)).select("src", "row", F.xxhash64("row").alias("mix"), "size", "p")
     more = balanced_sample(units).select("row", F.col("p").cast("long").alias("extra"))
-    return rows.join(more, "row", "left").withColumn("times", F.col("whole") + F.coalesce("extra", F.lit(0)))
+    return rows.join(more, "row", "left").withColumn("times", F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0).cast("long")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -149,13 +149,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return _mixed(docs, id_col, text_col, source_col, weights, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows that repeat an id must be equal, and share what all of them are taken."""
-    names = {"text_col": "text", "source_col": "source", "weights": WEIGHTS, "most": MOST} | options
-    taken = _mixed(docs, id_col, **names).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Rows equal in id, text and source stand for one another; texts without a word are never taken."""
+    key = {"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__digest": F.xxhash64(F.col(text_col).cast("string"))}
+    taken = _mixed(docs, id_col, text_col, source_col, weights, most).groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("digest").alias("__d")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
     taken = cut(taken.where("__times > 0"))
-    if taken.where("__rows > 1").isEmpty():
-        out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    else:  # one row stands for those that repeat it
-        out = docs.dropDuplicates([id_col]).join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__id", "__times", "__rows", "__copy")
+    keyed = docs.withColumns(key)
+    if not taken.where("__rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(list(key))
+    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__digest") == F.col("__d"))
+    out = keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return out.drop(*key, "__i", "__s", "__d", "__times", "__rows", "__copy")
