@@ -1,8 +1,7 @@
 """Every query against its SQL in DuckDB."""
 
 import pytest
-from conftest import TINY
-from rows import table
+from rows import TINY, table
 
 from posturelake.plans import queries_core, queries_parse, queries_reports, registry  # noqa: F401
 
