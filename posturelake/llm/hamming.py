@@ -75,14 +75,15 @@ class SegmentIndex:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k rows of ``vectors`` nearest to each row of ``queries``, by Hamming distance and then id.
 
-    Rows that share the query's id are no neighbours of it; rows that repeat another id each count. Null vectors and null ids take no part. Fewer than k rows
+    Rows that share the query's id are no neighbours of it; rows that repeat another id each count.
+    Equal queries are answered once. Null vectors and null ids take no part. Fewer than k rows
     give as many neighbours as there are.
     """
     dims, n = vectors.agg(F.max(F.size(vector_col)), F.count("*")).first()
     dims = max(1, dims or 1, queries.agg(F.max(F.size(vector_col))).first()[0] or 1)
     blocks, slices = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(queries.count() / SLICE))
     index = codes(vectors, id_col, vector_col, dims).withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "role": F.lit(0), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
-    asked = codes(queries, id_col, vector_col, dims).withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "role": F.lit(1), "slice": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int")})
+    asked = codes(queries, id_col, vector_col, dims).distinct().withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "role": F.lit(1), "slice": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int")})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, built = None, [], None
@@ -104,13 +105,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                     built = SegmentIndex(*(np.ascontiguousarray(np.concatenate(x)) for x in zip(*held)))
                 for i in range(s, e) if built else ():
                     d, near = built.search(ids[i], np.ascontiguousarray(code[i]), k)
-                    out += zip([int(ids[i])] * len(d), near.tolist(), d.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["query_id", "neighbour_id", "distance"])
+                    out += zip([int(ids[i])] * len(d), near.tolist(), d.tolist(), [code[i].tobytes()] * len(d))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["query_id", "neighbour_id", "distance", "query_code"])
 
     cols = ["block", "slice", "role", "id", "code"]
     both = index.select(cols).union(asked.select(cols)).repartition(F.col("block"), F.col("slice")).sortWithinPartitions("block", "slice", "role")
-    near = both.mapInArrow(each, "query_id long, neighbour_id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
+    near = both.mapInArrow(each, "query_id long, neighbour_id long, distance long, query_code binary")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbour_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 
 
