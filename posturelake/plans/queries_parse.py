@@ -38,7 +38,7 @@ def src_02(i: Inputs) -> DataFrame:
 
 
 def _recorded(i: Inputs) -> str:
-    """Snapshots of the hosts as JSON files; every fifth has a bad schema."""
+    """Snapshots of the hosts as JSON lines; every fifth has a bad schema."""
     e = i.evidence("hosts", "accounts", "sockets")
     lists = [e[n].groupBy("host_id").agg(F.collect_list(F.struct(*cols)).alias(n)) for n, cols in (("accounts", ("name", "uid", "shell", "home", "gecos", "privileged", "service", "no_login", "classification")), ("sockets", ("proto", "addr", "port", "scope", "process", "pid")))]
     h = e["hosts"]
@@ -48,13 +48,13 @@ def _recorded(i: Inputs) -> str:
     target = F.struct(c("host_id").alias("id"), F.lit("simulation").alias("type"), "authorized")
     shot = F.struct(target.alias("target"), env.alias("env"), F.lit("2023-11-14T22:13:20Z").alias("collected_at"), "depth", "accounts", "sockets")
     folder = i.folder("snapshots")
-    h.select(F.when(c("host_id") % 5 == 0, "0.9").otherwise("1.0").alias("schema"), F.lit("fleet").alias("name"), shot.alias("snapshot")).write.option("maxRecordsPerFile", 1).json(folder)
+    h.select(F.when(c("host_id") % 5 == 0, "0.9").otherwise("1.0").alias("schema"), F.lit("fleet").alias("name"), shot.alias("snapshot")).write.json(folder)
     return folder
 
 
-query("src-01", "SELECT host_id, CASE WHEN host_id % 5 = 0 THEN 'unknown schema' ELSE '' END AS reject FROM v_hosts")(lambda i: snapshots.load(i.spark, _recorded(i)).select(c("snapshot.target.id").alias("host_id"), "reject"))
+query("src-01", "SELECT host_id, CASE WHEN host_id % 5 = 0 THEN 'unknown schema' ELSE '' END AS reject FROM v_hosts")(lambda i: snapshots.load(i.spark, _recorded(i), lines=True).select(c("snapshot.target.id").alias("host_id"), "reject"))
 query("src-03", "SELECT host_id, 'accounts' AS entity, count(*) AS n FROM v_accounts WHERE host_id % 5 <> 0 GROUP BY ALL UNION ALL SELECT host_id, 'sockets', count(*) FROM v_sockets WHERE host_id % 5 <> 0 GROUP BY ALL")(
-    lambda i: (lambda e: e["accounts"].groupBy("host_id").agg(F.lit("accounts").alias("entity"), F.count("*").alias("n")).union(e["sockets"].groupBy("host_id").agg(F.lit("sockets").alias("entity"), F.count("*").alias("n"))))(snapshots.entities(snapshots.load(i.spark, _recorded(i))))
+    lambda i: (lambda e: e["accounts"].groupBy("host_id").agg(F.lit("accounts").alias("entity"), F.count("*").alias("n")).union(e["sockets"].groupBy("host_id").agg(F.lit("sockets").alias("entity"), F.count("*").alias("n"))))(snapshots.entities(snapshots.load(i.spark, _recorded(i), lines=True)))
 )
 query("src-04", "SELECT host_id, name, provider, count(*) AS n FROM v_software GROUP BY ALL")(
     lambda i: (lambda s: snapshots.fold([s.where("host_id % 2 = 0"), s.where("host_id % 2 = 1").drop("version")]).groupBy("host_id", "name", "provider").agg(F.count("*").alias("n")))(i.view("v_software"))

@@ -1,4 +1,8 @@
-"""Evidence views over the driver's tables, in SQL that Spark and DuckDB read alike (FIXTURES.md, section 4)."""
+"""Evidence views over the driver's tables, in SQL that Spark and DuckDB read alike (after FIXTURES.md, section 4).
+
+Hosts, their interfaces, package sources and module status are derived from ``customer``, so that the fleet grows with the
+tables; the other views spread their evidence over the first 25 hosts, which makes those hot.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {
     "v_hosts": """
-SELECT CAST(n_nationkey AS BIGINT) AS host_id,
-  CASE n_nationkey % 5 WHEN 0 THEN 'windows' WHEN 1 THEN 'darwin' WHEN 2 THEN 'termux' ELSE 'linux' END AS platform,
-  1 + n_nationkey % 3 AS depth, n_nationkey % 11 <> 10 AS authorized,
-  CASE n_nationkey % 7 WHEN 0 THEN 'fatima-zahra' WHEN 1 THEN 'build-07' WHEN 2 THEN 'desktop-a1b2' WHEN 3 THEN 'sara-thinkpad' WHEN 4 THEN 'localhost' WHEN 5 THEN 'web-server' ELSE 'omar' END AS hostname,
-  CASE n_nationkey % 6 WHEN 0 THEN 'aisha' WHEN 1 THEN 'root' WHEN 2 THEN '' ELSE 'svc' END AS user_name,
-  CASE n_nationkey % 4 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE '' END AS cloud,
-  n_nationkey % 6 = 0 AS container FROM nation
+SELECT CAST(c_custkey AS BIGINT) AS host_id,
+  CASE c_custkey % 5 WHEN 0 THEN 'windows' WHEN 1 THEN 'darwin' WHEN 2 THEN 'termux' ELSE 'linux' END AS platform,
+  1 + c_custkey % 3 AS depth, c_custkey % 11 <> 10 AS authorized,
+  CASE c_custkey % 7 WHEN 0 THEN 'fatima-zahra' WHEN 1 THEN 'build-07' WHEN 2 THEN 'desktop-a1b2' WHEN 3 THEN 'sara-thinkpad' WHEN 4 THEN 'localhost' WHEN 5 THEN 'web-server' ELSE 'omar' END AS hostname,
+  CASE c_custkey % 6 WHEN 0 THEN 'aisha' WHEN 1 THEN 'root' WHEN 2 THEN '' ELSE 'svc' END AS user_name,
+  CASE c_custkey % 4 WHEN 0 THEN 'aws' WHEN 1 THEN 'gcp' ELSE '' END AS cloud,
+  c_custkey % 6 = 0 AS container FROM customer
 """,
     "v_sockets": """
 SELECT l_suppkey % 25 AS host_id, 'tcp' AS proto,
@@ -25,8 +29,8 @@ SELECT l_suppkey % 25 AS host_id, 'tcp' AS proto,
   l_orderkey AS pid FROM lineitem
 """,
     "v_interfaces": """
-SELECT CAST(n_nationkey AS BIGINT) AS host_id, CASE n_nationkey % 3 WHEN 0 THEN 'wg0' WHEN 1 THEN 'eth0' ELSE 'docker0' END AS name,
-  CASE n_nationkey % 3 WHEN 0 THEN 'vpn' WHEN 1 THEN 'lan' ELSE 'container' END AS kind FROM nation
+SELECT CAST(c_custkey AS BIGINT) AS host_id, CASE c_custkey % 3 WHEN 0 THEN 'wg0' WHEN 1 THEN 'eth0' ELSE 'docker0' END AS name,
+  CASE c_custkey % 3 WHEN 0 THEN 'vpn' WHEN 1 THEN 'lan' ELSE 'container' END AS kind FROM customer
 """,
     "v_accounts": """
 SELECT c_custkey % 25 AS host_id,
@@ -58,11 +62,11 @@ SELECT p_partkey % 25 AS host_id,
   CASE p_partkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'official' WHEN 2 THEN '' ELSE 'third_party' END AS origin, p_brand AS version FROM part
 """,
     "v_sources": """
-SELECT CAST(n_nationkey AS BIGINT) AS host_id, 'src#' || CAST(n_nationkey AS STRING) AS id,
-  CASE n_nationkey % 5 WHEN 0 THEN 'apt' WHEN 1 THEN 'dnf' WHEN 2 THEN 'brew' WHEN 3 THEN 'pip' ELSE 'pacman' END AS provider,
-  CASE n_nationkey % 4 WHEN 0 THEN 'http://archive.ubuntu.com/ubuntu' WHEN 1 THEN 'https://deb.debian.org/debian' WHEN 2 THEN 'https://mirror.uni.edu/x' ELSE 'https://ppa.example.net/y' END AS uri,
-  CASE n_nationkey % 4 WHEN 0 THEN 'unsigned' WHEN 1 THEN 'official' WHEN 2 THEN 'unknown' ELSE 'third_party' END AS trust,
-  n_nationkey % 2 AS keys, n_nationkey % 3 <> 0 AS enabled FROM nation
+SELECT CAST(c_custkey AS BIGINT) AS host_id, 'src#' || CAST(c_custkey AS STRING) AS id,
+  CASE c_custkey % 5 WHEN 0 THEN 'apt' WHEN 1 THEN 'dnf' WHEN 2 THEN 'brew' WHEN 3 THEN 'pip' ELSE 'pacman' END AS provider,
+  CASE c_custkey % 4 WHEN 0 THEN 'http://archive.ubuntu.com/ubuntu' WHEN 1 THEN 'https://deb.debian.org/debian' WHEN 2 THEN 'https://mirror.uni.edu/x' ELSE 'https://ppa.example.net/y' END AS uri,
+  CASE c_custkey % 4 WHEN 0 THEN 'unsigned' WHEN 1 THEN 'official' WHEN 2 THEN 'unknown' ELSE 'third_party' END AS trust,
+  c_custkey % 2 AS keys, c_custkey % 3 <> 0 AS enabled FROM customer
 """,
     "v_provenance": """
 SELECT p_partkey % 25 AS host_id, '/usr/bin/p' || CAST(p_partkey AS STRING) AS path,
@@ -106,9 +110,9 @@ SELECT user_id % 25 AS execution_id, ts, CASE event_type WHEN 'click' THEN 'modu
   CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level, props AS data FROM events
 """,
     "v_module_status": """
-SELECT CAST(n_nationkey AS BIGINT) AS host_id, r_regionkey AS module_no, 'module-' || CAST(r_regionkey AS STRING) AS name,
-  CASE (n_nationkey + r_regionkey) % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'degraded' WHEN 3 THEN 'requires_privilege' ELSE 'skipped' END AS status,
-  CASE n_nationkey % 2 WHEN 0 THEN '' ELSE 'requires depth 3' END AS reason FROM nation CROSS JOIN region
+SELECT CAST(c_custkey AS BIGINT) AS host_id, r_regionkey AS module_no, 'module-' || CAST(r_regionkey AS STRING) AS name,
+  CASE (c_custkey + r_regionkey) % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'degraded' WHEN 3 THEN 'requires_privilege' ELSE 'skipped' END AS status,
+  CASE c_custkey % 2 WHEN 0 THEN '' ELSE 'requires depth 3' END AS reason FROM customer CROSS JOIN region
 """,
 }
 
@@ -135,7 +139,7 @@ def with_views(sql: str) -> str:
     """DuckDB SQL that begins with the views which ``sql`` names."""
     ctes = [f"{name} AS ({body.strip()})" for name, body in VIEWS.items() if re.search(rf"\b{name}\b", sql)]
     sql = sql.strip()
-    if not ctes:
+    if not ctes or sql.startswith("WITH v_"):  # it has them already
         return sql
     if sql.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {', '.join(ctes)}, {sql[14:].lstrip()}"

@@ -28,9 +28,12 @@ TARGET = "id bigint, name string, type string, authorized boolean"
 SCHEMA = f"schema string, name string, description string, snapshot struct<target:struct<{TARGET.replace(' ', ':').replace(',:', ',')}>,env:struct<{ENV.replace(' ', ':').replace(',:', ',')}>,collected_at:timestamp,depth:int," + ",".join(f"{k}:array<struct<{v.replace(' ', ':').replace(',:', ',')}>>" for k, v in ENTITIES.items()) + ">"
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-01: every recorded snapshot, with ``reject``, the reason against it or empty. Malformed files fail the load."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(folder)
+def load(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """SRC-01: every recorded snapshot, with ``reject``, the reason against it or empty. Malformed files fail the load.
+
+    A file is one snapshot, or one to a line with ``lines``, which lets large files be split.
+    """
+    raw = spark.read.schema(SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(folder)
     reject = F.when(F.coalesce("schema", F.lit("")) != SCHEMA_VERSION, "unknown schema").when(F.col("snapshot.target.type").isNull(), "no target type").when(F.col("snapshot.env").isNull(), "no environment").otherwise("")
     return raw.withColumns({"reject": reject, "file": F.col("_metadata.file_path")})
 
