@@ -171,7 +171,7 @@ def test_quality_rejects_outliers_only(spark):
     assert sum(verdict[d[0]] for d in sound) >= 597 and not any(verdict[d[0]] for d in junk)
 
 
-def test_estimates_stand_against_contamination(spark):
+def test_estimates_stand_against_outliers(spark):
     """A third of far outliers moves the plain mean but not the robust one."""
     rng = np.random.default_rng(2)
     x = rng.normal(5, 1, (900, quality.DIM))
