@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16  # rows of a block
-SLICE = 2048  # queries of a slice
+SLICE = 256  # queries of a slice at least
+SPREAD = 64  # pairs of block and slice to aim for: with few blocks the queries are split too, with many each block sees them all
 #: Masks of a segment by the bits that they change.
 MASKS = [np.array([sum(1 << i for i in c) for c in itertools.combinations(range(8), s)]) for s in range(9)]
 
@@ -81,7 +82,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """
     dims, n = vectors.agg(F.max(F.size(vector_col)), F.count("*")).first()
     dims = max(1, dims or 1, queries.agg(F.max(F.size(vector_col))).first()[0] or 1)
-    blocks, slices = max(1, math.ceil(n / BLOCK)), max(1, math.ceil(queries.count() / SLICE))
+    blocks = max(1, math.ceil(n / BLOCK))
+    slices = max(1, min(math.ceil(queries.count() / SLICE), math.ceil(SPREAD / blocks)))
     index = codes(vectors, id_col, vector_col, dims).withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "role": F.lit(0), "slice": F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))})
     asked = codes(queries, id_col, vector_col, dims).distinct().withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "role": F.lit(1), "slice": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int")})
 
