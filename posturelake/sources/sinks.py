@@ -15,9 +15,10 @@ def reports(findings: DataFrame, summary: DataFrame, limitations: DataFrame) ->
     return totals.join(listed, "host_id", "left").join(texts, "host_id", "left")
 
 
-def write_reports(reports: DataFrame, folder: str) -> None:
-    """SNK-01: JSON per host."""
-    reports.write.mode("overwrite").partitionBy("host_id").json(folder)
+def write_reports(reports: DataFrame, folder: str, buckets: int = 16) -> None:
+    """SNK-01: a JSON report per line. Hosts are spread over a fixed number of folders, since a folder for each would not last for a large fleet."""
+    spread = reports.withColumn("bucket", F.pmod(F.xxhash64("host_id"), F.lit(buckets)))
+    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(folder)
 
 
 def write_table(df: DataFrame, folder: str, collected_date) -> None:
