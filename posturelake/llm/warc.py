@@ -178,7 +178,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     folder = folder or f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(records(pages, **options), folder)
     page = F.try_element_at(F.col("metadata")[0]["fields"], F.lit("page-id"))
-    made = cut(transactions(read_archives(spark, folder, payloads=False)).select("record_id", "type", "refers_to", "digest", "payload_bytes", page.try_cast("long").alias("page_id")))
+    read = cut(read_archives(spark, folder, payloads=False))  # several joins read it
+    made = cut(transactions(read).select("record_id", "type", "refers_to", "digest", "payload_bytes", page.try_cast("long").alias("page_id")))
     held = made.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("page_id").alias("from_page"), F.first("payload_bytes").alias("from_bytes"))
     out = made.join(held, "refers_to", "left")
     return out.select("page_id", F.coalesce("payload_bytes", "from_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("from_page").alias("refers_to"))
