@@ -56,16 +56,19 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > _WORDS:
             self.parts.clear()
-        split, new = {}, {}
+        split, new = {}, set()
         for w in words:
-            if _PLAIN.match(text := w.decode().translate(_LATIN)):
-                split[w] = parts = _PARTS.findall(text)
-                new.update((p, None) for p in parts if p not in self.parts)
-            else:
+            text = w.decode()
+            if not (text.isascii() and text.isprintable() or _PLAIN.match(text := text.translate(_LATIN))):
                 self.words[w] = self._whole(w.decode())
+                continue
+            split[w] = parts = _PARTS.findall(text)
+            for p in parts:
+                if p not in self.parts:
+                    new.add(p)
         new = list(new)
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
@@ -76,7 +79,9 @@ class WordEncoder:
                 self.parts.update((p, raw[4 * s : 4 * e]) for p, s, e in zip(some, [0, *ends], ends))
             else:
                 self.parts.update((p, self._whole(p)) for p in some)
-        self.words.update((w, b"".join([self.parts[p] for p in parts])) for w, parts in split.items())
+        known = self.parts
+        for w, parts in split.items():
+            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -85,7 +90,7 @@ class WordEncoder:
         raw = [(t or "").encode() for t in texts]
         # special tokens stand for themselves, in upper and lower case as written
         words = [None if any(s in r for s in self.special) else r.translate(_LOWER).split() for r in raw]
-        if missing := set().union(*(w for w in words if w)) - self.words.keys():
+        if missing := [w for w in set().union(*(w for w in words if w)) if w not in self.words]:
             self._learn(missing)
         get = self.words.__getitem__
         return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
