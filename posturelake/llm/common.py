@@ -40,6 +40,15 @@ def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+#: Rows of at most a few hundred bytes that a table may have to be broadcast; the count is taken before.
+BROADCAST_ROWS = 20_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, which is cheap to count, marked for broadcast if it has few rows; else Spark shuffles and splits hot keys."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 _shipped: set[str] = set()
 
 

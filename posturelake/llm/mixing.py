@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows
-from .common import count_words
+from .common import count_words, sized
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -104,7 +104,9 @@ def _fly(units: DataFrame, last: bool) -> DataFrame:
         p = flight(sizes, f["p"].tolist())
         return f.assign(p=land(sizes, p) if last else p)
 
-    return units.groupBy("src", "block").applyInPandas(each, units.schema)
+    # one key of both, so that rows are dealt by block even where they already lie by source
+    cells = units.withColumn("cell", F.struct("src", "block"))
+    return cells.groupBy("cell").applyInPandas(each, cells.schema).drop("cell")
 
 
 def balanced_sample(units: DataFrame) -> DataFrame:
@@ -112,7 +114,7 @@ def balanced_sample(units: DataFrame) -> DataFrame:
     settled: list[DataFrame] = []
     now = units
     while True:
-        counts = now.groupBy("src").count()
+        counts = sized(cut(now.groupBy("src").count()))
         blocks = now.join(counts, "src").withColumn("block", F.pmod("mix", F.ceil(F.col("count") / BLOCK))).drop("count")
         most = counts.agg(F.max("count")).first()[0] or 0
         flown = cut(_fly(blocks.select("src", "block", "row", "mix", "size", "p"), most <= BLOCK).drop("block"))
@@ -132,7 +134,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     rows = number_rows(rows, [F.col(c) for c in ("doc_id", "source", "size", "digest")], out="row")
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = rows.withColumn("src", key).join(goals.select(key.alias("src"), "source_size", "target"), "src")
+    rows = rows.withColumn("src", key).join(sized(goals.select(key.alias("src"), "source_size", "target")), "src")
     ratio: Column = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + _NEAR)).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     units = rows.where((F.col("p") > 0) & (F.col("size") > 0)).select("src", "row", F.xxhash64("row").alias("mix"), "size", "p")
