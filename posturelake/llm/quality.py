@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import SPACES, map_texts
+from .common import SPACES, map_texts, sized
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -133,10 +133,10 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance. Spark broadcasts the estimates if it finds them small, and else splits hot groups."""
+    """Adds ``d2``, the squared Mahalanobis distance. The estimates are broadcast if they are few; else Spark splits hot groups."""
     off = [F.col(y) - F.col("mean")[i] for i, y in enumerate(_Y)]
     d2 = reduce(lambda a, b: a + b, [(1 if i == j else 2) * off[i] * off[j] * F.col("inverse")[i * DIM + j] for i, j in _CELLS])
-    return rows.join(estimates.select("grp", "mean", "inverse"), "grp", how).withColumn("d2", d2).drop("mean", "inverse")
+    return rows.join(sized(estimates.select("grp", "mean", "inverse")), "grp", how).withColumn("d2", d2).drop("mean", "inverse")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -152,8 +152,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     now = cut(_start(rows))
     for _ in range(MAX_STEPS):
         far = _with_distance(rows, now)
-        edge = far.groupBy("grp").agg(F.percentile_approx("d2", COVER, 1000).alias("edge"))
-        after = cut(_estimates(_sums(far.join(edge, "grp").where("d2 <= edge")), _consistent(COVER)))
+        edge = cut(far.groupBy("grp").agg(F.percentile_approx("d2", COVER, 1000).alias("edge")))  # apart from the rows, so that a hot group can be split
+        after = cut(_estimates(_sums(far.join(sized(edge), "grp").where("d2 <= edge")), _consistent(COVER)))
         moved = after.join(now.select("grp", F.col("logdet").alias("was")), "grp").where(F.coalesce(F.abs(F.col("logdet") - F.col("was")), F.lit(0.0)) > SETTLED)
         now = after
         if moved.isEmpty():
@@ -170,7 +170,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     small = sizes.where(F.col("count") < MIN_GROUP)
     pools = small.groupBy("tongue").agg(F.sum("count").alias("pool"))
     to = sizes.join(pools, "tongue", "left").select("one", F.when(F.col("count") >= MIN_GROUP, F.col("one")).when(F.col("pool") >= MIN_GROUP, F.col("tongue")).otherwise("").alias("grp"))
-    return rows.withColumn("one", one).join(to, "one").drop("one")
+    return rows.withColumn("one", one).join(sized(cut(to)), "one").drop("one")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -185,8 +185,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     rows = cut(_grouped(stats.where("NOT base_failed")).withColumns(dict(zip(_Y, _vector()))))
-    enough = rows.groupBy("grp").count().where(F.col("count") >= 4 * DIM).select("grp")
-    judged = _with_distance(rows, robust_estimates(rows.join(enough, "grp", "left_semi")), "left").drop("grp", *_Y)
+    enough = cut(rows.groupBy("grp").count().where(F.col("count") >= 4 * DIM).select("grp"))
+    judged = _with_distance(rows, robust_estimates(rows.join(sized(enough), "grp", "left_semi")), "left").drop("grp", *_Y)
     out = judged.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return out.withColumn("kept", kept).select("doc_id", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept", "d2")
