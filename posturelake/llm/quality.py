@@ -2,7 +2,7 @@
 
 Location and scatter are minimum-covariance-determinant estimates: from a deterministic start (medians and
 quartile ranges) concentration steps keep the COVER share of a group that lies nearest and estimate again, until the determinants
-settle; a reweighting step follows. Every step is a pass of partial-aggregated sums over all rows, so that a group of any size
+settle; a reweighting step follows. Up to half of a group may be junk without moving the estimate. Every step is a pass of partial-aggregated sums over all rows, so that a group of any size
 is estimated from all its documents and none is gathered into one task.
 """
 
@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 #: Share of a group that the estimate covers; steps at most; change of the log-determinant at which they end.
-COVER, MAX_STEPS, SETTLED = 0.75, 12, 1e-3
+COVER, MAX_STEPS, SETTLED = 0.5, 12, 1e-3
 #: A (language, source) group of fewer documents is estimated with its language's other small ones, then with all small ones.
 MIN_GROUP = 200
 #: Least standard deviation of each transformed statistic. Some hardly vary among sound texts (most hold no repeated line or symbol), and

@@ -181,6 +181,17 @@ def test_estimates_stand_against_outliers(spark):
     assert np.abs(np.array(mean) - 5).max() < 0.3
 
 
+@pytest.mark.parametrize("n_junk", [300, 400])
+def test_quality_rejects_a_third_and_more(spark, n_junk):
+    """Junk that makes up a third or 40 % of its group."""
+    rng = np.random.default_rng(4)
+    sound = [(i, " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(rng.integers(30, 300))), "en", "s", 0) for i in range(600)]
+    junk = [(1000 + i, " ".join("ab" + "$" * rng.integers(1, 9) + "".join(rng.choice(list("abcd"), rng.integers(2, 14))) for _ in range(rng.integers(30, 300))), "en", "s", 0) for i in range(n_junk)]
+    df = spark.createDataFrame(sound + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    verdict = {r["doc_id"]: r["kept"] for r in quality.quality(df).collect()}
+    assert sum(verdict[d[0]] for d in sound) >= 594 and not any(verdict[d[0]] for d in junk)
+
+
 def test_quality_chi2():
     assert quality._chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
     assert quality._chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4)
