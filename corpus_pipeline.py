@@ -8,21 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posturelake.llm import quality
 from posturelake.llm.common import ship
 from posturelake.llm.linededup import dedup_lines
 from posturelake.llm.mixing import mixed_documents
 from posturelake.llm.packing import pack_documents
-from posturelake.llm.quality import quality
 from posturelake.llm.simhash import drop_near_copies
-from posturelake.plans.lineage import checkpoint_folder, cut
+from posturelake.plans.lineage import checkpoint_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their distance from their language and source reject go."""
-    gone = quality(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(cut(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").select(*COLUMNS)
+    """Documents that the base rules or their distance from their language and source reject go, each by its own verdict."""
+    return quality.drop_rejected(docs).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,14 +66,24 @@ def base_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+#: Rows equal in these have one verdict.
+KEY = ("doc_id", "lang", "source", "digest")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> dict[str, Column]:
+    """The columns KEY of a row; ``digest`` is a hash of its text."""
+    kinds = {"doc_id": (id_col, "long"), "lang": (lang_col, "string"), "source": (source_col, "string")}
+    return {name: F.col(c).cast(kind) for name, (c, kind) in kinds.items()} | {"digest": F.xxhash64(F.col(text_col).cast("string"))}
+
+
 def _statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([base_statistics(t.as_py()) for t in b.column(3)], np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c) for c in found.T)], ["doc_id", "lang", "source", *(x.split()[0] for x in STATS.split(", "))])
+            found = np.array([base_statistics(t.as_py()) for t in b.column(4)], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array(c) for c in found.T)], [*KEY, *(x.split()[0] for x in STATS.split(", "))])
 
-    kinds = {"doc_id": (id_col, "long"), "lang": (lang_col, "string"), "source": (source_col, "string"), "text": (text_col, "string")}
-    return map_texts(docs.select(*[F.col(c).cast(kind).alias(name) for name, (c, kind) in kinds.items()]), each, f"doc_id long, lang string, source string, {STATS}")
+    made = row_key(id_col, text_col, lang_col, source_col)
+    return map_texts(docs.select(*[x.alias(name) for name, x in made.items()], F.col(text_col).cast("string").alias("text")), each, f"doc_id long, lang string, source string, digest long, {STATS}")
 
 
 def _vector() -> list[Column]:
@@ -173,8 +183,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("one", one).join(sized(cut(to)), "one").drop("one")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept and the squared distance ``d2`` for every row.
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """KEY, the base statistics, base_failed, kept and the squared distance ``d2`` for every row.
 
     A text fails the base rules with fewer than MIN_WORDS words, or if over MAX_REPEATED_PERCENT % of its words stand in repeated
     windows. The others are estimated in their group, and those beyond CUTOFF are not kept. Null text is empty and fails; null
@@ -189,4 +199,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     judged = _with_distance(rows, robust_estimates(rows.join(sized(enough), "grp", "left_semi")), "left").drop("grp", *_Y)
     out = judged.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.withColumn("kept", kept).select("doc_id", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept", "d2")
+    return out.withColumn("kept", kept).select(*KEY, *(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept", "d2")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``verdicts`` with no more of the key than doc_id."""
+    return verdicts(docs, id_col, text_col, lang_col, source_col).drop("lang", "source", "digest")
+
+
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` keeps. Rows that share an id, or have none, each go by their own text, language and source."""
+    made = row_key(id_col, text_col, lang_col, source_col)
+    gone = cut(verdicts(docs, id_col, text_col, lang_col, source_col).where("NOT kept").select(*[F.col(k).alias(f"__gone_{k}") for k in KEY]).distinct())
+    same = reduce(lambda a, b: a & b, [F.col(f"__own_{k}").eqNullSafe(F.col(f"__gone_{k}")) for k in KEY])
+    own = docs.withColumns({f"__own_{k}": x for k, x in made.items()})
+    return own.join(gone, same, "left_anti").drop(*[f"__own_{k}" for k in KEY])

@@ -51,15 +51,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint's bits as a signed long; with a third column ``digest``, if it is given."""
+    more = {} if digest is None else {"digest": digest}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[x.alias(n) for n, x in more.items()])
+    return map_texts(rows, each, "doc_id long, fp long" + ", digest long" * len(more))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -212,11 +214,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group; one of rows that repeat an id. Null ids stay."""
-    groups = cut(simhash_groups(docs, id_col, text_col, limit))
-    stay = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    kept = docs.join(stay, F.col(id_col) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(id_col).isNull())
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.drop("__kept", "__rows")
-    with_id = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.unionByName(kept.where(F.col(id_col).isNull())).drop("__kept", "__rows")
+    """The rows of ``docs`` whose id is the least of its group of near copies; one of rows that share an id and a group. Null ids stay.
+
+    Groups are made of fingerprints alone: texts that only share an id are not near copies, and each stays unless its own group has a lesser id.
+    """
+    digest = lambda: F.xxhash64(F.col(text_col).cast("string"))
+    prints = cut(fingerprints(docs, id_col, text_col, digest=digest()).where("doc_id IS NOT NULL"))
+    codes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("least")))
+    roots = components(links(codes.select("fp", F.col("fp").alias("node")), limit))
+    least = codes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
+    stay = cut(least.select(F.col("least.doc_id").alias("__kept"), F.col("least.digest").alias("__digest")).distinct())
+    own = {"__id": F.col(id_col).cast("long"), "__own": digest()}
+    keyed = docs.withColumns(own)
+    kept = keyed.where("__id IS NOT NULL").join(stay, (F.col("__id") == F.col("__kept")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    if not prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(list(own))
+    return kept.unionByName(keyed.where("__id IS NULL")).drop(*own)

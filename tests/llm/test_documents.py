@@ -108,6 +108,15 @@ def test_drop_near_copies(odd, odd_rows):
     assert kept.count(None) == 2
 
 
+def test_drop_near_copies_goes_by_text(spark):
+    """Texts that share an id but are no near copies stay, and do not tie the groups of others together."""
+    rng = random.Random(8)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (3, a), (9, b), (7, c), (None, a), (None, a)]
+    got = Counter(map(tuple, simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == Counter([(3, a), (5, b), (7, c), (None, a), (None, a)])
+
+
 # op2
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rows import TINY
 
 import corpus_pipeline
-from posturelake.llm import hamming, urlfilter, warc
+from posturelake.llm import hamming, quality, urlfilter, warc
 from posturelake.plans.lineage import checkpoint_folder
 
 
@@ -164,3 +164,16 @@ def test_pipeline_takes_odd_rows(odd, empty, spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, TINY)
         docs.count()
+
+
+def test_pipeline_rejects_row_by_row(odd, odd_rows, spark):
+    """A rejected row takes no sound row of its id, or of null id, with it."""
+    base = odd_rows[6][1]
+    more = [(7, "one two", "en", "a", 7), (8, None, "en", "b", None), (8, "one", "fr", "b", 3), (None, "too short", "en", "b", 9)]
+    docs = odd.union(spark.createDataFrame(more, odd.schema))
+    got = sorted(map(key, (tuple(r) for r in corpus_pipeline.drop_rejected(spark, docs, TINY).collect())))
+    verdict = {(r["doc_id"], r["lang"], r["source"], r["digest"]): r["kept"] for r in quality.verdicts(docs).collect()}
+    own = [(tuple(r)[:5], tuple(r)[5:]) for r in docs.select("*", *[x.alias(f"own_{k}") for k, x in quality.row_key().items()]).collect()]
+    assert got == sorted(key(row) for row, k in own if verdict[k])
+    assert got.count(key((None, base, "en", "b", None))) == 1
+    assert got.count(key((7, base, "en", "a", len(base)))) == 1 and got.count(key((8, base, "en", "b", len(base)))) == 2
