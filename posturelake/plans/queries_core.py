@@ -9,7 +9,7 @@ from ..functions import enums, names, paths, risk, secrets
 from ..operators import engine, report, rules
 from . import rule_oracles as O
 from .evidence import MODULES, POSIX, modules
-from .registry import Inputs, cases, flat_map, flat_matches, query
+from .registry import FUNCTIONS, ORACLES, QUERIES, Inputs, cases, flat_map, flat_matches, query
 
 c = F.col
 
@@ -161,8 +161,25 @@ FINGERPRINT_SQL = "sha256(array_to_string(" + _FP_PARTS.format(formula=risk.FORM
 DEDUPE_SQL = "sha256(array_to_string(" + _FP_PARTS.format(formula=risk.FORMULA, raw="") + ", chr(0)))"
 
 
+#: The same over all rules. Those may have several objects, and no attribute.
+ALL_FINDINGS_SQL = FINDINGS_SQL.replace(_union(FINDING_RULES), _union(list(O.rule_sql())))
+_ALL_PARTS = {"['obj=' || objects]": "list_transform(list_sort(string_split(objects, ',')), lambda o: 'obj=' || o)", "string_split(attributes, ';')": "list_filter(string_split(attributes, ';'), lambda a: a <> '')"}
+
+
+def over_all_rules(name: str) -> None:
+    """Registers ``name``-all: the query over the findings of every rule, with its SQL over the same."""
+    sql = ORACLES[name].replace(FINDINGS_SQL, ALL_FINDINGS_SQL)
+    for few, every in _ALL_PARTS.items():
+        sql = sql.replace(few, every)
+    ORACLES[f"{name}-all"] = sql
+    QUERIES[f"{name}-all"] = lambda spark, sf_dir: FUNCTIONS[name](Inputs(spark, sf_dir, every_rule=True))
+
+
 def findings(i: Inputs) -> DataFrame:
+    """Findings of FINDING_RULES, or of all rules for the queries whose name ends in -all."""
     catalogue = rules.metadata(i.spark)
+    if i.every_rule:
+        return engine.build(engine.evaluate(i.evidence(*rules.TABLES), catalogue), catalogue)
     tables = i.evidence(*_FINDING_TABLES)
     runs = engine.applicability(tables["hosts"], catalogue).where("reason = ''")
     return engine.build(rules.matches(tables, FINDING_RULES).join(runs, ["host_id", "rule_id"], "left_semi"), catalogue)

@@ -14,7 +14,7 @@ from ..sources import sinks, snapshots
 from ..streaming import live
 from . import rule_oracles as O
 from .evidence import GIT_LINES, SSHD_LINES, lines, lines_sql
-from .queries_core import FINDINGS_SQL, findings
+from .queries_core import FINDINGS_SQL, findings, over_all_rules
 from .queries_reports import LINES_SQL, ROLLUP_SQL, _shape_sql
 from .registry import Inputs, cases, query
 
@@ -248,3 +248,9 @@ query("prs-36", "SELECT host_id, 'username' AS type, name AS value, 'accounts' A
 query("prs-37", "SELECT host_id, 'listening_socket' AS kind, process AS name, 'addr=' || addr || ';port=' || CAST(port AS VARCHAR) || ';scope=' || scope AS attributes FROM v_sockets")(
     lambda i: C.as_assets(i.view("v_sockets"), "listening_socket", "network", "process", None, ("addr", "port", "scope")).select("host_id", "kind", "name", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"))
 )
+
+
+# The queries over findings, once more over all rules
+
+for _name in ("eng-05", "eng-07", "eng-08", "eng-09", "agg-01", "agg-02", "agg-03", "agg-04", "agg-05", "agg-06", "agg-07", "agg-20", "snk-01", "snk-02"):
+    over_all_rules(_name)

@@ -14,13 +14,14 @@ from .lineage import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 class Inputs:
     """What a query reads: tables of a folder, views over them, and canonical evidence."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, every_rule: bool = False):
+        self.spark, self.sf_dir, self.every_rule = spark, sf_dir, every_rule
 
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.sf_dir, name)
@@ -40,6 +41,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Registers ``f(inputs)`` under ``name``; ``sql`` may name the fixture views."""
 
     def add(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
+        FUNCTIONS[name] = f
         QUERIES[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
         if sql:
             ORACLES[name] = views.with_views(sql)
