@@ -105,6 +105,12 @@ def rule_limitations(skipped: DataFrame, sample: int = 6) -> DataFrame:
     return out.select("host_id", F.concat(n.cast("string"), F.lit(" rule(s) not evaluated ("), "reason", F.lit("): "), names).alias("limitation"))
 
 
+def ordered_limitations(status: DataFrame, skipped: DataFrame) -> DataFrame:
+    """AGG-09 and AGG-10 together: (host_id, limitation, place), those of modules first; a host has few."""
+    both = limitations(status).withColumn("part", F.lit(1)).union(rule_limitations(skipped).withColumn("part", F.lit(2)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("host_id").orderBy("part", "limitation"))).drop("part")
+
+
 def module_status(outcomes: DataFrame, assets: DataFrame) -> DataFrame:
     """AGG-11: outcomes (host_id, module_id, failed, degraded) with ``status`` and the number of assets of the module's domain."""
     n = assets.groupBy("host_id", F.col("domain").alias("module_id")).agg(F.count("*").alias("assets"))
@@ -152,9 +158,11 @@ def modules_by_status(status: DataFrame) -> DataFrame:
     return out.withColumn("place", lookup(F.col("status"), STATUS_ORDER, 9))
 
 
-def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, modules: DataFrame, limits: DataFrame, header: tuple[str, ...]) -> DataFrame:
+def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, modules: DataFrame, limits: DataFrame, header: tuple[str, ...], depths: DataFrame | None = None) -> DataFrame:
     """AGG-18: (host_id, integrity, report_id), a digest over a host's ordered report. Each part ends in a zero character.
 
+    The header's last part is a host's own depth, if ``depths`` (host_id, depth) is given.
+
     A report is one document per host, so that its lines are gathered per host.
     """
     z = F.lit("\x00")
@@ -168,6 +176,8 @@ def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, mo
     rows = rows.union(line(identities, 3, F.concat(pad(100 - c("strength")), c("id")), c("id"), c("canonical")))
     rows = rows.union(line(modules, 4, c("module_id"), c("module_id"), c("status")))
     rows = rows.union(line(limits, 5, pad(c("place")), c("limitation")))
+    if depths is not None:
+        rows = rows.union(line(depths, 0, F.lit(""), c("depth").cast("string")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "t"))), lambda x: x["t"]), "")
     head = "".join(h + "\x00" for h in header)
     out = rows.groupBy("host_id").agg(F.sha2(F.concat(F.lit(head), text), 256).alias("digest"))

@@ -166,12 +166,16 @@ ALL_FINDINGS_SQL = FINDINGS_SQL.replace(_union(FINDING_RULES), _union(list(O.rul
 _ALL_PARTS = {"['obj=' || objects]": "list_transform(list_sort(string_split(objects, ',')), lambda o: 'obj=' || o)", "string_split(attributes, ';')": "list_filter(string_split(attributes, ';'), lambda a: a <> '')"}
 
 
-def over_all_rules(name: str) -> None:
-    """Registers ``name``-all: the query over the findings of every rule, with its SQL over the same."""
-    sql = ORACLES[name].replace(FINDINGS_SQL, ALL_FINDINGS_SQL)
+def over_all_parts(sql: str) -> str:
+    """``sql`` with fingerprints that take several objects, or no attribute."""
     for few, every in _ALL_PARTS.items():
         sql = sql.replace(few, every)
-    ORACLES[f"{name}-all"] = sql
+    return sql
+
+
+def over_all_rules(name: str) -> None:
+    """Registers ``name``-all: the query over the findings of every rule, with its SQL over the same."""
+    ORACLES[f"{name}-all"] = over_all_parts(ORACLES[name].replace(FINDINGS_SQL, ALL_FINDINGS_SQL))
     QUERIES[f"{name}-all"] = lambda spark, sf_dir: FUNCTIONS[name](Inputs(spark, sf_dir, every_rule=True))
 
 

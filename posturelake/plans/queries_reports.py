@@ -11,7 +11,7 @@ from ..functions import secrets as S
 from ..operators import correlate, engine, report, rules
 from ..operators.components import components
 from . import rule_oracles as O
-from .queries_core import APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship
+from .queries_core import ALL_FINDINGS_SQL, APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship, over_all_parts
 from .lineage import cut
 from .registry import Inputs, query
 
@@ -186,10 +186,22 @@ def _status(i: Inputs) -> DataFrame:
 
 
 _DETAIL = "concat_ws('; ', nullif(reason, ''), CASE WHEN len(unavailable) > 0 THEN 'unavailable: ' || array_to_string(unavailable, ', ') END)"
-query("agg-09", f"SELECT host_id, CASE status WHEN 'skipped' THEN name || ': not assessed' || CASE WHEN reason <> '' THEN ' (' || reason || ')' ELSE '' END WHEN 'requires_privilege' THEN name || ': requires privileges this run did not have' ELSE name || ': incomplete — ' || CASE WHEN {_DETAIL} = '' THEN 'some sources could not be read' ELSE {_DETAIL} END END AS limitation FROM ({_STATUS}) WHERE status <> 'complete'")(lambda i: report.limitations(_status(i)))
-query("agg-10", f"SELECT host_id, CAST(len(ids) AS VARCHAR) || ' rule(s) not evaluated (' || reason || '): ' || array_to_string(ids[1:6], ', ') || CASE WHEN len(ids) > 6 THEN ' and ' || CAST(len(ids) - 6 AS VARCHAR) || ' more' ELSE '' END AS limitation FROM (SELECT host_id, reason, list_sort(list(rule_id)) AS ids FROM ({APPLIES_SQL}) WHERE reason <> '' GROUP BY ALL)")(
-    lambda i: report.rule_limitations(engine.applicability(i.evidence("hosts")["hosts"], rules.metadata(i.spark)).where("reason <> ''"))
-)
+AGG_09_SQL = f"SELECT host_id, CASE status WHEN 'skipped' THEN name || ': not assessed' || CASE WHEN reason <> '' THEN ' (' || reason || ')' ELSE '' END WHEN 'requires_privilege' THEN name || ': requires privileges this run did not have' ELSE name || ': incomplete — ' || CASE WHEN {_DETAIL} = '' THEN 'some sources could not be read' ELSE {_DETAIL} END END AS limitation FROM ({_STATUS}) WHERE status <> 'complete'"
+query("agg-09", AGG_09_SQL)(lambda i: report.limitations(_status(i)))
+AGG_10_SQL = f"SELECT host_id, CAST(len(ids) AS VARCHAR) || ' rule(s) not evaluated (' || reason || '): ' || array_to_string(ids[1:6], ', ') || CASE WHEN len(ids) > 6 THEN ' and ' || CAST(len(ids) - 6 AS VARCHAR) || ' more' ELSE '' END AS limitation FROM (SELECT host_id, reason, list_sort(list(rule_id)) AS ids FROM ({APPLIES_SQL}) WHERE reason <> '' GROUP BY ALL)"
+
+
+def _skipped(i: Inputs) -> DataFrame:
+    return engine.applicability(i.evidence("hosts")["hosts"], rules.metadata(i.spark)).where("reason <> ''")
+
+
+query("agg-10", AGG_10_SQL)(lambda i: report.rule_limitations(_skipped(i)))
+
+
+def limits(i: Inputs) -> DataFrame:
+    return report.ordered_limitations(_status(i), _skipped(i))
+
+
 query("agg-11", "SELECT o.host_id, o.module_id, o.status, coalesce(n, 0) AS assets FROM (SELECT host_id, module_id, CASE WHEN host_id % 3 = 0 THEN 'degraded' WHEN host_id % 2 = 0 THEN 'partial' ELSE 'complete' END AS status FROM v_hosts CROSS JOIN (VALUES ('tooling'), ('software'), ('network')) AS m(module_id)) o LEFT JOIN (SELECT host_id, domain AS module_id, count(*) AS n FROM v_assets GROUP BY ALL) USING (host_id, module_id)")(
     lambda i: report.module_status(i.view("v_hosts").select("host_id", F.explode(F.array(*map(F.lit, ("tooling", "software", "network")))).alias("module_id"), (c("host_id") % 3 == 0).alias("failed"), (c("host_id") % 2 == 0).alias("degraded")), i.view("v_assets")).select("host_id", "module_id", "status", "assets")
 )
@@ -201,6 +213,8 @@ query("agg-15", f"SELECT host_id, type, location, line, rn, n, greatest(n - 5, 0
 query("agg-16", f"SELECT host_id, array_to_string(string_split(objects, ',')[1:5], ',') AS shown, greatest(len(string_split(objects, ',')) - 5, 0) AS overflow FROM ({O.rule_sql()['SW-002']})")(lambda i: report.with_objects(rules.matches(i.evidence("software"), ["SW-002"]).withColumn("objects", F.array_sort("objects"))).select("host_id", F.array_join("shown", ",").alias("shown"), "overflow"))
 query("agg-17", "SELECT host_id, status, string_agg(name, ', ' ORDER BY name) AS modules, CASE status WHEN 'complete' THEN 1 WHEN 'partial' THEN 2 WHEN 'degraded' THEN 3 WHEN 'requires_privilege' THEN 4 ELSE 5 END AS place FROM v_module_status GROUP BY host_id, status")(lambda i: report.modules_by_status(i.view("v_module_status")))
 _Z = "chr(0)"
+#: Schema, framework and its version, which head a whole digest.
+FRAMEWORK = ("report/v1", "posturelake", "1")
 _LINE = " || ".join(f"{x} || {_Z}" for x in ("rule_id", "module_id", "title", "severity", "state", "exposure", "privilege", "sensitivity", "confidence", FINGERPRINT_SQL, "objects"))
 _DIGEST = f"""SELECT host_id, sha256('report/v1' || {_Z} || string_agg(t, '' ORDER BY k, o)) AS digest FROM (
  SELECT host_id, 1 AS k, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS VARCHAR), 12, '0') AS o, {_LINE} AS t FROM ({FINDINGS_SQL})
@@ -214,6 +228,25 @@ def agg_18(i: Inputs) -> DataFrame:
     return report.integrity(f, none(["location", "fingerprint"]), none(["id", "canonical"]).withColumn("strength", F.lit(0)), i.view("v_module_status").withColumn("module_id", c("name")), none(["limitation"]).withColumn("place", F.lit(0)), ("report/v1",))
 
 
+_LINE_ALL = _LINE.replace(f"|| objects ||", f"|| array_to_string(list_sort(string_split(objects, ',')), {_Z}) ||")
+_WHOLE = f"""{_IDENTITIES}, lim AS (SELECT 1 AS part, * FROM ({AGG_09_SQL}) UNION ALL SELECT 2, * FROM ({AGG_10_SQL})),
+ whole AS (SELECT host_id, 0 AS k, '' AS o, CAST(depth AS VARCHAR) || {_Z} AS t FROM v_hosts
+ UNION ALL SELECT host_id, 1, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS VARCHAR), 12, '0'), {_LINE_ALL} FROM ({ALL_FINDINGS_SQL})
+ UNION ALL SELECT host_id, 2, location || {_Z} || {O._FP}, location || {_Z} || {O._FP} || {_Z} FROM v_secrets
+ UNION ALL SELECT host_id, 3, lpad(CAST(100 - strength AS VARCHAR), 12, '0') || id, id || {_Z} || canonical || {_Z} FROM ident
+ UNION ALL SELECT host_id, 4, name, name || {_Z} || status || {_Z} FROM v_module_status
+ UNION ALL SELECT host_id, 5, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY part, limitation) AS VARCHAR), 12, '0'), limitation || {_Z} FROM lim),
+ digests AS (SELECT host_id, sha256('{f"' || {_Z} || '".join(FRAMEWORK)}' || {_Z} || string_agg(t, '' ORDER BY k, o)) AS digest FROM whole GROUP BY host_id)"""
+
+
+@query("agg-18-all", over_all_parts(f"{_WHOLE} SELECT host_id, 'sha256:' || digest AS integrity, 'rep-' || substr(digest, 1, 24) AS report_id FROM digests"))
+def agg_18_all(i: Inputs) -> DataFrame:
+    """All five parts of every host's report, over the findings of all rules."""
+    f = findings(Inputs(i.spark, i.sf_dir, every_rule=True))
+    people = _identities(i, max_groups=1 << 30)
+    return report.integrity(f, i.evidence("secrets")["secrets"], people, i.view("v_module_status").withColumn("module_id", c("name")), limits(i), FRAMEWORK, i.view("v_hosts"))
+
+
 query("agg-19", f"SELECT host_id, fingerprint, CASE WHEN bool_and(port <> 22 AND port <> 23) THEN 'unchanged' WHEN bool_or(port <> 22) THEN 'resolved' ELSE 'new' END AS change FROM (SELECT host_id, {FINGERPRINT_SQL} AS fingerprint, CAST(regexp_extract(attributes, 'port=([0-9]+)', 1) AS INTEGER) AS port FROM ({FINDINGS_SQL}) WHERE rule_id = 'NET-001') GROUP BY ALL")(
     lambda i: (lambda f: report.diff(f.where("attributes['port'] <> '22'"), f.where("attributes['port'] <> '23'")))(findings(i).where("rule_id = 'NET-001'"))
 )

@@ -197,3 +197,17 @@ def test_nothing_outside_imports_the_llm_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_reports_hold_limitations(spark):
+    """SNK-01 writes the limitations of modules and of rules that did not run."""
+    from rows import TINY
+
+    from posturelake.plans import queries_parse, queries_reports, registry
+
+    i = registry.Inputs(spark, TINY)
+    want = {}
+    for r in queries_reports.limits(i).collect():
+        want.setdefault(r["host_id"], []).append(r["limitation"])
+    got = {int(r["host_id"]): r["limitations"] for r in queries_parse.written_reports(i).collect()}
+    assert got == {h: sorted(want[h]) if h in want else None for h in got} and any(got.values())
