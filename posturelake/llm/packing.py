@@ -33,7 +33,7 @@ _TEXTS = 50  # encoded at once
 _PLAIN = re.compile(r"[\x21-\x7e\xdf-\xf6\xf8-\xff]*\Z")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_LATIN = {c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}
+_CASES = {c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xDF)) if c != 0xD7}
 
 
 class WordEncoder:
@@ -62,10 +62,11 @@ class WordEncoder:
         split, new = {}, set()
         for w in words:
             text = w.decode()
-            if not (text.isascii() and text.isprintable() or _PLAIN.match(text := text.translate(_LATIN))):
-                self.words[w] = self._whole(w.decode())
+            plain = text.lower() if text.isascii() else text.translate(_CASES)
+            if not _PLAIN.match(plain):  # letters that the tokenizer composes or lower-cases by rules of its own
+                self.words[w] = self._whole(text)
                 continue
-            split[w] = parts = _PARTS.findall(text)
+            split[w] = parts = _PARTS.findall(plain)
             for p in parts:
                 if p not in self.parts:
                     new.add(p)
@@ -88,8 +89,8 @@ class WordEncoder:
         if len(self.words) > _WORDS:
             self.words.clear()
         raw = [(t or "").encode() for t in texts]
-        # special tokens stand for themselves, in upper and lower case as written
-        words = [None if any(s in r for s in self.special) else r.translate(_LOWER).split() for r in raw]
+        # special tokens stand for themselves, as written; only pure ASCII is lower-cased here, since combining marks join some letters of one case only
+        words = [None if any(s in r for s in self.special) else (r.translate(_LOWER) if r.isascii() else r).split() for r in raw]
         if missing := [w for w in set().union(*(w for w in words if w)) if w not in self.words]:
             self._learn(missing)
         get = self.words.__getitem__
