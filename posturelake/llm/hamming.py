@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 BLOCK = 1 << 16  # rows of a block
 SLICE = 256  # queries of a slice at least
 SPREAD = 64  # pairs of block and slice to aim for: with few blocks the queries are split too, with many each block sees them all
@@ -38,7 +40,7 @@ def codes(vectors: DataFrame, id_col: str, vector_col: str, dims: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], ["id", "code"])
 
     known = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
-    return known.mapInArrow(each, "id long, code binary")
+    return map_batches(known, each, "id long, code binary")
 
 
 class SegmentIndex:
@@ -113,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     cols = ["block", "slice", "role", "id", "code"]
     both = index.select(cols).union(asked.select(cols)).repartition(F.col("block"), F.col("slice")).sortWithinPartitions("block", "slice", "role")
-    near = both.mapInArrow(each, "query_id long, neighbour_id long, distance long, query_code binary")
+    near = map_batches(both, each, "query_id long, neighbour_id long, distance long, query_code binary")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbour_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance")
 

@@ -1,27 +1,27 @@
 """Mixing sources to target weights by balanced (cube-method) sampling.
 
 A document is taken a whole number of times for certain and once more with a fractional probability. The cube method
-settles the fractions: a flight phase moves them along the null space of the constraints (words and documents of the source) until
-all but two are 0 or 1, and a landing phase rounds what is left. A source is flown in blocks of bounded size, each of which leaves
-at most two documents open; the open ones of all blocks are flown again together until one block is left.
+settles the fractions: a flight phase moves them along the null space of the constraints (words and documents of the source), up or down
+by chance so that each keeps its mean, until all but two are 0 or 1; a landing phase gives up the documents and then the words. A source is
+flown in blocks of bounded size, each of which leaves at most two documents open; the open ones of all blocks are flown again together until
+one block is left. Chance is drawn from hashes of the rows, so that runs agree.
 """
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows
-from .common import count_words, sized
+from .common import count_words, nested, ship, sized
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-BLOCK = 4096
-CHANGES = 8
+BLOCK = 512
+SEED = 42
 _NEAR = 1e-9
 
 
@@ -46,52 +46,48 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     return ranked.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def flight(sizes: list[float], open_: list[float]) -> list[float]:
+def _way(sizes: np.ndarray) -> np.ndarray:
+    """How the open units move together: the first as far as can be, the others so that their number and their words stay (of two, the words)."""
+    n, lead = len(sizes), float(sizes[0])
+    if n > 2:
+        total, square = float(sizes.sum()), float(sizes @ sizes)
+        spread = n * square - total * total
+        if spread > 1e-9 * n * square:  # the first unit's direction, less its projection on the constraints
+            way = sizes * ((total - n * lead) / spread) + (total * lead - square) / spread
+        else:
+            way = np.full(n, -1.0 / n)
+        way[0] += 1.0
+        if way[0] > 1e-9:
+            return way
+        return np.concatenate([(sizes[1] - sizes[2], sizes[2] - lead, lead - sizes[1]), np.zeros(n - 3)])
+    return np.array([sizes[1], -lead]) if n == 2 else np.ones(1)
+
+
+def flight(sizes: np.ndarray, p: np.ndarray, draws: np.random.Generator, land: bool = False) -> np.ndarray:
     """Probabilities after the flight phase: at most two are left fractional, and the sums of the probabilities and of sizes times them stay.
 
-    Units are taken up in the given order. No chance is drawn: of both ways along the null space it goes the shorter, so that
-    runs agree.
+    Each step goes up or down the null space with the chances that keep the mean of every probability. Units are settled in the given order, as
+    far as the later ones can make up for them. With ``land`` the last two are settled as well: of two the words stay, and one goes by chance.
     """
-    p = list(open_)
-    live: list[int] = []
-    for k in range(len(p)):
-        if _NEAR < p[k] < 1 - _NEAR:
-            live.append(k)
-        else:
-            p[k] = float(round(p[k]))
-        if len(live) < 3:
+    out = np.asarray(p, float).copy()
+    near = (out <= _NEAR) | (out >= 1 - _NEAR)
+    out[near] = np.round(out[near])
+    open_ = np.flatnonzero(~near)
+    x, z = out[open_], np.asarray(sizes, float)[open_]
+    while len(x) > (0 if land else 2):
+        way = _way(z)
+        pace = np.abs(way) + 1e-300
+        below = np.where(way > 0, x, 1 - x)  # how far each is from where a step down takes it
+        up, down = float(((1 - below) / pace).min()), float((below / pace).min())
+        x += way * (up if draws.random() * (up + down) < down else -down)
+        done = np.abs(x - 0.5) >= 0.5 - _NEAR
+        if done[0] and not done[1:].any():  # as a rule
+            out[open_[0]] = round(x[0])
+            x, z, open_ = x[1:], z[1:], open_[1:]
             continue
-        a, b, c = live
-        way = (sizes[b] - sizes[c], sizes[c] - sizes[a], sizes[a] - sizes[b])  # orthogonal to (1, 1, 1) and to the sizes
-        if not any(way):
-            way = (1.0, -1.0, 0.0)
-        up = min((1 - p[i]) / w if w > 0 else -p[i] / w for i, w in zip(live, way) if w)
-        down = min(p[i] / w if w > 0 else (p[i] - 1) / w for i, w in zip(live, way) if w)
-        step = up if up <= down else -down
-        for i, w in zip(live, way):
-            p[i] += step * w
-            if p[i] < _NEAR or p[i] > 1 - _NEAR:
-                p[i] = float(round(p[i]))
-        live = [i for i in live if 0 < p[i] < 1]
-    return p
-
-
-def land(sizes: list[float], p: list[float]) -> list[float]:
-    """Rounds the few fractional probabilities so that the sizes taken come nearest to what was expected, then changes up to CHANGES units of the last block while that brings them nearer."""
-    left = [i for i, x in enumerate(p) if 0 < x < 1]
-    want = sum(sizes[i] * p[i] for i in left)
-    best = min(itertools.product((0.0, 1.0), repeat=len(left)), key=lambda t: (abs(sum(sizes[i] * x for i, x in zip(left, t)) - want), t))
-    out = list(p)
-    for i, x in zip(left, best):
-        out[i] = x
-    over = sum(sizes[i] * out[i] for i in left) - want
-    for _ in range(CHANGES):
-        then = [abs(over + (s if x == 0 else -s)) for s, x in zip(sizes, out)]
-        if not then or min(then) >= abs(over):
-            break
-        i = then.index(min(then))
-        over += sizes[i] if out[i] == 0 else -sizes[i]
-        out[i] = 1.0 - out[i]
+        out[open_[done]] = np.round(x[done])
+        x, z, open_ = x[~done], z[~done], open_[~done]
+    out[open_] = x
     return out
 
 
@@ -100,23 +96,23 @@ def _fly(units: DataFrame, last: bool) -> DataFrame:
 
     def each(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["size", "mix", "row"], ascending=[False, True, True], kind="stable")
-        sizes = f["size"].astype(float).tolist()
-        p = flight(sizes, f["p"].tolist())
-        return f.assign(p=land(sizes, p) if last else p)
+        draws = np.random.default_rng([SEED, *(int(m) & (1 << 64) - 1 for m in f["mix"].iloc[[0, -1]])])
+        return f.assign(p=flight(f["size"].to_numpy(float), f["p"].to_numpy(), draws, last))
 
     # one key of both, so that rows are dealt by block even where they already lie by source
+    ship(units.sparkSession)
     cells = units.withColumn("cell", F.struct("src", "block"))
     return cells.groupBy("cell").applyInPandas(each, cells.schema).drop("cell")
 
 
 def balanced_sample(units: DataFrame) -> DataFrame:
-    """``units`` (src, row, mix, size, p) with every ``p`` settled to 0 or 1; ``mix`` is a hash that deals rows to blocks."""
+    """``units`` (src, row, mix, size, p) with every ``p`` settled to 0 or 1; ``mix`` is a hash that deals rows to blocks and draws their chance."""
     settled: list[DataFrame] = []
     now = units
     while True:
         counts = sized(cut(now.groupBy("src").count()))
-        blocks = now.join(counts, "src").withColumn("block", F.pmod("mix", F.ceil(F.col("count") / BLOCK))).drop("count")
         most = counts.agg(F.max("count")).first()[0] or 0
+        blocks = now.join(counts, "src").withColumn("block", F.pmod("mix", F.ceil(F.col("count") / (BLOCK if most > BLOCK else most or 1)))).drop("count")
         flown = cut(_fly(blocks.select("src", "block", "row", "mix", "size", "p"), most <= BLOCK).drop("block"))
         settled.append(flown.where("p IN (0, 1)"))
         if most <= BLOCK:
@@ -131,7 +127,7 @@ def balanced_sample(units: DataFrame) -> DataFrame:
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], most: float) -> DataFrame:
     """(row, doc_id, src, size, source_size, target, times) of each row of ``docs``; ``row`` numbers rows by id, source and size."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
-    rows = number_rows(rows, [F.col(c) for c in ("doc_id", "source", "size", "digest")], out="row")
+    rows = number_rows(cut(rows), [F.col(c) for c in ("doc_id", "source", "size", "digest")], out="row")  # cut, since a range shuffle reads its input twice
     goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = rows.withColumn("src", key).join(sized(goals.select(key.alias("src"), "source_size", "target")), "src")
@@ -146,19 +142,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, taken) of every row.
 
     ``taken`` is ``size`` times how often the mix takes the document. Null text has size 0 and is never taken; null source is a source of its own,
-    last in order. Repeated rows are documents of their own. Runs over the same rows agree.
+    last in order. Repeated rows are documents of their own. A null id is an id like others. Texts of any length are counted whole; an empty table gives
+    an empty one. Runs over the same rows agree. A source's words come within about its smallest documents of the target; where one document holds
+    most of a source's words, within that document, since its chance of being taken is kept.
     """
     return _mixed(docs, id_col, text_col, source_col, weights, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Rows equal in id, text and source stand for one another; texts without a word are never taken."""
-    key = {"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__digest": F.xxhash64(F.col(text_col).cast("string"))}
-    taken = _mixed(docs, id_col, text_col, source_col, weights, most).groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("digest").alias("__d")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    taken = cut(taken.where("__times > 0"))
-    keyed = docs.withColumns(key)
-    if not taken.where("__rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(list(key))
-    same = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__digest") == F.col("__d"))
-    out = keyed.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return out.drop(*key, "__i", "__s", "__d", "__times", "__rows", "__copy")
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows equal in id, text and source stand for one another; null and empty texts and others without a word are never taken. All columns come back, of any
+    name; an empty table gives an empty one.
+    """
+    taken = _mixed(docs, id_col, text_col, source_col, weights, most).groupBy("doc_id", "source", "digest").agg(F.sum("times").alias("times"), F.count("*").alias("n"))
+    taken = cut(taken.where("times > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("digest").alias("d"), "times", "n"))
+    keyed = nested(docs, own_id=F.col(id_col).cast("long"), own_source=F.col(source_col).cast("string"), own_digest=F.xxhash64(F.col(text_col).cast("string")))
+    if not taken.where("n > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["own_id", "own_source", "own_digest"])
+    same = F.col("own_id").eqNullSafe(F.col("i")) & F.col("own_source").eqNullSafe(F.col("s")) & (F.col("own_digest") == F.col("d"))
+    return keyed.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("doc.*")

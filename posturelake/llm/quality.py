@@ -209,8 +209,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` keeps. Rows that share an id, or have none, each go by their own text, language and source."""
-    made = row_key(id_col, text_col, lang_col, source_col)
-    gone = cut(verdicts(docs, id_col, text_col, lang_col, source_col).where("NOT kept").select(*[F.col(k).alias(f"__gone_{k}") for k in KEY]).distinct())
-    same = reduce(lambda a, b: a & b, [F.col(f"__own_{k}").eqNullSafe(F.col(f"__gone_{k}")) for k in KEY])
-    own = docs.withColumns({f"__own_{k}": x for k, x in made.items()})
-    return own.join(gone, same, "left_anti").drop(*[f"__own_{k}" for k in KEY])
+    gone = cut(verdicts(docs, id_col, text_col, lang_col, source_col).where("NOT kept").select(*KEY).distinct())
+    rows = nested(docs, **{f"own_{k}": x for k, x in row_key(id_col, text_col, lang_col, source_col).items()})
+    same = reduce(lambda a, b: a & b, [F.col(f"own_{k}").eqNullSafe(F.col(k)) for k in KEY])
+    return rows.join(gone, same, "left_anti").select("doc.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import hamming, linededup, urlfilter, warc
-from .common import documents, ship
+from .common import documents
 from .linededup import line_report
 from .mixing import mix
 from .packing import pack_documents
@@ -57,16 +57,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def shipped(q: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return q(spark, sf_dir)
-
-    return run
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: shipped(q)
+    q.__name__: q
     for q in (op1_simhash, op2_token_counts, op3_quality, op4_packing, op5_mixing, op6_sharding, op7_hamming_top_k, op8_url_filter, op9_line_dedup, op10_warc)
 }
 ORACLES: dict[str, str] = {"op7_hamming_top_k": hamming.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows, running_total
+from .common import map_batches
 
 SHARDS = 8
 #: Capacities tried in a round.
@@ -36,7 +37,7 @@ def _reach(ends: DataFrame, upto: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(best)), pa.array(best[best > 0])], ["k", "total"])
 
     best = np.zeros(len(order), np.int64)
-    for k, total in ends.select("total").where(F.col("total") <= int(order[-1])).mapInArrow(each, "k long, total long").groupBy("k").agg(F.max("total")).collect():
+    for k, total in map_batches(ends.select("total").where(F.col("total") <= int(order[-1])), each, "k long, total long").groupBy("k").agg(F.max("total")).collect():
         best[k] = total
     return np.maximum.accumulate(best)[np.searchsorted(order, upto)]
 

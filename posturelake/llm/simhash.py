@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows
-from .common import LOWER, UPPER, map_texts
+from .common import LOWER, UPPER, map_batches, map_texts, nested
 
 SEED = 42
 FANOUT = 8
@@ -162,7 +162,7 @@ def links(codes: DataFrame, limit: int = 2) -> DataFrame:
 
         return each
 
-    counts = {r[0]: r[1] for r in grouped.mapInArrow(route(None), "grp int").groupBy("grp").count().collect()}  # at most MAX_GROUPS rows
+    counts = {r[0]: r[1] for r in map_batches(grouped, route(None), "grp int").groupBy("grp").count().collect()}  # at most MAX_GROUPS rows
     usual = max(4 * rows, 2 * sum(counts.values()) // max(1, len(counts)))
     copies = [max(1, math.ceil(counts.get(t[0], 0) / usual)) for t in tops]
 
@@ -194,7 +194,7 @@ def links(codes: DataFrame, limit: int = 2) -> DataFrame:
                         src, dst = _forest(n[who[later]], names[found[later]])
                         yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    routed = grouped.mapInArrow(route(copies), "grp int, part int, role int, fp long, node long")
+    routed = map_batches(grouped, route(copies), "grp int, part int, role int, fp long, node long")
     return routed.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(find, "src long, dst long")
 
 
@@ -204,7 +204,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``fingerprint`` is 16 hexadecimal digits; ``component_id`` the least id that can be reached by links of
     at most ``limit`` differing bits. Equal fingerprints are searched for once and stand under the least id that has them, so a
     large group of exact copies costs one search. Null and empty texts have fingerprint zero and link like others. Repeated rows
-    each get their row. A null id gets its class's component, and null if no row of its fingerprint has an id.
+    each get their row. A null id gets its class's component, and null if no row of its fingerprint has an id. Texts of any length are read
+    whole, and columns beyond id and text are not looked at. An empty table gives an empty one.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     codes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
@@ -217,16 +218,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` whose id is the least of its group of near copies; one of rows that share an id and a group. Null ids stay.
 
     Groups are made of fingerprints alone: texts that only share an id are not near copies, and each stays unless its own group has a lesser id.
+    Of one id's several texts in a group the one of least hash stays; of repeated rows one stays. Null and empty texts are one group. All columns
+    come back, of any name; an empty table gives an empty one.
     """
     digest = lambda: F.xxhash64(F.col(text_col).cast("string"))
     prints = cut(fingerprints(docs, id_col, text_col, digest=digest()).where("doc_id IS NOT NULL"))
     codes = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("least")))
     roots = components(links(codes.select("fp", F.col("fp").alias("node")), limit))
     least = codes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp")).agg(F.min("least").alias("least"))
-    stay = cut(least.select(F.col("least.doc_id").alias("__kept"), F.col("least.digest").alias("__digest")).distinct())
-    own = {"__id": F.col(id_col).cast("long"), "__own": digest()}
-    keyed = docs.withColumns(own)
-    kept = keyed.where("__id IS NOT NULL").join(stay, (F.col("__id") == F.col("__kept")) & (F.col("__own") == F.col("__digest")), "left_semi")
+    stay = cut(least.select(F.col("least.doc_id").alias("kept_id"), F.col("least.digest").alias("kept_digest")).distinct())
+    rows = nested(docs, own_id=F.col(id_col).cast("long"), own_digest=digest())
+    kept = rows.where("own_id IS NOT NULL").join(stay, (F.col("own_id") == F.col("kept_id")) & (F.col("own_digest") == F.col("kept_digest")), "left_semi")
     if not prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(list(own))
-    return kept.unionByName(keyed.where("__id IS NULL")).drop(*own)
+        kept = kept.dropDuplicates(["own_id", "own_digest"])
+    return kept.unionByName(rows.where("own_id IS NULL")).select("doc.*")

@@ -319,14 +319,28 @@ def test_mixing(clashing, odd_rows):
 
 def test_flight_keeps_the_sums():
     rng = random.Random(4)
-    for _ in range(50):
+    for k in range(50):
         n = rng.randint(1, 200)
         sizes, p = [float(rng.randint(1, 50)) for _ in range(n)], [rng.random() for _ in range(n)]
-        out = mixing.flight(sizes, p)
+        out = mixing.flight(sizes, p, np.random.default_rng(k))
         assert sum(0 < x < 1 for x in out) <= 2
         assert sum(out) == pytest.approx(sum(p), abs=1e-6)
         assert sum(s * x for s, x in zip(sizes, out)) == pytest.approx(sum(s * x for s, x in zip(sizes, p)), abs=1e-4)
-        assert all(x in (0.0, 1.0) for x in mixing.land(sizes, out))
+        down = mixing.flight(sizes, p, np.random.default_rng(k), land=True)
+        assert all(x in (0.0, 1.0) for x in down) and abs(sum(down) - sum(p)) < 4
+
+
+@pytest.mark.parametrize("kind", ["mixed", "equal", "one giant"])
+def test_flight_keeps_each_probability(kind):
+    """Over many draws each unit is taken as often as its probability says."""
+    rng = np.random.default_rng(7)
+    sizes = {"mixed": np.sort(rng.lognormal(5, 1.5, 40).round() + 1)[::-1], "equal": np.full(40, 9.0), "one giant": np.array([1e5, *np.arange(39, 0, -1.0)])}[kind]
+    p = rng.uniform(0.1, 0.9, 40)
+    taken = [mixing.flight(sizes, p, np.random.default_rng(k), land=True) for k in range(3000)]
+    off = np.mean(taken, axis=0) - p
+    assert np.abs(off).max() < 5 * 0.5 / math.sqrt(3000)
+    if kind == "mixed":
+        assert np.mean([abs(t @ sizes - p @ sizes) for t in taken]) < 0.02 * (p @ sizes)
 
 
 def test_blocks_of_a_large_source_are_flown_together(spark):
