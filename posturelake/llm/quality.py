@@ -1,33 +1,40 @@
 """Quality rules: base rules on whole texts, then robust multivariate outliers per language and source.
 
-Location and scatter are minimum-covariance-determinant estimates: from a deterministic start (medians and
-quartile ranges) concentration steps keep the COVER share of a group that lies nearest and estimate again, until the determinants
-settle; a reweighting step follows. Up to half of a group may be junk without moving the estimate. Every step is a pass of partial-aggregated sums over all rows, so that a group of any size
-is estimated from all its documents and none is gathered into one task.
+Location and scatter are minimum-covariance-determinant estimates. A group is dealt to blocks of bounded size; in each, concentration steps from
+many starts seek the half of least determinant. From a group's best block, concentration steps over all its rows follow until the determinant
+settles, then a reweighting step. Up to half of a group may be junk without moving the estimate. A step over all rows is a pass
+of partial-aggregated sums per group and distance class, so that a group of any size is estimated from all its documents and none is gathered
+into one task.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import SPACES, map_texts, sized
+from .common import BROADCAST_ROWS, SPACES, map_texts, nested, ship, sized
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
-#: Share of a group that the estimate covers; steps at most; change of the log-determinant at which they end.
-COVER, MAX_STEPS, SETTLED = 0.5, 12, 1e-3
-#: A (language, source) group of fewer documents is estimated with its language's other small ones, then with all small ones.
-MIN_GROUP = 200
+#: Steps over all rows at most, and the change of the log-determinant at which they end; a warning says so if they end unsettled.
+MAX_STEPS, SETTLED = 20, 1e-3
+#: Rows of a block, and subsets that a search in it starts from; those of least determinant after two steps are pursued.
+BLOCK, STARTS, PURSUED = 2000, 40, 5
+SEED = 42
+#: A (language, source) group of fewer documents (10 for each component) is judged by the estimate of its whole language, or if that has fewer too, of all documents.
+MIN_GROUP = 50
+#: Classes of squared distance for each doubling, from 2 ** LEAST_POWER on; the class in which half of a group is reached counts in part.
+CLASSES, LEAST_POWER = 32, -20
 #: Least standard deviation of each transformed statistic. Some hardly vary among sound texts (most hold no repeated line or symbol), and
 #: without a floor the smallest deviation would count as endless.
 FLOORS = (0.5, 0.08, 0.2, 0.25, 0.15)
@@ -116,90 +123,176 @@ def _chi2_quantile(p: float, k: int) -> float:
 
 def _consistent(cover: float) -> float:
     """Factor for the scatter of the nearest ``cover`` share of a normal sample."""
-    return cover / _chi2_cdf(_chi2_quantile(cover, DIM), DIM + 2)
+    return cover / _chi2_cdf(_chi2_quantile(cover, DIM), DIM + 2) if cover < 1 else 1.0
 
 
-_ESTIMATE = "grp string, mean array<double>, inverse array<double>, logdet double"
+_SHARES = np.linspace(0.5, 1, 51)
+_FACTORS = np.array([_consistent(x) for x in _SHARES])
 
 
-def _estimates(sums: DataFrame, factor: float) -> DataFrame:
-    """Location, inverse scatter and log-determinant from a row of sums for each group."""
+def half(n):
+    """Documents of a group of ``n`` that its estimate covers."""
+    return np.minimum(n, (n + DIM + 1) // 2)
+
+
+def _factor(covered, n):
+    return np.interp(covered / n, _SHARES, _FACTORS)
+
+
+def _scatter(rows: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, scatter (with the floors) and its log-determinant."""
+    mean = rows.mean(axis=0)
+    off = rows - mean
+    cov = factor * (off.T @ off) / len(rows) + np.diag(np.square(FLOORS))
+    return mean, cov, float(np.linalg.slogdet(cov)[1])
+
+
+def _concentrate(y: np.ndarray, mean: np.ndarray, cov: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Concentration steps: each estimates from the half nearest to the estimate before. The determinant never grows."""
+    h, best = int(half(len(y))), math.inf
+    factor = float(_factor(h, len(y)))
+    for _ in range(steps):
+        off = y - mean
+        d2 = np.einsum("ij,ij->i", off @ np.linalg.inv(cov), off)
+        mean, cov, logdet = _scatter(y[np.argpartition(d2, h - 1)[:h]], factor)
+        if logdet > best - 1e-12:
+            break
+        best = logdet
+    return mean, cov, logdet
+
+
+def search(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """The half of the rows ``y`` of least determinant that is found: its mean, scatter and log-determinant.
+
+    Starts are the medians with quartile ranges, and STARTS subsets of one row more than there are components.
+    """
+    low, mid, high = np.percentile(y, [25, 50, 75], axis=0)
+    begun = [_concentrate(y, mid, np.diag(np.square((high - low) / 1.349) + np.square(FLOORS)), 2)]
+    draws = np.random.default_rng(SEED)
+    for _ in range(STARTS if len(y) > DIM + 1 else 0):
+        mean, cov, _ = _scatter(y[draws.choice(len(y), DIM + 1, replace=False)], 1.0)
+        begun.append(_concentrate(y, mean, cov, 2))
+    begun.sort(key=lambda e: e[2])
+    return min((_concentrate(y, *e[:2], 100) for e in begun[:PURSUED]), key=lambda e: e[2])
+
+
+_ESTIMATE = "grp long, mean array<double>, inverse array<double>, logdet double"
+
+
+def _searched(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The best estimate of each group's blocks. ``rows`` are dealt to blocks by the hash ``mix``."""
+
+    def each(f: pd.DataFrame) -> pd.DataFrame:
+        y = f.sort_values(["mix", *_Y])[_Y].to_numpy(float)
+        mean, cov, logdet = search(y)
+        return pd.DataFrame({"grp": f["grp"].iloc[:1], "mean": [mean], "inverse": [np.linalg.inv(cov).ravel()], "logdet": [logdet]})
+
+    ship(rows.sparkSession)
+    dealt = rows.join(sizes, "grp").select(F.struct("grp", F.pmod("mix", F.ceil(F.col("n") / BLOCK)).alias("block")).alias("cell"), "grp", "mix", *_Y)
+    found = dealt.groupBy("cell").applyInPandas(each, _ESTIMATE)
+    best = found.groupBy("grp").agg(F.min(F.struct("logdet", "mean", "inverse")).alias("e"))
+    return cut(best.select("grp", "e.mean", "e.inverse", "e.logdet"))
+
+
+def _estimates(sums: DataFrame, cover: float | None = None) -> DataFrame:
+    """Location, inverse scatter and log-determinant from a row of sums for each group, which cover ``n`` of ``all`` rows, or those within a quantile."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            n = f["n"].to_numpy(float)[:, None]
-            mean = f[[f"s{i}" for i in range(DIM)]].to_numpy(float) / n
+            n = f["n"].to_numpy(float)
+            factor = _factor(n, f["all"].to_numpy(float)) if cover is None else np.full(len(f), _consistent(cover))
+            mean = f[[f"s{i}" for i in range(DIM)]].to_numpy(float) / n[:, None]
             cov = np.empty((len(f), DIM, DIM))
             for i, j in _CELLS:
-                cov[:, i, j] = cov[:, j, i] = f[f"s{i}{j}"].to_numpy(float) / n[:, 0] - mean[:, i] * mean[:, j]
-            cov = factor * cov + np.diag(np.square(FLOORS))
+                cov[:, i, j] = cov[:, j, i] = factor * (f[f"s{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j])
+            cov = cov + np.diag(np.square(FLOORS))
             yield pd.DataFrame({"grp": f["grp"], "mean": list(mean), "inverse": list(np.linalg.inv(cov).reshape(len(f), -1)), "logdet": np.linalg.slogdet(cov)[1]})
 
-    return sums.mapInPandas(each, _ESTIMATE)
+    ship(sums.sparkSession)
+    return cut(sums.mapInPandas(each, _ESTIMATE))
+
+
+_SUMS = [*(f"s{i}" for i in range(DIM)), *(f"s{i}{j}" for i, j in _CELLS)]
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(y).alias(f"s{i}") for i, y in enumerate(_Y)], *[F.sum(F.col(_Y[i]) * F.col(_Y[j])).alias(f"s{i}{j}") for i, j in _CELLS])
+def _sums() -> list[Column]:
+    return [F.count("*").cast("double").alias("n"), *[F.sum(y).alias(f"s{i}") for i, y in enumerate(_Y)], *[F.sum(F.col(_Y[i]) * F.col(_Y[j])).alias(f"s{i}{j}") for i, j in _CELLS]]
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance. The estimates are broadcast if they are few; else Spark splits hot groups."""
+def _with_distance(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance. The estimates are broadcast if they are ``few``; else Spark splits hot groups."""
     off = [F.col(y) - F.col("mean")[i] for i, y in enumerate(_Y)]
     d2 = reduce(lambda a, b: a + b, [(1 if i == j else 2) * off[i] * off[j] * F.col("inverse")[i * DIM + j] for i, j in _CELLS])
-    return rows.join(sized(estimates.select("grp", "mean", "inverse")), "grp", how).withColumn("d2", d2).drop("mean", "inverse")
+    small = estimates.select("grp", "mean", "inverse")
+    return rows.join(F.broadcast(small) if few else small, "grp").withColumn("d2", F.greatest(d2, F.lit(0.0))).drop("mean", "inverse")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and a diagonal scatter from the quartiles."""
-    q = rows.groupBy("grp").agg(*[F.percentile_approx(y, [0.25, 0.5, 0.75], 1000).alias(y) for y in _Y])
-    var = [F.pow((F.col(y)[2] - F.col(y)[0]) / 1.349, 2) + FLOORS[i] ** 2 for i, y in enumerate(_Y)]
-    cells = [1 / var[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]
-    return q.select("grp", F.array(*[F.col(y)[1] for y in _Y]).alias("mean"), F.array(*cells).alias("inverse"), F.lit(math.inf).alias("logdet"))
+def _nearest_half(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """Sums over the half of each group that lies nearest to its estimate: whole classes of distance, and a share of the class where half is reached."""
+    place = F.greatest(F.floor(CLASSES * (F.log2("d2") - LEAST_POWER)), F.lit(0))
+    classes = _with_distance(rows, estimates, few).groupBy("grp", F.coalesce(place, F.lit(0)).cast("int").alias("place")).agg(*_sums())
+    group = Window.partitionBy("grp")  # a row for each class
+    total, upto = F.sum("n").over(group), F.sum("n").over(group.orderBy("place"))
+    h = F.least("all", F.floor((F.col("all") + DIM + 1) / 2))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - F.col("upto") + F.col("n")) / F.col("n")))
+    shared = classes.withColumns({"all": total, "upto": upto}).withColumn("share", share).where("share > 0")
+    return shared.groupBy("grp").agg(F.first("all").alias("all"), *[F.sum(F.col("share") * F.col(c)).alias(c) for c in ("n", *_SUMS)])
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inverse, logdet) of the columns y0.. of ``rows`` for each ``grp``."""
-    now = cut(_start(rows))
+    """(grp, mean, inverse, logdet) of the columns y0.. of ``rows`` for each ``grp``; ``mix`` is a hash that deals rows to blocks."""
+    sizes = cut(rows.groupBy("grp").agg(F.count("*").alias("n")))
+    few = sizes.count() <= BROADCAST_ROWS
+    now = _searched(rows, F.broadcast(sizes) if few else sizes)
     for _ in range(MAX_STEPS):
-        far = _with_distance(rows, now)
-        edge = cut(far.groupBy("grp").agg(F.percentile_approx("d2", COVER, 1000).alias("edge")))  # apart from the rows, so that a hot group can be split
-        after = cut(_estimates(_sums(far.join(sized(edge), "grp").where("d2 <= edge")), _consistent(COVER)))
-        moved = after.join(now.select("grp", F.col("logdet").alias("was")), "grp").where(F.coalesce(F.abs(F.col("logdet") - F.col("was")), F.lit(0.0)) > SETTLED)
+        after = _estimates(_nearest_half(rows, now, few))
+        moved = after.join(now.select("grp", F.col("logdet").alias("was")), "grp").where(F.abs(F.col("logdet") - F.col("was")) > SETTLED)
         now = after
         if moved.isEmpty():
             break
-    near = _with_distance(rows, now).where(F.col("d2") <= _chi2_quantile(0.975, DIM))
-    return cut(_estimates(_sums(near), _consistent(0.975)))
+    else:
+        warnings.warn(f"the estimates of some groups did not settle in {MAX_STEPS} steps", stacklevel=2)
+    near = _with_distance(rows, now, few).where(F.col("d2") <= _chi2_quantile(0.975, DIM))
+    return _estimates(near.groupBy("grp").agg(F.lit(0.0).alias("all"), *_sums()), 0.975)
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``: language and source, or what small groups are pooled into."""
-    name = lambda c: F.concat(F.coalesce(F.concat(F.lit("="), c), F.lit("-")), F.lit("\n"))  # noqa: E731  null differs from every text
-    one = F.concat(name(F.col("lang")), name(F.col("source")))
-    sizes = rows.groupBy(one.alias("one"), name(F.col("lang")).alias("tongue")).count()
-    small = sizes.where(F.col("count") < MIN_GROUP)
-    pools = small.groupBy("tongue").agg(F.sum("count").alias("pool"))
-    to = sizes.join(pools, "tongue", "left").select("one", F.when(F.col("count") >= MIN_GROUP, F.col("one")).when(F.col("pool") >= MIN_GROUP, F.col("tongue")).otherwise("").alias("grp"))
-    return rows.withColumn("one", one).join(sized(cut(to)), "one").drop("one")
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``grp``, the group that judges them; and (grp, mix, y0..) with a row for each group that a row's statistics count in.
+
+    A row counts in its own group, in its language's if small groups of that need it, and in that of all if small languages need it.
+    """
+    name = lambda *parts: F.xxhash64(*[x for p in parts for x in (F.col(p).isNull(), F.col(p))], F.lit(len(parts)))  # noqa: E731  null differs from every text
+    rows = rows.withColumns({"one": name("lang", "source"), "mix": F.xxhash64(*KEY)})
+    sizes = rows.groupBy("one", name("lang").alias("tongue")).count()
+    small = F.col("count") < MIN_GROUP
+    tongues = sizes.groupBy("tongue").agg((F.sum("count") >= MIN_GROUP).alias("large"), F.bool_or(small).alias("needed"))
+    sizes = cut(sizes.join(tongues, "tongue"))
+    everyone, own = F.lit(0).cast("long"), F.when(~small, F.col("one"))
+    needs_all = not sizes.where("NOT large").isEmpty()
+    feeds = F.array_compact(F.array(own, F.when(F.col("large") & F.col("needed"), F.col("tongue")), F.when(F.lit(needs_all), everyone)))
+    to = sizes.select("one", F.coalesce(own, F.when(F.col("large"), F.col("tongue")), everyone).alias("grp"), feeds.alias("feeds"))
+    rows = cut(rows.join(sized(cut(to)), "one").drop("one"))
+    return rows.drop("feeds", "mix"), rows.select(F.explode("feeds").alias("grp"), "mix", *_Y)
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """KEY, the base statistics, base_failed, kept and the squared distance ``d2`` for every row.
 
     A text fails the base rules with fewer than MIN_WORDS words, or if over MAX_REPEATED_PERCENT % of its words stand in repeated
-    windows. The others are estimated in their group, and those beyond CUTOFF are not kept. Null text is empty and fails; null
-    language or source is a value of its own. Repeated rows each count and each get their row. Where the pool of all small groups
-    itself holds too few rows to estimate (fewer than 4 times the vector's length), ``d2`` is null and the base rules decide.
+    windows; its ``d2`` is null. The others are judged by the estimate of their language and source, or if those have fewer than MIN_GROUP such
+    documents of their language, or of all documents; those beyond CUTOFF are not kept. Null text is empty and fails; null language or source is a
+    value of its own. Repeated rows each count and each get their row. Texts of any length are read whole; an empty table gives an empty one;
+    columns beyond the four named ones are not looked at.
     """
-    stats = cut(_statistics(docs, id_col, text_col, lang_col, source_col))
+    stats = _statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    rows = cut(_grouped(stats.where("NOT base_failed")).withColumns(dict(zip(_Y, _vector()))))
-    enough = cut(rows.groupBy("grp").count().where(F.col("count") >= 4 * DIM).select("grp"))
-    judged = _with_distance(rows, robust_estimates(rows.join(sized(enough), "grp", "left_semi")), "left").drop("grp", *_Y)
+    stats = cut(stats.withColumn("base_failed", failed).withColumns(dict(zip(_Y, _vector()))))
+    rows, counted = _grouped(stats.where("NOT base_failed"))
+    estimates = robust_estimates(counted)
+    judged = _with_distance(rows, estimates, estimates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
     out = judged.unionByName(stats.where("base_failed"), allowMissingColumns=True)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.withColumn("kept", kept).select(*KEY, *(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept", "d2")
+    kept = ~F.col("base_failed") & (F.col("d2") <= CUTOFF)
+    return out.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*KEY, *(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept", "d2")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with odd rows, clashing columns and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -181,13 +182,56 @@ def test_quality_rejects_outliers_only(spark):
 
 
 def test_estimates_stand_against_outliers(spark):
-    """A third of far outliers moves the plain mean but not the robust one."""
+    """A third of far outliers moves the plain mean but not the robust one, in a group of several blocks and in a small one."""
     rng = np.random.default_rng(2)
-    x = rng.normal(5, 1, (900, quality.DIM))
-    x[:200] += 40
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{y} double" for y in quality._Y))
-    mean = quality.robust_estimates(rows).first()["mean"]
-    assert np.abs(np.array(mean) - 5).max() < 0.3
+    rows = []
+    for grp, n, out in ((1, 900, 300), (2, 5000, 1700), (3, 50, 16)):
+        x = rng.normal(5, 1, (n, quality.DIM))
+        x[:out] += 40
+        rows += [(grp, int(m), *map(float, r)) for m, r in zip(rng.integers(-(2**62), 2**62, n), x)]
+    df = spark.createDataFrame(rows, "grp long, mix long, " + ", ".join(f"{y} double" for y in quality._Y))
+    got = {r["grp"]: np.array(r["mean"]) for r in quality.robust_estimates(df).collect()}
+    assert set(got) == {1, 2, 3} and all(np.abs(m - 5).max() < (0.7 if g == 3 else 0.3) for g, m in got.items())
+    again = {r["grp"]: np.array(r["mean"]) for r in quality.robust_estimates(df.repartition(5)).collect()}
+    assert all(got[g] == pytest.approx(again[g], abs=1e-9) for g in got)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_search_finds_the_least_determinant(seed):
+    """Against every half of a small group."""
+    rng = np.random.default_rng(seed)
+    y = rng.normal(0, 1, (13, quality.DIM)) * rng.uniform(0.5, 4, quality.DIM)
+    y[:4] += rng.normal(0, 8, (4, quality.DIM))
+    h = int(quality.half(len(y)))
+    factor = float(quality._factor(h, len(y)))
+    best = math.inf
+    for some in itertools.combinations(range(len(y)), h):
+        cov = factor * np.cov(y[list(some)], rowvar=False, bias=True) + np.diag(np.square(quality.FLOORS))
+        best = min(best, np.linalg.slogdet(cov)[1])
+    assert quality.search(y)[2] == pytest.approx(best, abs=1e-9)
+
+
+def test_step_over_all_rows_equals_a_plain_one(spark):
+    """One concentration step by classes of distance against one by sorting; the class where half is reached counts in part."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(0, 1, (4000, quality.DIM))
+    df = spark.createDataFrame([(1, 0, *map(float, r)) for r in y], "grp long, mix long, " + ", ".join(f"{c} double" for c in quality._Y))
+    mean, cov, _ = quality.search(y)
+    start = spark.createDataFrame([(1, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), 0.0)], quality._ESTIMATE)
+    got = quality._estimates(quality._nearest_half(df, start, True)).first()
+    want = quality._concentrate(y, mean, cov, 1)
+    assert np.array(got["mean"]) == pytest.approx(want[0], abs=0.02) and got["logdet"] == pytest.approx(want[2], abs=0.02)
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    """A source of 20 documents by its language, a language of 9 by all."""
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(rng.integers(30, 300)))
+    junk = lambda: " ".join("ab$$$%%%" + "".join(rng.choice(list("abcd"), 12)) for _ in range(100))
+    rows = [(i, text(), "en", "large", 0) for i in range(300)] + [(1000 + i, text(), "en", "small", 0) for i in range(20)] + [(2000 + i, text(), None, "x", 0) for i in range(9)]
+    bad = [(3000, junk(), "en", "small", 0), (3001, junk(), None, "x", 0), (3002, junk(), "en", None, 0)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert all(got[r[0]] for r in rows) and not any(got[r[0]] for r in bad)
 
 
 @pytest.mark.parametrize("n_junk", [300, 400])
