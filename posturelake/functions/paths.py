@@ -48,13 +48,21 @@ def mode_is_restricted(mode: Column) -> Column:
 
 def mode_flags(mode: Column) -> dict[str, Column]:
     """PRS-33: rights of group and others from an octal mode; null for a bad one."""
-    bits = octal(mode)
+    return bits_flags(octal(mode))
+
+
+def bits_flags(bits: Column) -> dict[str, Column]:
+    """PRS-33 from the mode's number, for callers that have parsed it once."""
     return {name: bits.bitwiseAND(mask) != 0 for name, mask in (("group_readable", 0o040), ("group_writable", 0o020), ("world_readable", 0o004), ("world_writable", 0o002))}
 
 
 def mode_text(mode: Column) -> Column:
     """PRS-33: an octal mode as ``rwxr-x---``."""
-    bits = octal(mode)
+    return bits_text(octal(mode))
+
+
+def bits_text(bits: Column) -> Column:
+    """PRS-33 from the mode's number."""
     return F.concat(*[F.when(bits.bitwiseAND(1 << (8 - i)) != 0, "rwx"[i % 3]).otherwise("-") for i in range(9)])
 
 

@@ -12,41 +12,46 @@ MAX_LINE_BYTES = 4096
 
 # Shapes of secret values and names.
 VALUE_PREFIXES = "-----begin ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ pk_live_ sk_test_ pk_test_ xoxb- xoxp- xoxa- xoxs- ya29. eyj akia asia".split()
+#: Shapes of values, each after the texts (in lower case) one of which a value of that shape holds.
 VALUE_SHAPES = (
-    r"\bAKIA[0-9A-Z]{16}\b",
-    r"\bASIA[0-9A-Z]{16}\b",
-    r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}\b",
-    r"\bgithub_pat_[A-Za-z0-9_]{50,}\b",
-    r"\bglpat-[A-Za-z0-9_-]{16,}\b",
-    r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----",
-    r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}",
-    r"\bAIza[0-9A-Za-z_-]{35}\b",
-    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
-    r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b",
-    r"\bya29\.[A-Za-z0-9_-]{20,}\b",
-    r"-----BEGIN CERTIFICATE-----",
+    (("akia",), r"\bAKIA[0-9A-Z]{16}\b"),
+    (("asia",), r"\bASIA[0-9A-Z]{16}\b"),
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}\b"),
+    (("github_pat_",), r"\bgithub_pat_[A-Za-z0-9_]{50,}\b"),
+    (("glpat-",), r"\bglpat-[A-Za-z0-9_-]{16,}\b"),
+    (("-----begin ",), r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----"),
+    (("eyj",), r"\beyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"),
+    (("aiza",), r"\bAIza[0-9A-Za-z_-]{35}\b"),
+    (("xox",), r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
+    (("_live_", "_test_"), r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b"),
+    (("ya29.",), r"\bya29\.[A-Za-z0-9_-]{20,}\b"),
+    (("-----begin ",), r"-----BEGIN CERTIFICATE-----"),
 )
 ASSIGNMENT = r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?access[_-]?key|client[_-]?secret|private[_-]?key|auth[_-]?token|bearer)\b\s*[=:]\s*"
+#: Texts in lower case one of which a named assignment holds.
+ASSIGNED = ("passw", "pwd", "secret", "token", "key", "bearer")
 KEY_PREFIXES = "secret token password passwd key credential private auth".split()
 KEY_PARTS = "secret password credential apikey".split()
 FLAGS = "--password -p --pass --token --secret --api-key --apikey --access-key --auth-token --client-secret".split()
 PLACEHOLDER_WORDS = "true false none null prompt ask - -- 0 1".split()
 PLACEHOLDER_PARTS = "changeme example redacted your".split()
 
-#: Named patterns of a line, the first that fits decides: (type, pattern, group of the field, group of the value). RE2-safe.
+#: Named patterns of a line, the first that fits decides: (type, texts in lower case one of which such a line holds, pattern with the groups field and value). RE2-safe.
 LINE_PATTERNS = (
-    ("private_key", r"(-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----)", 1, 1),
-    ("cicd_credential", r"((?:ghp|gho|ghu|ghs|ghr)_)([A-Za-z0-9]{36})", 1, 2),
-    ("cicd_credential", r"(github_pat_)([A-Za-z0-9_]{50,})", 1, 2),
-    ("cicd_credential", r"(glpat-)([A-Za-z0-9_-]{16,})", 1, 2),
-    ("jwt", r"(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})", 1, 2),
-    ("cloud_credential", r"(AKIA|ASIA)([0-9A-Z]{16})", 1, 2),
-    ("database_credential", r"([A-Za-z0-9_]+)\s*[=:]\s*[\"']?(?:postgres|postgresql|mysql|mongodb|redis|amqp)(?:\+[a-z]+)?://[^:/@\s]*:([^@\s]{6,})@", 1, 2),
-    ("cloud_credential", r"(?i)(aws_secret_access_key|aws_session_token|azure_client_secret|gcp_private_key)[\"']?\s*[=:]\s*[\"']?([^\s\"']+)", 1, 2),
-    ("password", r"(?i)([a-z0-9_-]*(?:password|passwd|pwd))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)", 1, 2),
-    ("api_key", r"(?i)([a-z0-9_-]*(?:api[_-]?key|apikey))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)", 1, 2),
-    ("token", r"(?i)([a-z0-9_-]*(?:token|secret))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)", 1, 2),
+    ("private_key", ("-----begin ",), r"((-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----))"),
+    ("cicd_credential", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"((?:ghp|gho|ghu|ghs|ghr)_)([A-Za-z0-9]{36})"),
+    ("cicd_credential", ("github_pat_",), r"(github_pat_)([A-Za-z0-9_]{50,})"),
+    ("cicd_credential", ("glpat-",), r"(glpat-)([A-Za-z0-9_-]{16,})"),
+    ("jwt", ("eyj",), r"(eyJ[A-Za-z0-9_-]{5,})\.([A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,})"),
+    ("cloud_credential", ("akia", "asia"), r"(AKIA|ASIA)([0-9A-Z]{16})"),
+    ("database_credential", ("://",), r"([A-Za-z0-9_]+)\s*[=:]\s*[\"']?(?:postgres|postgresql|mysql|mongodb|redis|amqp)(?:\+[a-z]+)?://[^:/@\s]*:([^@\s]{6,})@"),
+    ("cloud_credential", ("aws_s", "azure_client_secret", "gcp_private_key"), r"(?i)(aws_secret_access_key|aws_session_token|azure_client_secret|gcp_private_key)[\"']?\s*[=:]\s*[\"']?([^\s\"']+)"),
+    ("password", ("passw", "pwd"), r"(?i)([a-z0-9_-]*(?:password|passwd|pwd))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)"),
+    ("api_key", ("api",), r"(?i)([a-z0-9_-]*(?:api[_-]?key|apikey))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)"),
+    ("token", ("token", "secret"), r"(?i)([a-z0-9_-]*(?:token|secret))[\"']?\s*[=:]\s*[\"']?([^\s\"']+)"),
 )
+#: How the patterns of named values begin, of which a placeholder does not count.
+NAMED = "(?i)"
 
 
 def _any(value: Column, how: str, parts: list[str]) -> Column:
@@ -60,12 +65,17 @@ def secret_key_name(name: Column) -> Column:
 
 
 def secret_shaped(value: Column) -> Column:
-    """SEC-SHAPE: a known prefix, a known shape, or a named assignment with at least 8 bytes left."""
-    low = F.lower(F.trim(value))
-    shape = value.rlike("(?is)" + "|".join(VALUE_SHAPES))
+    """SEC-SHAPE: a known prefix, a known shape, or a named assignment with at least 8 bytes left.
+
+    A pattern is only tried where a plain text that it needs stands in the value.
+    """
+    low = F.lower(value)
+    start = _any(F.ltrim(low), "startswith", VALUE_PREFIXES)
+    shape = reduce(lambda a, b: a | b, [_any(low, "contains", texts) & value.rlike("(?is)" + pattern) for texts, pattern in VALUE_SHAPES])
     rest = F.regexp_extract(value, "(?s)" + ASSIGNMENT + r"(.*)$", 1)
     rest = F.trim(F.ltrim(rest, F.lit("\"'` \t")))
-    return (value != "") & (value != REDACTED) & (_any(low, "startswith", VALUE_PREFIXES) | shape | (F.octet_length(rest) >= 8))
+    named = (low.contains("=") | low.contains(":")) & _any(low, "contains", ASSIGNED) & (F.octet_length(rest) >= 8)
+    return (value != "") & (value != REDACTED) & (start | shape | named)
 
 
 def placeholder(value: Column) -> Column:
@@ -94,23 +104,30 @@ def _weak(value: Column) -> Column:
     return (F.octet_length(value) < 8) | one | value.rlike(r"^(\$|<|%|\{\{)") | low.rlike("changeme|your[_-]|^example|redacted|placeholder") | low.isin(*PLACEHOLDER_WORDS)
 
 
+def may_match(line: Column) -> Column:
+    """Whether a line holds a plain text that one of the patterns needs."""
+    low = F.lower(line)
+    return (F.octet_length(line) <= MAX_LINE_BYTES) & _any(low, "contains", sorted({t for _, texts, _ in LINE_PATTERNS for t in texts}))
+
+
 def match_line(line: Column) -> Column:
     """SEC-SCAN of one line: a struct (type, field, length), null if nothing fits. Named values that are placeholders do not count."""
-    found = F.lit(None).cast("struct<type:string,field:string,length:int>")
-    for kind, pattern, field, value in reversed(LINE_PATTERNS):
-        got = F.regexp_extract(line, pattern, value)
-        here = line.rlike(pattern)
-        if kind in ("password", "api_key", "token", "cloud_credential") and "=:" in pattern:
+    found, low = F.lit(None).cast("struct<type:string,field:string,length:int>"), F.lower(line)
+    for kind, texts, pattern in reversed(LINE_PATTERNS):
+        got = F.regexp_extract(line, pattern, 2)  # never empty where the pattern fits
+        here = _any(low, "contains", texts) & (got != "")
+        if pattern.startswith(NAMED):
             here &= ~_weak(got)
-        found = F.when(here, F.struct(F.lit(kind).alias("type"), F.lower(F.regexp_extract(line, pattern, field)).alias("field"), F.octet_length(got).cast("int").alias("length"))).otherwise(found)
+        found = F.when(here, F.struct(F.lit(kind).alias("type"), F.lower(F.regexp_extract(line, pattern, 1)).alias("field"), F.octet_length(got).cast("int").alias("length"))).otherwise(found)
     return F.when(F.octet_length(line) <= MAX_LINE_BYTES, found)
 
 
 def scan_lines(lines: DataFrame, path: str = "path", line_no: str = "line_no", text: str = "line") -> DataFrame:
     """SEC-SCAN and SEC-REC: a record for each line that holds a credential; the line itself is dropped."""
-    hit = lines.withColumn("__hit", match_line(F.col(text))).where("__hit IS NOT NULL")
+    held = F.explode_outer(F.array(match_line(F.col(text)))).alias("__hit")  # from an array of one: a filter on it is not pushed below, so that a line is matched once
     others = [c for c in lines.columns if c not in (path, line_no, text)]
-    hit = hit.select(*others, F.col(path).alias("location"), F.col(line_no).alias("line"), "__hit.*")
+    hit = lines.where(may_match(F.col(text))).select(*others, F.col(path).alias("location"), F.col(line_no).alias("line"), held).where("__hit IS NOT NULL")
+    hit = hit.select(*others, "location", "line", "__hit.*")
     return hit.withColumn("fingerprint", secret_fingerprint(F.col("location"), F.col("line"), F.col("type")))
 
 
@@ -125,13 +142,14 @@ def redact_attributes(attributes: Column) -> Column:
 
 
 def redact_evidence(evidence: Column) -> Column:
-    """RED-02: array of structs with data, mode and reason."""
-    def one(e: Column) -> Column:
-        bad = secret_shaped(e["data"])
-        pick = lambda new, old: F.when(bad, new).otherwise(e[old])
-        return e.withField("data", pick(REDACTED, "data")).withField("mode", pick("full", "mode")).withField("reason", pick("secret-shaped value stripped at render", "reason"))
+    """RED-02: array of structs with data, mode and reason. Each value is tested once."""
+
+    def one(x: Column) -> Column:
+        pick = lambda new, old: F.when(x["bad"], new).otherwise(x["e"][old])
+        return x["e"].withField("data", pick(REDACTED, "data")).withField("mode", pick("full", "mode")).withField("reason", pick("secret-shaped value stripped at render", "reason"))
 
-    return F.transform(evidence, one)
+    tested = F.transform(evidence, lambda e: F.struct(e.alias("e"), secret_shaped(e["data"]).alias("bad")))
+    return F.transform(tested, one)
 
 
 def retained_secrets(df: DataFrame) -> DataFrame:

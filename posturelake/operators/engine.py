@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +45,9 @@ def choose(df: DataFrame, column: str, include: list[str] = (), exclude: list[st
     return df.where(~F.col(column).isin(*exclude)) if exclude else df
 
 
-def evaluate(tables: R.Tables, catalogue: DataFrame) -> DataFrame:
-    """ENG-04: matches of the rules that run on their host."""
-    runs = applicability(tables["hosts"], catalogue).where("reason = ''")
-    return R.matches(tables).join(runs, ["host_id", "rule_id"], "left_semi")
+def evaluate(tables: R.Tables, only: Iterable[str] | None = None) -> DataFrame:
+    """ENG-04: matches of the rules (all by default) that run on their host. ``tables`` holds ``hosts``, a row per host."""
+    return R.matches(tables, only, applicable=True)
 
 
 def status(confidence: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.enums import SEVERITY_RANK, STATUS_ORDER, SUPPORT_RANK, lookup, severity_rank
 from ..functions.risk import band
+from ..plans.lineage import cut
+from ..plans.numbering import number_rows
 
 # What entities are ordered by.
 ORDERS = {
@@ -66,21 +68,25 @@ def _objects() -> Column:
     return F.array_join("objects", "\x00")
 
 
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``place`` of each row within its host, from 1. A host of any size is sorted by many tasks."""
+    numbered = number_rows(cut(df), order, within=["host_id"], out="place")  # cut, since a range shuffle reads its input twice
+    return numbered.withColumn("place", (F.col("place") + 1).cast("int"))
+
+
 def finding_order(findings: DataFrame) -> DataFrame:
     """AGG-06: ``place`` of each finding of a host."""
-    w = Window.partitionBy("host_id").orderBy(F.desc("risk_int"), "rule_id", "module_id", "title", _objects(), "fingerprint")
-    return findings.withColumn("place", F.row_number().over(w))
+    return _placed(findings, [F.desc("risk_int"), *map(F.col, ("rule_id", "module_id", "title")), _objects(), F.col("fingerprint")])
 
 
 def match_order(findings: DataFrame) -> DataFrame:
     """AGG-07: the order before scoring."""
-    w = Window.partitionBy("host_id").orderBy("category", "rule_id", "title", _objects(), "fingerprint")
-    return findings.withColumn("place", F.row_number().over(w))
+    return _placed(findings, [*map(F.col, ("category", "rule_id", "title")), _objects(), F.col("fingerprint")])
 
 
 def entity_order(df: DataFrame, entity: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """AGG-08: ``place`` of each row of an entity table within its host."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("host_id").orderBy(*ORDERS[entity], *ties)))
+    return _placed(df, [F.col(x) for x in (*ORDERS[entity], *ties)])
 
 
 def limitations(status: DataFrame) -> DataFrame:

@@ -133,7 +133,8 @@ def idn_003(t: Tables) -> DataFrame:
 
 def sec_003(t: Tables) -> DataFrame:
     """The last mode that the host's assets give for a path."""
-    moded = t["assets"].where((c("path") != "") & (at("mode") != "")).groupBy("host_id", c("path").alias("location")).agg(F.max_by(at("mode"), "pos").alias("mode"))
+    assets = t["assets"].where(c("path") != "").select("host_id", c("path").alias("location"), "pos", at("mode").alias("mode"))
+    moded = assets.groupBy("host_id", "location").agg(F.max_by("mode", F.when(c("mode") != "", c("pos"))).alias("mode"))
     open_ = t["secrets"].join(moded, ["host_id", "location"]).where(~P.mode_is_restricted(c("mode")))
     return _matches(open_, "SEC-003", F.array("location"), {"mode": c("mode"), "type": c("type")})
 
@@ -278,19 +279,56 @@ BY_ID = {r.id: r for r in RULES}
 TABLES = ("hosts", "accounts", "sockets", "interfaces", "processes", "services", "software", "package_sources", "provenance", "secrets", "assets", "sshd_lines", "git_lines")
 
 
-def one_pass(rows: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Matches of all filter rules of one table, from a single scan."""
+#: Tables that the rules with ``build`` read.
+NEEDS = {
+    net_005: ("interfaces", "sockets"), rmt_001: ("sshd_lines",), rmt_002: ("sshd_lines",), idn_003: ("git_lines",), sec_003: ("assets", "secrets"), shl_001: ("hosts", "assets"),
+    pst_001: ("assets",), pst_002: ("assets",), sw_001: ("software", "package_sources"), sw_002: ("software",),
+}
+
+
+def needs(only: Iterable[str] | None = None) -> set[str]:
+    """The tables that the rules (all by default) read."""
+    chosen = [BY_ID[i] for i in only] if only is not None else RULES
+    return {t for r in chosen for t in (NEEDS[r.build] if r.build else (r.table,))}
+
+
+def one_pass(rows: DataFrame, rules: Iterable[Rule], runs: Callable[[Rule], Column] | None = None) -> DataFrame:
+    """Matches of all filter rules of one table, from a single scan. ``runs`` gives a condition of a rule on the row's host."""
     text = lambda made: F.lit(None).cast("string") if made is None else made()
-    found = [F.when(r.when(), F.struct(F.lit(r.id).alias("rule_id"), text(r.titled).alias("title"), text(r.impact).alias("impact"), F.array(*r.objects()).alias("objects"), _map(r.attributes()).alias("attributes"))) for r in rules]
-    return rows.select("host_id", F.explode(F.array_compact(F.array(*found))).alias("m")).select("host_id", "m.*")
+    when = lambda r: r.when() if runs is None else runs(r) & r.when()
+    found = [F.when(when(r), F.struct(F.lit(r.id).alias("rule_id"), text(r.titled).alias("title"), text(r.impact).alias("impact"), F.array(*r.objects()).alias("objects"), _map(r.attributes()).alias("attributes"))) for r in rules]
+    # outer, since the plain form also filters by the size of the array and so makes every match twice
+    return rows.select("host_id", F.explode_outer(F.array_compact(F.array(*found))).alias("m")).where("m IS NOT NULL").select("host_id", "m.*")
+
+
+def runs_on(rule: Rule, platform: Column, depth: Column, authorized: Column) -> Column:
+    """Whether a rule runs on a host (ENG-01), with the rule's side as constants; what is not known of a host does not keep a rule from running."""
+    known = lambda x: F.coalesce(x, F.lit(True))
+    wide = known(authorized) & known(depth >= rule.min_depth)
+    return wide & known(platform.isin(*rule.platforms)) if rule.platforms else wide
+
 
+def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool = False) -> DataFrame:
+    """ENG-04: matches of the rules (all by default) over the tables that are given; a rule whose table is missing is left out.
 
-def matches(tables: Tables, only: Iterable[str] | None = None) -> DataFrame:
-    """ENG-04: matches of the rules (all by default) over the tables that are given; a rule whose table is missing is left out."""
+    With ``applicable`` only where the rule runs on its host (table ``hosts``, a row per host): each evidence table is joined to the hosts once and what runs
+    is a part of each rule's condition, so that no table of hosts times rules is made and what does not apply is dropped in the scan.
+    """
     chosen = [BY_ID[i] for i in only] if only is not None else list(RULES)
-    parts = [one_pass(tables[t], mine) for t in TABLES if t in tables and (mine := [r for r in chosen if r.table == t])]
-    needs = {net_005: ["interfaces", "sockets"], rmt_001: ["sshd_lines"], rmt_002: ["sshd_lines"], idn_003: ["git_lines"], sec_003: ["assets", "secrets"], shl_001: ["hosts", "assets"], pst_001: ["assets"], pst_002: ["assets"], sw_001: ["software", "package_sources"], sw_002: ["software"]}
-    parts += [r.build(tables) for r in chosen if r.build and all(n in tables for n in needs[r.build])]
+    hosts = tables["hosts"].select("host_id", *[c(x).alias(f"host_{x}") for x in ("platform", "depth", "authorized")]) if applicable else None
+    runs = (lambda r: runs_on(r, c("host_platform"), c("host_depth"), c("host_authorized"))) if applicable else None
+    parts = []
+    for t in TABLES:
+        if t in tables and (mine := [r for r in chosen if r.table == t]):
+            rows = tables[t] if not applicable else tables[t].join(hosts, "host_id") if t != "hosts" else tables[t].withColumns({f"host_{x}": c(x) for x in ("platform", "depth", "authorized")})
+            parts.append(one_pass(rows, mine, runs))
+    built = [r for r in chosen if r.build and all(n in tables for n in NEEDS[r.build])]
+    if built:
+        out = reduce(DataFrame.unionByName, [r.build(tables) for r in built])
+        if applicable:
+            here = reduce(lambda a, b: a | b, [(c("rule_id") == r.id) & runs(r) for r in built])
+            out = out.join(hosts, "host_id").where(here).drop("host_platform", "host_depth", "host_authorized")
+        parts.append(out)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -14,7 +14,7 @@ from .registry import FUNCTIONS, ORACLES, QUERIES, Inputs, cases, flat_map, flat
 c = F.col
 
 for _id, _sql in O.rule_sql().items():
-    query(_id.lower(), _sql)(lambda i, rule=_id: flat_matches(rules.matches(i.evidence(*rules.TABLES), [rule])))
+    query(_id.lower(), _sql)(lambda i, rule=_id: flat_matches(rules.matches(i.evidence(*rules.needs([rule])), [rule])))
 
 
 # FN: column functions
@@ -137,7 +137,6 @@ query("rsk-05", f"SELECT {_ENUMS}, it AS impact_term, xt AS exploitability_term,
 # ENG: the engine over some of the rules
 
 FINDING_RULES = ["NET-001", "NET-002", "NET-003", "NET-004", "NET-005", "ACC-001", "ACC-002", "ACC-003", "ACC-004", "IDN-001", "IDN-002", "CLD-001", "ART-002", "PRV-003", "PRV-004"]
-_FINDING_TABLES = ("hosts", "accounts", "sockets", "interfaces", "package_sources")
 
 
 def _quoted(x: str) -> str:
@@ -181,12 +180,8 @@ def over_all_rules(name: str) -> None:
 
 def findings(i: Inputs) -> DataFrame:
     """Findings of FINDING_RULES, or of all rules for the queries whose name ends in -all."""
-    catalogue = rules.metadata(i.spark)
-    if i.every_rule:
-        return engine.build(engine.evaluate(i.evidence(*rules.TABLES), catalogue), catalogue)
-    tables = i.evidence(*_FINDING_TABLES)
-    runs = engine.applicability(tables["hosts"], catalogue).where("reason = ''")
-    return engine.build(rules.matches(tables, FINDING_RULES).join(runs, ["host_id", "rule_id"], "left_semi"), catalogue)
+    only = None if i.every_rule else FINDING_RULES
+    return engine.build(engine.evaluate(i.evidence("hosts", *rules.needs(only)), only), rules.metadata(i.spark))
 
 
 @query("eng-01", APPLIES_SQL)
@@ -209,7 +204,7 @@ def eng_03(i: Inputs) -> DataFrame:
 
 @query("eng-04", f"SELECT host_id, rule_id, count(*) AS n FROM ({_union(list(O.rule_sql()))}) JOIN ({APPLIES_SQL}) USING (host_id, rule_id) WHERE reason = '' GROUP BY ALL")
 def eng_04(i: Inputs) -> DataFrame:
-    return engine.evaluate(i.evidence(*rules.TABLES), rules.metadata(i.spark)).groupBy("host_id", "rule_id").agg(F.count("*").alias("n"))
+    return engine.evaluate(i.evidence(*rules.TABLES)).groupBy("host_id", "rule_id").agg(F.count("*").alias("n"))
 
 
 _FLAT = "host_id, rule_id, module_id, title, category, severity, exposure, privilege, sensitivity, confidence, objects, risk_raw, risk_score, risk_int, risk_band"
@@ -244,10 +239,5 @@ def eng_09(i: Inputs) -> DataFrame:
 
 def flagship(i: Inputs) -> DataFrame:
     """Per-host summary of the network findings."""
-    catalogue = rules.metadata(i.spark)
-    tables = i.evidence("hosts", "sockets")
-    runs = engine.applicability(tables["hosts"], catalogue).where("reason = ''")
-    found = rules.matches(tables, ["NET-001", "NET-002", "NET-004"]).join(runs, ["host_id", "rule_id"], "left_semi")
-    return report.summary(engine.build(found, catalogue))
-
-
+    found = engine.evaluate(i.evidence("hosts", "sockets"), ["NET-001", "NET-002", "NET-004"])
+    return report.summary(engine.build(found, rules.metadata(i.spark)))

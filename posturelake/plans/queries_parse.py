@@ -15,7 +15,9 @@ from ..streaming import live
 from . import rule_oracles as O
 from .evidence import GIT_LINES, SSHD_LINES, lines, lines_sql
 from .queries_core import FINDINGS_SQL, findings, over_all_rules
-from .queries_reports import LINES_SQL, ROLLUP_SQL, _shape_sql, limits
+from .queries_reports import ROLLUP_SQL, limits
+from .secret_oracles import LINES as LINES_SQL
+from .secret_oracles import shaped as _shape_sql
 from .registry import Inputs, cases, query
 
 c = F.col

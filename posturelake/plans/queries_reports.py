@@ -11,6 +11,7 @@ from ..functions import secrets as S
 from ..operators import correlate, engine, report, rules
 from ..operators.components import components
 from . import rule_oracles as O
+from . import secret_oracles as Q
 from .queries_core import ALL_FINDINGS_SQL, APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship, over_all_parts
 from .lineage import cut
 from .registry import Inputs, query
@@ -19,66 +20,24 @@ c = F.col
 
 # SEC and RED over whole texts
 
-LINES_SQL = "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents"
-
-
 def _lines(i: Inputs) -> DataFrame:
     return i.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", c("line_no") + 1)
 
 
-def _re(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def _weak_sql(v: str) -> str:
-    return (
-        f"(strlen({v}) < 8 OR replace({v}, left({v}, 1), '') = '' OR regexp_matches(lower({v}), '^(0123456789|123456789?0?)$') OR regexp_matches({v}, '^([$]|<|%|[{{][{{])') "
-        f"OR regexp_matches(lower({v}), 'changeme|your[_-]|^example|redacted|placeholder') OR lower({v}) IN ('true', 'false', 'none', 'null', 'prompt', 'ask', '-', '--', '0', '1'))"
-    )
-
-
-def _scan_arms() -> tuple[str, str, str]:
-    kinds, fields, lengths = [], [], []
-    for kind, pattern, field, value in S.LINE_PATTERNS:
-        here = f"regexp_matches(line, {_re(pattern)})"
-        got = f"regexp_extract(line, {_re(pattern)}, {value})"
-        if kind in ("password", "api_key", "token", "cloud_credential") and "=:" in pattern:
-            here += f" AND NOT {_weak_sql(got)}"
-        kinds.append(f"WHEN {here} THEN '{kind}'")
-        fields.append(f"WHEN {here} THEN lower(regexp_extract(line, {_re(pattern)}, {field}))")
-        lengths.append(f"WHEN {here} THEN strlen({got})")
-    return tuple(f"CASE {' '.join(a)} END" for a in (kinds, fields, lengths))
-
-
-_K, _F, _L = _scan_arms()
-SCAN_SQL = f"SELECT doc_id, line_no AS line, {_K} AS type, {_F} AS field, CAST({_L} AS INTEGER) AS length FROM ({LINES_SQL}) WHERE strlen(line) <= 4096 AND {_K} IS NOT NULL"
-
-
 def _scan(i: Inputs) -> DataFrame:
     return S.scan_lines(_lines(i).withColumn("path", F.concat(F.lit("doc:"), c("doc_id").cast("string"))))
 
 
-query("sec-scan", SCAN_SQL)(lambda i: _scan(i).select("doc_id", "line", "type", "field", "length"))
-query("sec-rec", f"SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS location, line, type, length, substr(sha256('doc:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line AS VARCHAR) || ':' || type), 1, 12) AS fingerprint FROM ({SCAN_SQL})")(lambda i: _scan(i).select("location", "line", "type", "length", "fingerprint"))
-
-
-def _shape_sql(v: str) -> str:
-    low = f"lower(trim({v}))"
-    rest = f"trim(ltrim(regexp_extract({v}, {_re('(?s)' + S.ASSIGNMENT + '(.*)$')}, 1), '\"''` ' || chr(9)))"
-    prefixes = " OR ".join(f"starts_with({low}, '{p}')" for p in S.VALUE_PREFIXES)
-    return f"({v} <> '' AND {v} <> '<redacted>' AND ({prefixes} OR regexp_matches({v}, {_re('(?is)' + '|'.join(S.VALUE_SHAPES))}) OR strlen({rest}) >= 8))"
-
-
-def _key_sql(v: str) -> str:
-    return f"regexp_matches(lower({v}), '^(secret|token|password|passwd|key|credential|private|auth)|secret|password|credential|apikey')"
+query("sec-scan", Q.SCAN)(lambda i: _scan(i).select("doc_id", "line", "type", "field", "length"))
+query("sec-rec", f"SELECT 'doc:' || CAST(doc_id AS VARCHAR) AS location, line, type, length, substr(sha256('doc:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line AS VARCHAR) || ':' || type), 1, 12) AS fingerprint FROM ({Q.SCAN})")(lambda i: _scan(i).select("location", "line", "type", "length", "fingerprint"))
 
 
-query("sec-shape", f"SELECT doc_id, line_no FROM ({LINES_SQL}) WHERE {_shape_sql('line')}")(lambda i: _lines(i).where(S.secret_shaped(c("line"))).select("doc_id", "line_no"))
-query("sec-key", f"SELECT host_id, name, value, {_key_sql('name')} AS secret FROM v_env")(lambda i: i.view("v_env").select("host_id", "name", "value", S.secret_key_name(c("name")).alias("secret")))
-query("red-01", f"SELECT host_id, name, CASE WHEN {_key_sql('name')} OR {_shape_sql('value')} THEN '<redacted>' ELSE value END AS value FROM v_env")(
+query("sec-shape", f"SELECT doc_id, line_no FROM ({Q.LINES}) WHERE {Q.shaped('line')}")(lambda i: _lines(i).where(S.secret_shaped(c("line"))).select("doc_id", "line_no"))
+query("sec-key", f"SELECT host_id, name, value, {Q.key_name('name')} AS secret FROM v_env")(lambda i: i.view("v_env").select("host_id", "name", "value", S.secret_key_name(c("name")).alias("secret")))
+query("red-01", f"SELECT host_id, name, CASE WHEN {Q.key_name('name')} OR {Q.shaped('value')} THEN '<redacted>' ELSE value END AS value FROM v_env")(
     lambda i: i.view("v_env").withColumn("m", S.redact_attributes(F.create_map("name", "value"))).select("host_id", "name", c("m")[c("name")].alias("value"))
 )
-query("red-02", f"SELECT doc_id, line_no, CASE WHEN {_shape_sql('line')} THEN '<redacted>' ELSE line END AS data, CASE WHEN {_shape_sql('line')} THEN 'full' ELSE 'none' END AS mode, CASE WHEN {_shape_sql('line')} THEN 'secret-shaped value stripped at render' ELSE '' END AS reason FROM ({LINES_SQL})")(
+query("red-02", f"SELECT doc_id, line_no, CASE WHEN {Q.shaped('line')} THEN '<redacted>' ELSE line END AS data, CASE WHEN {Q.shaped('line')} THEN 'full' ELSE 'none' END AS mode, CASE WHEN {Q.shaped('line')} THEN 'secret-shaped value stripped at render' ELSE '' END AS reason FROM ({Q.LINES})")(
     lambda i: _lines(i).withColumn("e", S.redact_evidence(F.array(F.struct(c("line").alias("data"), F.lit("none").alias("mode"), F.lit("").alias("reason"))))).select("doc_id", "line_no", "e.data", "e.mode", "e.reason").select("doc_id", "line_no", *[c(n)[0].alias(n) for n in ("data", "mode", "reason")])
 )
 query("red-03", "SELECT * FROM (VALUES ('location', 0), ('type', 0), ('field', 0), ('fingerprint', 0)) AS t(column_name, retained)")(lambda i: S.retained_secrets(_scan(i).select("location", "type", "field", "fingerprint")))

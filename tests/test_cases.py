@@ -4,11 +4,13 @@ import itertools
 
 import pytest
 from pyspark.sql import functions as F
+from rows import TINY
 
 from posturelake.functions import names, paths, risk, secrets
 from posturelake.operators import correlate, engine, parse, report, rules
 from posturelake.operators.components import components
 from posturelake.plans.numbering import number_rows, running_total
+from posturelake.plans.registry import Inputs
 from posturelake.sources import lines as L
 
 
@@ -117,7 +119,7 @@ def workstation(spark) -> dict:
 def test_recorded_workstation(spark):
     meta = rules.metadata(spark)
     t = workstation(spark)
-    found = engine.build(engine.evaluate(t, meta), meta)
+    found = engine.build(engine.evaluate(t), meta)
     assert {r["rule_id"]: r["risk_score"] for r in found.collect()} == {"NET-001": 83.3, "NET-002": 83.3, "SEC-002": 75.0, "IDN-002": 33.8, "ACC-003": 19.0}
     total = report.summary(found).first()
     assert (total["total"], total["max_risk"], total["mean_risk"], total["risk_band"]) == (5, 83, 58, "high")
@@ -211,3 +213,26 @@ def test_reports_hold_limitations(spark):
         want.setdefault(r["host_id"], []).append(r["limitation"])
     got = {int(r["host_id"]): r["limitations"] for r in queries_parse.written_reports(i).collect()}
     assert got == {h: sorted(want[h]) if h in want else None for h in got} and any(got.values())
+
+
+def test_rules_that_run_are_chosen_in_the_scan(spark):
+    """No table of hosts times rules: a table is scanned once for its filter rules and once for each rule that joins or aggregates it."""
+    found = engine.evaluate(Inputs(spark, TINY).evidence(*rules.TABLES))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "LocalRelation" not in plan
+    assert plan.count("Relation [l_") == 2  # sockets: filter rules, NET-005
+    assert plan.count("Relation [o_") == 7  # assets and secrets: filter rules; SEC-003 (both), SHL-001, PST-001, PST-002 (assets)
+
+
+def test_applicability_in_the_scan_equals_the_table(spark):
+    """evaluate() finds what matches() finds where applicability() gives no reason, unknown platforms, depths and authorizations included."""
+    hosts = [(n, p, d, a) for n, (p, d, a) in enumerate(itertools.product(["linux", "windows", "darwin", None], [1, 2, 3, None], [True, False, None]))]
+    df = spark.createDataFrame(hosts, "host_id long, platform string, depth int, authorized boolean")
+    sockets = df.select("host_id", F.lit("loopback").alias("scope"), F.lit("127.0.0.1").alias("addr"), F.lit(22).alias("port"), F.lit("x").alias("process"), F.lit(1).alias("pid"), F.lit("tcp").alias("proto"))
+    lines = df.select("host_id", F.lit("/etc/ssh/sshd_config").alias("path"), F.lit(1).alias("pos"), F.lit("PermitRootLogin yes").alias("line"))
+    tables = {"hosts": df, "sockets": sockets, "sshd_lines": lines}
+    only = ["NET-003", "RMT-001", "RMT-002"]
+    runs = engine.applicability(df, rules.metadata(spark)).where("reason = ''")
+    want = rules.matches(tables, only).join(runs, ["host_id", "rule_id"], "left_semi")
+    pairs = lambda m: sorted(map(tuple, m.select("host_id", "rule_id").collect()))
+    assert pairs(engine.evaluate(tables, only)) == pairs(want) != []
