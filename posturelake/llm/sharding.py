@@ -1,7 +1,8 @@
 """Minimax contiguous partition of groups of equal texts into shards.
 
 Groups are atomic and ordered. The smallest capacity is searched for with which greedy filling needs no more shards than there are; cuts go
-where the greedy filling at that capacity ends a shard. The sizes stay in Spark as running totals: a greedy step asks, for all capacities
+where the greedy filling at that capacity ends a shard. No cut can help a group that outweighs a fair share, so that by rule such giants are taken out first,
+the largest at a time, and each is a shard of its own behind the others; what is left is contiguous. The sizes stay in Spark as running totals: a greedy step asks, for all capacities
 that a round tries, for the largest total that a shard can reach.
 """
 
@@ -67,8 +68,9 @@ def minimax_cuts(ends: DataFrame, shards: int, largest: int, whole: int) -> list
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot and grown_shard (null) of every row.
 
-    Size is the UTF-8 bytes of the text and 1. Equal texts are one group, in the order of their least id (null first); null text is empty. A group that
-    alone holds a shard's fair share or more gets a shard of its own, the last ones, and the rest is cut into those that are left. Slots are gapless from
+    Size is the UTF-8 bytes of the text and 1. Equal texts are one group, in the order of their least id (null first); null text is empty. Giants: while the largest
+    group holds at least a fair share of what is left, it gets a shard of its own, from the last but those taken, and the rest is cut into those that are
+    left, contiguous in the stated order. Texts of any length count whole; an empty table gives an empty one; further columns are not looked at. Slots are gapless from
     0 in each shard, by group and id; repeated rows get slots of their own. With few groups some shards are empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

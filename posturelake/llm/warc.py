@@ -172,7 +172,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every row of ``pages``, from archives that are written and read back.
 
     Null html is an empty payload. Null ids come last when the least is sought; a payload of null ids only is a response in each. Repeated rows of the least id
-    are responses, of other ids revisits.
+    are responses, of other ids revisits; rows equal in id, URL and payload share their record ids. A payload of any length is one record and must fit a
+    task. An empty table gives an empty one, and further columns are not looked at.
     """
     spark = pages.sparkSession
     folder = folder or f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -181,7 +182,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFr
     read = cut(read_archives(spark, folder, payloads=False))  # several joins read it
     made = cut(transactions(read).select("record_id", "type", "refers_to", "digest", "payload_bytes", page.try_cast("long").alias("page_id")))
     held = made.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("page_id").alias("from_page"), F.first("payload_bytes").alias("from_bytes"))
-    out = made.join(held, "refers_to", "left")
+    revisits = made.where("type = 'revisit'").join(held, "refers_to", "left")  # responses refer to none, and so stay out of the join
+    out = made.where("type = 'response'").withColumns({"from_page": F.lit(None).cast("long"), "from_bytes": F.lit(None).cast("long")}).unionByName(revisits)
     return out.select("page_id", F.coalesce("payload_bytes", "from_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("from_page").alias("refers_to"))
 
 

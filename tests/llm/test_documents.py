@@ -448,12 +448,35 @@ def test_sharding_is_minimax(spark):
     assert max(r[1] for r in got) == plain_capacity(list(sizes.values()), 8)
 
 
-def test_sharding_gives_a_giant_its_own_shard(spark):
-    rows = [(i, "giant " * 50 if i % 3 == 0 else f"text {i}" * 5, "en", "s", 0) for i in range(300)]
-    got = {r[0]: r[1] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).groupBy("shard").agg(F.sum("size")).collect()}
-    giant = max(got.values())
-    others = [v for v in got.values() if v != giant]
-    assert len(others) == 7 and max(others) < 1.2 * min(others)
+@pytest.mark.parametrize("giants", [[], [0.5], [0.3, 0.3], [0.3, 0.14, 0.05]])
+def test_sharding_with_giants(spark, giants):
+    """Giants stand alone in the last shards; all others are cut minimax, contiguous in the order of their least ids."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(20, 300))) for _ in range(200)]
+    whole = sum(map(len, texts))
+    big = {f"giant {k} ": int(share / (1 - sum(giants)) * whole) for k, share in enumerate(giants)}
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    rows += [(1000 * (k + 1) + i, g * 20, "en", "s", 0) for k, (g, n) in enumerate(big.items()) for i in range(n // (20 * len(g)))]
+    rng.shuffle(rows)
+    sizes, least = Counter(), {}
+    for d, t, *_ in rows:
+        sizes[t] += len(t) + 1
+        least[t] = min(least.get(t, d), d)
+    left, rest, alone = 8, dict(sizes), []
+    while left > 1 and max(rest.values()) * left >= sum(rest.values()):
+        alone.append(max(rest, key=rest.get))
+        del rest[alone[-1]]
+        left -= 1
+    order = sorted(rest, key=least.get)
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert len(alone) == sum(g > 1 / 8 for g in giants)
+    assert sorted(got[least[t]] for t in alone) == list(range(left, 8))
+    shards = [got[least[t]] for t in order]
+    assert shards == sorted(shards) and set(shards) == set(range(left))
+    filled = Counter()
+    for t in order:
+        filled[got[least[t]]] += rest[t]
+    assert max(filled.values()) == plain_capacity([rest[t] for t in order], left)
 
 
 # op9
@@ -464,7 +487,9 @@ def test_line_dedup(spark):
     shared = ["This license line stands in many of the documents here", "short", "Another   shared line that is certainly long enough, É", "this LICENSE line stands in many of the documents here"]
     rows = [(i, "\n".join(rng.choice([*shared, f"own line number {i} of the document with some more words {k}"]) + rng.choice(["", " ", "\t"]) for k in range(rng.randint(1, 8))), "en", "s", 0) for i in range(40)]
     rows += [(50, None, None, None, None), (51, "", "en", "s", 0), (51, "", "en", "s", 0), (None, shared[0] + "\nx", None, None, 1), (7, rows[7][1], "en", "s", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(1) for n in ("h", "doc", "keeper", "n")})
+    rows += [(60, "\n".join(shared[k % 3] if k % 5 else f"own line {k}" for k in range(100_000)), "en", "s", 0)]  # a very long text
+    own = "h doc keeper n id digest pos gone kept n_lines n_dropped __lost __doc __left __kept".split()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(1) for n in own})
     where = defaultdict(set)
     norm = lambda x: ascii_lower(x.strip(SPACE))
     rank = lambda d: -1 if d is None else d

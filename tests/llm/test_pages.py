@@ -3,13 +3,18 @@
 import base64
 import hashlib
 import random
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rows import TINY
+from test_documents import plain_fingerprint, plain_groups
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from posturelake.llm import hamming, quality, urlfilter, warc
+from posturelake.llm import hamming, packing, quality, urlfilter, warc
 from posturelake.plans.lineage import checkpoint_folder
 
 
@@ -147,8 +152,8 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     sizes = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, TINY)
-        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        columns, docs = docs.columns, stage(spark, docs, TINY)
+        assert docs.columns == columns
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, TINY)
@@ -159,6 +164,74 @@ def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, TINY).count() > 0
 
 
+def test_pipeline_equals_plain_python(spark):
+    """The rows after each stage against a plain version, with null and repeated ids, junk, near copies, shared lines and clashing columns."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    license_line = "This line of a license stands in many of the documents, word by word"
+    sound = [(i, words(rng.randint(40, 200)), "en", rng.choice("ab")) for i in range(150)]
+    sound += [(200 + i, words(60) + "\n" + license_line + "\n" + words(5), "en", "b") for i in range(7)]
+    base = words(400)
+    sound += [(300 + i, base + " " + words(1), "en", "a") for i in range(4)] + [(310, base, "en", "b"), (None, words(80), "en", "a"), (None, base, "en", None), (7, words(70), "en", "a"), (8, base, "fr", "a")]
+    junk = [(7, " ".join("ab$$$%%%" + "".join(rng.choice("abcd") for _ in range(12)) for _ in range(100)), "en", "a"), (None, " ".join("x###&&&|||" + "".join(rng.choice("abcd") for _ in range(12)) for _ in range(90)), "en", "b")]
+    junk += [(8, "too short", "en", "a"), (None, None, None, None), (9, "five words again and again " * 30, "en", "b"), (11, "", "en", "a")]
+    rows = [(*r, len(r[1] or ""), "kept") for r in [*sound, *junk]]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    stage = {name: f for name, f in corpus_pipeline.STAGES}
+    ordered = lambda rs: sorted(map(key, map(tuple, rs)))
+
+    docs = stage["quality rules"](spark, docs, TINY)
+    now = docs.collect()
+    assert ordered(now) == ordered((*r, len(r[1]), "kept") for r in sound)
+
+    docs = stage["line dedup"](spark, docs, TINY)
+    lost = max(d for d, t, *_ in sound if d is not None and license_line in t)
+    after = []
+    for r in map(tuple, now):
+        text = r[1] if r[0] == lost else "\n".join(x for x in r[1].split("\n") if x != license_line)
+        after.append((r[0], text, *r[2:4], r[4] if text == r[1] else len(text), r[5]))
+    now = docs.collect()
+    assert ordered(now) == ordered(after)
+
+    docs = stage["SimHash near-dedup"](spark, docs, TINY)
+    known = [r for r in after if r[0] is not None]
+    groups = plain_groups([r[0] for r in known], [plain_fingerprint(r[1]) for r in known])
+    keep = [r for r, g in zip(known, groups) if r[0] == g] + [r for r in after if r[0] is None]
+    now = docs.collect()
+    assert ordered(now) == ordered(keep) and len(keep) < len(after)
+
+    docs = stage["mixing"](spark, docs, TINY)
+    mixed = Counter(map(tuple, docs.collect()))
+    size = {r: len(r[1].split()) for r in keep}
+    assert set(mixed) <= set(keep) and max(mixed.values()) <= 3
+    assert Counter(map(tuple, docs.collect())) == mixed
+    taken, whole = Counter(), Counter()
+    for r in keep:
+        taken[r[3]] += mixed[r] * size[r]
+        whole[r[3]] += size[r]
+    # two sources weigh 5 and 2, the third, of one text, 1; it stops at three times its size
+    goal = {None: 3.0 * whole[None]}
+    rest = sum(whole.values()) - goal[None]
+    goal |= {"a": rest * 5 / 7, "b": rest * 2 / 7}
+    assert goal["a"] <= 3 * whole["a"] and all(abs(taken[s] - goal[s]) <= 0.05 * goal[s] for s in goal)
+
+    packed = stage["best-fit packing"](spark, docs, TINY).collect()
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = []
+    for r, n in mixed.items():
+        ids = np.array([*tok.encode(r[1], add_special_tokens=False).ids, 1], "<u4")
+        want += [(r[0], 0, 0, len(ids), zlib.crc32(ids.tobytes()))] * n
+    assert ordered((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == ordered(want)
+    by = defaultdict(list)
+    for r in packed:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= packing.CAPACITY
+    assert len(by) <= -(-sum(r["length"] for r in packed) // packing.CAPACITY) + 1
+
+
 def test_pipeline_takes_odd_rows(odd, empty, spark):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
