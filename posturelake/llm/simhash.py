@@ -1,16 +1,16 @@
 """SimHash near-duplicates by a Gray-ordered hierarchical index.
 
-Fingerprints that differ in at most two bits are linked. The distinct fingerprints are sorted by Gray rank,
-so that neighbours share many bits, and cut into groups of equal size. A node stands for consecutive
-fingerprints (or nodes) and holds the bits on which all of them agree. A search goes down from the top, adds up the
-differences on the bits that a node shares beyond its parent, and leaves a node with all that it holds once the sum
-is over the limit. The top of the index (at most MAX_GROUPS nodes, whatever the input) routes each fingerprint to
-the groups that can hold a match; each group's own levels are built and searched where the group is.
+Fingerprints that differ in at most ``limit`` bits are linked. The upper nodes of the index stand for shared bit patterns under a mask: the bits are cut
+into ``limit`` + 1 parts, of which two linked fingerprints have at least one in common, so that each fingerprint goes to one node for each
+part, and whole nodes that differ there are pruned without a look. A node that holds too many is cut again by the bits that are still free. Below, a
+node's fingerprints are sorted by Gray rank, so that neighbours share many bits; lower nodes stand for consecutive fingerprints (or nodes) and hold the
+bits on which all of them agree. A search goes down, adds up the differences on the bits that a node shares beyond its parent, and leaves a node with all
+that it holds once the sum is over the limit.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..plans.lineage import cut
-from ..plans.numbering import number_rows
-from .common import LOWER, UPPER, map_batches, map_texts, nested
+from .common import LOWER, UPPER, map_batches, map_texts, nested, sized
 
 SEED = 42
 FANOUT = 8
-#: Groups of the index at most: bounds what the driver holds and sends of it. Below that, rows of a group.
-MAX_GROUPS, GROUP_ROWS = 4096, 1024
+#: Fingerprints of an upper node at most; larger ones are cut again. Those of up to LEAF are compared as they lie.
+NODE_ROWS, LEAF = 4096, 16
 _QUERIES = 1024  # searched at once
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -125,77 +124,84 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return names[moved], names[root[moved]]
 
 
+def _parts(mask: int, limit: int) -> list[int]:
+    """The bits outside ``mask``, cut into ``limit`` + 1 masks of nearly equal size, from the top."""
+    free = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    edges = [len(free) * k // (limit + 1) for k in range(limit + 2)]
+    return [sum(1 << b for b in free[s:e]) for s, e in zip(edges, edges[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def upper_nodes(codes: DataFrame, limit: int = 2) -> DataFrame:
+    """(mask, value, fp, node): the codes of each upper node, which agree in ``value`` on the bits of ``mask``.
+
+    Two codes that differ in at most ``limit`` bits meet in a node. A node of over NODE_ROWS codes is cut by the bits outside its mask. Since codes are distinct, a node holds at most
+    two to the number of its free bits, of which each cut leaves about two thirds, so that the rounds are few whatever the codes are.
+    """
+    spark, ready = codes.sparkSession, []
+    rows, masks = codes.select(F.lit(0).cast("long").alias("mask"), "fp", "node"), [0]
+    while masks:
+        finer = [(_signed(m), [_signed(m | p) for p in _parts(m, limit)]) for m in masks]
+        finer = spark.createDataFrame(finer, "mask long, finer array<long>")
+        rows = rows.join(F.broadcast(finer), "mask").select(F.explode("finer").alias("mask"), "fp", "node")
+        rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        full = sized(cut(rows.groupBy("mask", "value").agg(F.count("*").alias("held")).where(F.col("held") > NODE_ROWS).select("mask", "value")))
+        masks = [r[0] & (1 << 64) - 1 for r in full.select("mask").distinct().collect()]  # as many as there are ways to cut, whatever the codes are
+        if masks:
+            rows = cut(rows)
+        ready.append(rows.join(full, ["mask", "value"], "left_anti") if masks else rows)
+        rows = rows.join(full, ["mask", "value"], "left_semi").drop("value") if masks else rows
+    out = ready[0]
+    for more in ready[1:]:
+        out = out.unionByName(more)
+    return out.select("mask", "value", "fp", "node")
+
+
+def _near(fp: np.ndarray, node: np.ndarray, starts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning stars of the pairs within ``limit`` bits in each upper node; nodes begin at ``starts`` and lie in Gray order."""
+    sizes = np.diff(np.append(starts, len(fp)))
+    upper = np.repeat(np.arange(len(starts)), sizes)
+    leaf = np.repeat(sizes <= LEAF, sizes)
+    for d in range(1, min(LEAF, int(sizes.max(initial=0)))):
+        at = np.flatnonzero((upper[d:] == upper[:-d]) & leaf[d:])
+        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= limit]
+        if len(at):
+            yield _forest(node[at], node[at + d])
+    for s, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+        codes, names = fp[s : s + n], node[s : s + n]
+        index = GrayIndex(codes, codes)
+        for i in range(0, n, _QUERIES):
+            who, found = index.search(codes[i : i + _QUERIES], limit)
+            later = found > who + i  # each pair once
+            if later.any():
+                yield _forest(names[who[later] + i], names[found[later]])
+
+
 def links(codes: DataFrame, limit: int = 2) -> DataFrame:
     """(src, dst) edges that join the same nodes as all pairs of codes within ``limit`` bits.
 
-    ``codes`` has distinct ``fp`` and their ``node``. A group reports a spanning star of what it found
+    ``codes`` has distinct ``fp`` and their ``node``. An upper node reports a spanning star of what it found
     rather than each pair, so that dense groups of near copies stay linear.
     """
-    ordered = number_rows(codes.select("fp", "node", gray_rank(F.col("fp")).alias("rank")), [F.col("rank")], out="place").select("fp", "node", "place")
-    total = ordered.count()
-    rows = max(GROUP_ROWS, math.ceil(total / MAX_GROUPS))
-    grouped = ordered.select("fp", "node", F.expr(f"int(place div {rows})").alias("grp"))
-    tops = sorted(tuple(r) for r in grouped.groupBy("grp").agg(F.expr("bit_and(fp)"), F.expr("bit_or(fp)")).collect())  # at most MAX_GROUPS rows
-    low, high = (np.array([t[i] for t in tops], np.int64).view(np.uint64) for i in (1, 2))
-
-    def route(copies: list[int] | None):
-        """Rows (grp, part, role, fp, node): role 0 to be searched in, 1 to search for; without copies, the groups only."""
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            top = GrayIndex(low, high)
-            for b in batches:
-                fp, node, own = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                for i in range(0, len(fp), _QUERIES):
-                    f, nd, g = fp[i : i + _QUERIES], node[i : i + _QUERIES], own[i : i + _QUERIES]
-                    who, to = top.search(f.view(np.uint64), limit)
-                    later = to >= g[who]  # each pair is met once, in the later group
-                    who, to = who[later], to[later].astype(np.int32)
-                    if copies is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(to)], ["grp"])
-                        continue
-                    parts = np.array(copies, np.int64)
-                    mine = np.repeat(np.arange(len(f)), parts[g])
-                    nth = np.arange(len(mine)) - np.repeat(np.cumsum(parts[g]) - parts[g], parts[g])
-                    part = (_ranks(f.view(np.uint64))[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[to]
-                    cols = [np.concatenate(x) for x in ((g[mine].astype(np.int32), to), (nth, part), (np.zeros(len(mine), np.int32), np.ones(len(who), np.int32)), (f[mine], f[who]), (nd[mine], nd[who]))]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], ["grp", "part", "role", "fp", "node"])
-
-        return each
-
-    counts = {r[0]: r[1] for r in map_batches(grouped, route(None), "grp int").groupBy("grp").count().collect()}  # at most MAX_GROUPS rows
-    usual = max(4 * rows, 2 * sum(counts.values()) // max(1, len(counts)))
-    copies = [max(1, math.ceil(counts.get(t[0], 0) / usual)) for t in tops]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index, ranks, names = None, [], None, None, None
-        for b in batches:
-            grp, part, role, fp, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            key = grp.astype(np.int64) << 33 | part.astype(np.int64) << 1 | role
-            edges = np.flatnonzero(np.diff(key)) + 1
-            for s, e in zip([0, *edges], [*edges, len(key)]):
-                if s == e:
-                    continue
-                if key[s] >> 1 != at:
-                    at, held, index = key[s] >> 1, [], None
-                if not key[s] & 1:
-                    held.append((fp[s:e].view(np.uint64), node[s:e]))
-                    continue
-                if index is None:
-                    codes, names = (np.concatenate(x) for x in zip(*held))
-                    ranks = _ranks(codes)
-                    order = np.argsort(ranks)
-                    codes, names, ranks, held = codes[order], names[order], ranks[order], []
-                    index = GrayIndex(codes, codes)
-                for i in range(s, e, _QUERIES):
-                    f, n = fp[i : min(e, i + _QUERIES)].view(np.uint64), node[i : min(e, i + _QUERIES)]
-                    who, found = index.search(f, limit)
-                    later = ranks[found] > _ranks(f)[who]
-                    if later.any():
-                        src, dst = _forest(n[who[later]], names[found[later]])
-                        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-    routed = map_batches(grouped, route(copies), "grp int, part int, role int, fp long, node long")
-    return routed.repartition("grp", "part").sortWithinPartitions("grp", "part", "role").mapInArrow(find, "src long, dst long")
+        held = [np.empty(0, np.int64) for _ in range(4)]  # the rows of the last upper node, which may go on
+        for b in itertools.chain(batches, [None]):
+            cols = held if b is None else [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            mask, value, fp, node = cols
+            if not len(fp):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(value) != 0)) + 1])
+            end = len(fp) if b is None else int(starts[-1])
+            held = [c[end:] for c in cols]
+            for src, dst in _near(fp[:end].view(np.uint64), node[:end], starts[starts < end], limit):
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    dealt = upper_nodes(codes, limit).repartition("mask", "value").sortWithinPartitions("mask", "value", gray_rank(F.col("fp")))
+    return map_batches(dealt, find, "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 2) -> DataFrame:

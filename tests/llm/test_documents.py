@@ -71,7 +71,9 @@ def test_simhash_odd_rows(clashing, odd_rows):
     assert got == sorted(want, key=key)
 
 
-def test_gray_index_finds_every_link(spark):
+@pytest.mark.parametrize("rows", [100, 4096])
+def test_gray_index_finds_every_link(spark, rows):
+    """With upper nodes that are cut again and without."""
     rng = random.Random(5)
     codes = {rng.getrandbits(64) for _ in range(1500)}
     for c in list(codes)[:300]:  # near copies, some of them of near copies
@@ -83,12 +85,14 @@ def test_gray_index_finds_every_link(spark):
     codes = sorted(codes)
     signed = np.array(codes, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame(list(zip(signed, range(len(codes)))), "fp long, node long").repartition(7)
-    old = simhash.GROUP_ROWS
-    simhash.GROUP_ROWS = 64
+    old = simhash.NODE_ROWS
+    simhash.NODE_ROWS = rows
     try:
         edges = simhash.links(df).collect()
+        copies = simhash.upper_nodes(df).count()
     finally:
-        simhash.GROUP_ROWS = old
+        simhash.NODE_ROWS = old
+    assert copies == 3 * len(codes) if rows > len(codes) else copies > 3 * len(codes)
     from posturelake.operators.components import components
 
     got = dict(components(spark.createDataFrame(edges, "src long, dst long")).collect())
