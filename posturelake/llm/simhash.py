@@ -141,19 +141,19 @@ def upper_nodes(codes: DataFrame, limit: int = 2) -> DataFrame:
     Two codes that differ in at most ``limit`` bits meet in a node. A node of over NODE_ROWS codes is cut by the bits outside its mask. Since codes are distinct, a node holds at most
     two to the number of its free bits, of which each cut leaves about two thirds, so that the rounds are few whatever the codes are.
     """
-    spark, ready = codes.sparkSession, []
-    rows, masks = codes.select(F.lit(0).cast("long").alias("mask"), "fp", "node"), [0]
+    spark, ready, cut_by = codes.sparkSession, [], lambda m: [_signed(m | p) for p in _parts(m, limit)]
+    rows, masks = codes.select(F.array(*[F.lit(x).cast("long") for x in cut_by(0)]).alias("finer"), "fp", "node"), [0]
     while masks:
-        finer = [(_signed(m), [_signed(m | p) for p in _parts(m, limit)]) for m in masks]
-        finer = spark.createDataFrame(finer, "mask long, finer array<long>")
-        rows = rows.join(F.broadcast(finer), "mask").select(F.explode("finer").alias("mask"), "fp", "node")
+        rows = rows.select(F.explode("finer").alias("mask"), "fp", "node")
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         full = sized(cut(rows.groupBy("mask", "value").agg(F.count("*").alias("held")).where(F.col("held") > NODE_ROWS).select("mask", "value")))
         masks = [r[0] & (1 << 64) - 1 for r in full.select("mask").distinct().collect()]  # as many as there are ways to cut, whatever the codes are
         if masks:
             rows = cut(rows)
         ready.append(rows.join(full, ["mask", "value"], "left_anti") if masks else rows)
-        rows = rows.join(full, ["mask", "value"], "left_semi").drop("value") if masks else rows
+        if masks:
+            finer = spark.createDataFrame([(_signed(m), cut_by(m)) for m in masks], "mask long, finer array<long>")
+            rows = rows.join(full, ["mask", "value"], "left_semi").drop("value").join(F.broadcast(finer), "mask")
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
