@@ -91,10 +91,19 @@ class WordEncoder:
         raw = [(t or "").encode() for t in texts]
         # special tokens stand for themselves, as written; only pure ASCII is lower-cased here, since combining marks join some letters of one case only
         words = [None if any(s in r for s in self.special) else (r.translate(_LOWER) if r.isascii() else r).split() for r in raw]
-        if missing := [w for w in set().union(*(w for w in words if w)) if w not in self.words]:
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
+        get, out = self.words.__getitem__, [None if w is not None else self._whole(t) for t, w in zip(texts, words)]
+        open_ = []
+        for n, w in enumerate(words):
+            if w is not None:
+                try:  # as a rule all words are known, so that they are looked up once
+                    out[n] = b"".join(map(get, w))
+                except KeyError:
+                    open_.append(n)
+        if open_:
+            self._learn([w for w in set().union(*(words[n] for n in open_)) if w not in self.words])
+            for n in open_:
+                out[n] = b"".join(map(get, words[n]))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
