@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,89 +22,140 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows
-from .common import LOWER, UPPER, map_texts
+from .common import LOWER, SPACES, UPPER, map_batches
 
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Entries of a worker's word table, which is emptied when full.
-_WORDS = 400_000
-_TEXTS = 50  # encoded at once
-#: Words that the tokenizer sees as these parts: its own splitting rule, for the letters of ASCII and Latin-1.
-_PLAIN = re.compile(r"[\x21-\x7e\xdf-\xf6\xf8-\xff]*\Z")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
-_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_CASES = {c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xDF)) if c != 0xD7}
+#: Parts of words that a worker keeps the ids of; beyond, the half that was met in the most lots stays.
+_KEPT = 600_000
+_LOT = 4 << 20  # bytes of text encoded at once; a longer text is a lot of its own
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[list(SPACES.encode())] = _SPACE
+_KIND[list((UPPER + LOWER).encode())] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[list(UPPER.encode())] += 32
+#: Bytes that make a letter of Latin-1 after 0xC3; those below 0x9F are capitals.
+_SECOND = np.isin(np.arange(256), [*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x9f-\xb6\xb8-\xbf])+\Z")
+#: The characters that a byte-level vocabulary writes for bytes: for those that don't print the characters from 256 on, in the order of the bytes.
+_UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_CHARS = "".join(chr(256 + _UNSEEN.index(b) if b in _UNSEEN else b) for b in range(256))
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] numbers, then the same for the others."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space and ends words with a mark: those of its words, one after another.
+    """Ids of texts under a tokenizer that lower-cases, drops white space and ends words with a mark: those of its words, one after another.
 
-    Words repeat, so that their ids are kept as bytes. Parts that are new are encoded together, and told apart by the marks.
+    A lot of texts is split by the tokenizer's own rule (contractions, letters, single digits, other signs) as one array of bytes, its distinct parts are
+    told apart by a dictionary, and only those not met before are encoded. The rule is applied here to words of printing ASCII and
+    Latin-1 letters; a word with anything else goes to the tokenizer as it is written, as does a text that holds a special token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > _WORDS:
-            self.parts.clear()
-        split, new = {}, set()
-        for w in words:
-            text = w.decode()
-            plain = text.lower() if text.isascii() else text.translate(_CASES)
-            if not _PLAIN.match(plain):  # letters that the tokenizer composes or lower-cases by rules of its own
-                self.words[w] = self._whole(text)
-                continue
-            split[w] = parts = _PARTS.findall(plain)
-            for p in parts:
-                if p not in self.parts:
-                    new.add(p)
-        new = list(new)
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw = ids.tobytes()
-            if len(ends) == len(some):
-                self.parts.update((p, raw[4 * s : 4 * e]) for p, s, e in zip(some, [0, *ends], ends))
-            else:
-                self.parts.update((p, self._whole(p)) for p in some)
-        known = self.parts
-        for w, parts in split.items():
-            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.code: dict[bytes, int] = {}  # part: its row in first, size and met
+        self.ids = np.zeros(0, "<u4")
+        self.first, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _whole(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(errors="replace"), add_special_tokens=False).ids
+
+    def _forget(self) -> None:
+        stay = np.argsort(-self.met, kind="stable")[: _KEPT // 2]
+        names = list(self.code)
+        self.code = {names[k]: n for n, k in enumerate(stay.tolist())}
+        self.ids = self.ids[_ranges(self.first[stay], self.size[stay])]
+        self.size, self.met = self.size[stay], self.met[stay] // 2
+        self.first = np.cumsum(self.size) - self.size
+
+    def _codes(self, parts: list[bytes]) -> np.ndarray:
+        """The row of each of these distinct parts; new ones are encoded."""
+        if len(self.code) > _KEPT:
+            self._forget()
+        get = self.code.get
+        rows = np.array([get(p, -1) for p in parts], np.int64)
+        if len(new := np.flatnonzero(rows < 0)):
+            rows[new] = np.arange(len(self.code), len(self.code) + len(new))
+            ids, size = [], []
+            for k, n in zip(new.tolist(), rows[new].tolist()):
+                p = parts[k]
+                self.code[p] = n
+                own = [t.id for t in self.model.tokenize(charmap_decode(p, "strict", _BYTE_CHARS)[0])] if _PLAIN.match(p) else self._whole(p)
+                ids += own
+                size.append(len(own))
+            size = np.array(size, np.int64)
+            self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+            self.ids = np.append(self.ids, np.array(ids, "<u4"))
+            self.size, self.met = np.append(self.size, size), np.append(self.met, np.zeros(len(size), np.int64))
+        self.met[rows] += 1
+        return rows
+
+    @staticmethod
+    def _split(byte: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Where parts start in texts that each end in white space, the last one in two, and the parts themselves."""
+        kind, low = _KIND[byte], _LOWER[byte]
+        second = np.flatnonzero(byte == 0xC3) + 1
+        second = second[_SECOND[byte[second]]]
+        kind[second] = kind[second - 1] = _LETTER
+        low[second[byte[second] < 0x9F]] += 32
+        if len(odd := np.flatnonzero(kind == _ODD)):  # their words stay whole and as written
+            space = np.flatnonzero(kind == _SPACE)
+            after = np.unique(np.searchsorted(space, odd))
+            first = np.where(after > 0, space[after - 1] + 1, 0)
+            whole = _ranges(first, space[after] - first)
+            kind[whole], low[whole] = _ODD, byte[whole]
+        start = kind != _SPACE
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        mark = np.flatnonzero(start & (byte == 0x27) & (kind == _OTHER))
+        one, two = low[mark + 1], low[mark + 2]
+        short = np.isin(one, list(b"stmd"))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        start[mark[short | long] + 1] = False
+        rest = np.concatenate([mark[short] + 2, mark[long] + 3])
+        start[rest[kind[rest] == _LETTER]] = True
+        keep = kind != _SPACE
+        edge = np.append(np.flatnonzero(start[keep]), np.count_nonzero(keep)).astype(np.int32)
+        return np.flatnonzero(start), pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge), pa.py_buffer(low[keep])])
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.words) > _WORDS:
-            self.words.clear()
-        raw = [(t or "").encode() for t in texts]
-        # special tokens stand for themselves, as written; only pure ASCII is lower-cased here, since combining marks join some letters of one case only
-        words = [None if any(s in r for s in self.special) else (r.translate(_LOWER) if r.isascii() else r).split() for r in raw]
-        get, out = self.words.__getitem__, [None if w is not None else self._whole(t) for t, w in zip(texts, words)]
-        open_ = []
-        for n, w in enumerate(words):
-            if w is not None:
-                try:  # as a rule all words are known, so that they are looked up once
-                    out[n] = b"".join(map(get, w))
-                except KeyError:
-                    open_.append(n)
-        if open_:
-            self._learn([w for w in set().union(*(words[n] for n in open_)) if w not in self.words])
-            for n in open_:
-                out[n] = b"".join(map(get, words[n]))
-        return out
+        whole = {k: self._whole(t) for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        split = [b"" if k in whole else t or b"" for k, t in enumerate(texts)]
+        start, parts = self._split(np.frombuffer(b" ".join([*split, b" "]), np.uint8))
+        known = parts.dictionary_encode()
+        _, edge, text = known.dictionary.buffers()
+        edge, text = np.frombuffer(edge, np.int32)[: len(known.dictionary) + 1].tolist(), text.to_pybytes() if text else b""
+        rows = self._codes([text[a:b] for a, b in zip(edge, edge[1:])])[known.indices.to_numpy()]
+        size = self.size[rows]
+        raw = self.ids[_ranges(self.first[rows], size)].tobytes()
+        upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, np.cumsum([len(t) + 1 for t in split]))]
+        upto = [0, *(4 * upto).tolist()]
+        return [np.array(whole[k], "<u4").tobytes() if k in whole else raw[upto[k] : upto[k + 1]] for k in range(len(texts))]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` in lots of bounded size."""
+        lot, held = [], 0
+        for t in texts.cast(pa.binary()):
+            lot.append(t.as_py())
+            held += len(lot[-1] or b"")
+            if held > _LOT:
+                yield from self.encode(lot)
+                lot, held = [], 0
+        if lot:
+            yield from self.encode(lot)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -118,15 +170,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         encoder, end, step = _encoders[tokenizer], np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for b in batches:
             who, piece, start, length, crc = [], [], [], [], []
-            ids = (raw for i in range(0, b.num_rows, _TEXTS) for raw in encoder.encode(b.column(1).slice(i, _TEXTS).to_pylist()))
-            for k, raw in enumerate(ids):
+            for k, raw in enumerate(encoder.encode_all(b.column(1))):
                 raw += end
                 for n, s in enumerate(range(0, len(raw), step)):
                     part = raw[s : s + step]
                     who.append(k), piece.append(n), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:

@@ -286,7 +286,17 @@ def test_word_encoder_equals_the_tokenizer():
     letters = "abcXYZ éÉßœŒñÑ'’\"-_0129 \t\n.,;:!?«»½²ªµ日Σςáäǅ́  <|>"
     encoder = packing.WordEncoder(packing.tokenizer_path())
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a<|endoftext|>b", "A<|ENDOFTEXT|>B", "it's We'LL 'S ''s x''ll"]
-    got = encoder.encode(texts)
+    texts += ["don't we'll 've'd x'S 're'r 'v 'l ''t", "\x00 a\x1fb \x7f \x85c", "\xaa\xad\xb5 \xd7\xf7 \xff\xdf", "T̈ Y̊ name", "x'", "'", "é" * 3000, "ab1" * 5000]
+    texts += ["".join(rng.choice("abrstvelmdSTLEV''\' .1é") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    got = encoder.encode([t.encode() for t in texts])
+    assert encoder.encode([None, b"", b" "]) == [b""] * 3 and encoder.encode([]) == []
+    packing._KEPT, kept = 500, packing._KEPT
+    try:  # ids stay right where parts are forgotten
+        again = packing.WordEncoder(packing.tokenizer_path())
+        assert [x for i in range(0, len(texts), 100) for x in again.encode([t.encode() for t in texts[i : i + 100]])] == got
+        assert len(again.code) < 3000
+    finally:
+        packing._KEPT = kept
     for t, raw in zip(texts, got):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
