@@ -309,7 +309,7 @@ def runs_on(rule: Rule, platform: Column, depth: Column, authorized: Column) ->
 
 
 def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool = False) -> DataFrame:
-    """ENG-04: matches of the rules (all by default) over the tables that are given; a rule whose table is missing is left out.
+    """ENG-04: matches of the rules (all by default) over the tables that are given; a rule whose table is missing is left out, and no rule gives no row.
 
     With ``applicable`` only where the rule runs on its host (table ``hosts``, a row per host): each evidence table is joined to the hosts once and what runs
     is a part of each rule's condition, so that no table of hosts times rules is made and what does not apply is dropped in the scan.
@@ -329,6 +329,8 @@ def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool
             here = reduce(lambda a, b: a | b, [(c("rule_id") == r.id) & runs(r) for r in built])
             out = out.join(hosts, "host_id").where(here).drop("host_platform", "host_depth", "host_authorized")
         parts.append(out)
+    if not parts:  # no table that a chosen rule reads
+        return next(iter(tables.values())).where("false").selectExpr("host_id", "'' AS rule_id", "'' AS title", "'' AS impact", "array('') AS objects", "map('', '') AS attributes")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import secrets as S
 from ..operators import correlate, engine, report, rules
+from ..operators.assess import assess
 from ..operators.components import components
 from . import rule_oracles as O
 from . import secret_oracles as Q
@@ -214,3 +215,11 @@ ROLLUP_SQL = "SELECT execution_id, " + ", ".join(f"count(*) FILTER (WHERE event
 query("agg-21", ROLLUP_SQL)(lambda i: report.event_rollup(i.view("v_envelope")))
 query("agg-22", "SELECT host_id, hostname, platform, user_name, cloud, container FROM v_hosts")(lambda i: report.host_summary(i.view("v_hosts")))
 query("flagship", summary_sql(f"SELECT * FROM ({FINDINGS_SQL}) WHERE rule_id IN ('NET-001', 'NET-002', 'NET-004')").replace("SELECT host_id, total", "SELECT host_id, 0 AS identity_count, total", 1))(flagship)
+
+_TOLD = f"SELECT * FROM ({ALL_FINDINGS_SQL}) WHERE {_SEV} >= 3 AND rule_id NOT IN ('NET-003', 'ACC-003')"
+
+
+@query("assess", over_all_parts(f"SELECT s.*, failed, CAST(0 AS BIGINT) AS identity_count FROM ({summary_sql(_TOLD)}) s JOIN (SELECT host_id, bool_or({_SEV} >= 4) AS failed FROM ({_TOLD}) GROUP BY host_id) USING (host_id)"))
+def assess_hosts(i: Inputs) -> DataFrame:
+    """The summaries of a whole run over all evidence, but for two rules and without findings below medium."""
+    return assess(i.evidence(*rules.TABLES), exclude=["NET-003", "ACC-003"], min_severity="medium", threshold="high").summary
