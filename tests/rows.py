@@ -1,10 +1,12 @@
 """Comparing tables without regard to order and number types."""
 
+import pandas as pd
+
 TINY = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if hasattr(value, "item"):
         value = value.item()
