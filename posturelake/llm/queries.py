@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fmindex, hamming, linededup, urlfilter, warc
+from . import conversations, fmindex, hamming, linededup, spelling, urlfilter, warc
 from .common import documents
 from .linededup import line_report
 from .mixing import mix
@@ -61,8 +61,16 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.query(spark, sf_dir).drop("spans", "digest")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(spark, sf_dir)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.query(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_simhash, op2_token_counts, op3_quality, op4_packing, op5_mixing, op6_sharding, op7_hamming_top_k, op8_url_filter, op9_line_dedup, op10_warc, op11_decontamination)
+    for q in (op1_simhash, op2_token_counts, op3_quality, op4_packing, op5_mixing, op6_sharding, op7_hamming_top_k, op8_url_filter, op9_line_dedup, op10_warc, op11_decontamination, op12_spelling, op13_conversations)
 }
-ORACLES: dict[str, str] = {"op7_hamming_top_k": hamming.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE, "op11_decontamination": fmindex.ORACLE}
+ORACLES: dict[str, str] = {"op7_hamming_top_k": hamming.ORACLE, "op9_line_dedup": linededup.ORACLE, "op10_warc": warc.ORACLE, "op11_decontamination": fmindex.ORACLE, "op12_spelling": spelling.ORACLE}

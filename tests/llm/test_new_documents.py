@@ -12,7 +12,7 @@ import pytest
 from rows import TINY
 from pyspark.sql import functions as F
 
-from posturelake.llm import fmindex
+from posturelake.llm import conversations, fmindex, spelling
 
 ITEMS = "item_id long, text string, doc_id string, window string"
 
@@ -108,3 +108,168 @@ def test_decontaminate_cuts_the_spans(spark):
     got = {(r.doc.doc_id, r.doc.text): (r.kept, r.n_hit) for r in fmindex.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     want = ["Keep this: ! and this.", "", "four five six", None, " -", "é  é"]
     assert got == {r: (w, 3 if w != r[1] else 0) for r, w in zip(rows, want)}
+
+
+# op12
+
+
+def plain_words(rows, length=5, times=3):
+    n = Counter()
+    for doc_id, text, *_ in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += len(run) >= length
+    return {w: k for w, k in n.items() if k >= times}
+
+
+def is_near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def plain_spelling(rows):
+    n = plain_words(rows)
+    near = {w: [v for v in n if v != w and is_near(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slice_,cells", [(1 << 22, 1 << 17), (6, 40)])
+def test_spelling_odd_rows(spark, monkeypatch, slice_, cells):
+    """As shipped, and with many slices of filters and few letters at a time."""
+    monkeypatch.setattr(spelling, "SLICE", slice_)
+    monkeypatch.setattr(spelling, "CELLS", cells)
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randint(4, 8))) for _ in range(60)] + ["zzzzz", "zzzzzz", "ÀÉßÿx", "àÉßÿx", "÷×÷×÷", "STRASSE", "strasse", "straße", "y" * 70, "y" * 69, "y" * 400, "y" * 399]
+    rows = [(rng.choice([i, i, None]), " ".join(rng.choice(base) for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    rows += [(1, None), (2, ""), (None, None), (3, " 12 34 "), (4, "日本語日本語 strasse日straße"), (5, "chain" * 3), (5, "abcde " * 20 + "abcdf " * 9 + "abcdg1abcdg abcdg abxdg abxdg abxdg "), (5, "abxdg " * 3)]
+    assert len(plain_words(rows)) > 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in "word n edit near run h id slice block bits root form".split()}).repartition(3)
+    got = [tuple(r) for r in spelling.spelling_groups(docs).select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    assert sorted(got) == plain_spelling(rows)
+
+
+def test_spelling_empty_table_and_roots(spark, empty):
+    assert spelling.spelling_groups(empty).count() == 0
+    chain = [(f"w{i}", f"w{i + 1}") for i in range(20)] + [("v", "w3")]
+    assert {tuple(r) for r in spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()} == {(w, "w20") for w, _ in chain}
+
+
+# op13
+
+
+def plain_repair(codes):
+    """Cheapest, then ASCII-least edits by dynamic programming from the end: (cost, audit) by place and state."""
+    n = len(codes) // 2
+    best = {}
+    for i in range(n, -1, -1):
+        here = {q: (0, "") if i == n and q in (0, 3) else None for q in range(4)}
+        for _ in range(4):  # insertions stay at the row
+            for q in range(4):
+                ways = [here[q]] if here[q] else []
+                nxt = {0: ("u", 2), 1: ("u", 2), 2: ("a", 3), 3: ("u", 2)}[q]
+                if i < n:
+                    role, fault = codes[2 * i], codes[2 * i + 1]
+                    after = lambda c, letter, to: [(best[i + 1, to][0] + c, letter + best[i + 1, to][1])] if best[i + 1, to] else []  # noqa: B023,E731
+                    ways += after(4, "D", q)
+                    if fault in "t-":
+                        extra = 3 * (fault == "t")
+                        to = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}.get((q, role))
+                        ways += after(extra, "K", to) if to is not None else []
+                        ways += after(3 + extra, "R", nxt[1])
+                if here[nxt[1]]:
+                    ways.append((here[nxt[1]][0] + 3, "I" + here[nxt[1]][1]))
+                here[q] = min(ways, default=None)
+        for q in range(4):
+            best[i, q] = here[q]
+    return best[0, 0]
+
+
+def plain_conversations(rows):
+    groups = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        groups[conv]
+        role, text = " " if role is None else role, " " if text is None else text
+        h = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+        groups[conv] += [(turn, "user" if h == 4 else role, text)] * (0 if h == 0 else 2 if h == 3 else 1)
+    out = []
+    for conv, found in groups.items():
+        found.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        turns = [t for t, _, _ in found if t is not None]
+        seen, codes = set(), ""
+        for _, role, text in found:
+            last = text.rstrip(" \t\n\x0b\x0c\r")[-1:]
+            codes += (role[:1] if role[:1] in ("s", "u", "a") else "x") + ("b" if not last else "d" if (role, text) in seen else "-" if last in ".!?" else "t")
+            seen.add((role, text))
+        cost, audit = plain_repair(codes)
+        state, i, lines = "", 0, []
+        for letter in audit:
+            if letter != "D":
+                role = found[i][1] if letter == "K" else "assistant" if state == "u" else "user"
+                state = role[0]
+                lines.append(f"{role}:{'' if letter == 'I' else found[i][2]}")
+            i += letter != "I"
+        illegal = sum(codes[2 * k] + codes[2 * k + 2] not in ("su", "ua", "au") for k in range(len(found) - 1))
+        counts = [codes[1::2].count(c) for c in "bdt"]
+        out.append((conv, max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *counts, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest()))
+    return sorted(out, key=key)
+
+
+def conversation_rows():
+    rng = random.Random(13)
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", "", None, "useful", "Assistant", "s"]
+    texts = ["Fine.", "Fine!", "No end", "  ", "", None, "Why? \n", "ends . x", "é。", "\u00a0", "Yes.\x0c"]
+    rows = [(c, t, rng.choice(roles), rng.choice(texts) if rng.random() < 0.7 else f"Text {rng.random()}.") for c in range(120) for t in range(rng.choice([1, 2, 3, 5, 8]))]
+    rows += [(None, t, rng.choice(roles), rng.choice(texts)) for t in [None, None, 3, 3, 9, 12]] + [(500, None, "user", "Only this."), (501, 2, "user", "a" * 100_000 + ".")] * 2
+    hot = [(7000, t, rng.choice(roles[:6]), rng.choice([f"Text {t}.", f"Text {t}.", f"Text {t}", "Same."])) for t in range(700)]
+    return rows + hot + [(7001, t, "user", f"{t}.") for t in range(90)]
+
+
+@pytest.mark.parametrize("segment,fan", [(256, 256), (5, 4)])
+def test_conversations_odd_rows(spark, monkeypatch, segment, fan):
+    """As shipped, and with short segments on four levels."""
+    monkeypatch.setattr(conversations, "SEGMENT", segment)
+    monkeypatch.setattr(conversations, "FAN", fan)
+    rows = conversation_rows()
+    assert any(zlib.crc32(f"{c}:{t}".encode()) % 20 == 0 for c, t, *_ in rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in "conv pos seg fault same at codes line entry".split()}).repartition(3)
+    got = sorted((tuple(r) for r in conversations.report(df).collect()), key=key)
+    assert got == plain_conversations(rows)
+
+
+def test_conversations_given_and_empty(spark):
+    df = spark.read.parquet(f"{TINY}/conversations.parquet")
+    rows = [tuple(r) for r in df.collect()]
+    want = plain_conversations(rows)
+    assert sorted((tuple(r) for r in conversations.query(spark, TINY).collect()), key=key) == want
+    assert conversations.report(df.limit(0)).count() == 0
+    lost = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    got = conversations.report(spark.createDataFrame([(lost, 0, "user", "Gone.")], df.schema)).collect()
+    assert [tuple(r) for r in got] == [(lost, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_search_is_cheapest_and_least():
+    rng = random.Random(14)
+    for _ in range(1500):
+        codes = "".join(rng.choice("suax") + rng.choice("bdt--") for _ in range(rng.randint(0, 9)))
+        edits, cost, state = conversations.cheapest(codes)
+        assert (cost, edits) == plain_repair(codes) and state in (0, 3)
+        half = 2 * rng.randint(0, len(codes) // 2)
+        halves = conversations._product(conversations.matrix(codes[:half]), conversations.matrix(codes[half:]))
+        assert (halves == conversations.matrix(codes)).all()
+        assert min(halves[0] + np.array([0, 6, 3, 0])) == cost  # insertions at the end
