@@ -24,7 +24,7 @@ from ..plans.lineage import cut
 from ..plans.numbering import number_rows
 from .common import SPACE_CLASS, map_batches
 
-SEGMENT = 256  # rows that are searched at a time
+SEGMENT = 32  # rows that are searched at a time; bounds rise as often as they are missed, so that long segments cost with their square
 FAN = 256  # segments whose matrices are multiplied at a time
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
 NEVER = 1 << 50

@@ -240,7 +240,7 @@ def conversation_rows():
     return rows + hot + [(7001, t, "user", f"{t}.") for t in range(90)]
 
 
-@pytest.mark.parametrize("segment,fan", [(256, 256), (5, 4)])
+@pytest.mark.parametrize("segment,fan", [(32, 256), (5, 4)])
 def test_conversations_odd_rows(spark, monkeypatch, segment, fan):
     """As shipped, and with short segments on four levels."""
     monkeypatch.setattr(conversations, "SEGMENT", segment)
