@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by an FM-index over the words of each training shard.
 
-A shard is a run of documents of one partition, some eight million bytes. Its words are numbered by the shard's own vocabulary, a separator
+A shard is a run of documents of one partition, some four million bytes. Its words are numbered by the shard's own vocabulary, a separator
 ends each document, and the suffixes of this sequence are sorted by doubling. What is kept is the Burrows-Wheeler transform as a wavelet tree with
 ranks by population counts, the vocabulary, and the suffix positions at every STEP-th place. The index knows nothing of the benchmark, is written as a table,
 and can be asked again.
@@ -22,7 +22,7 @@ from ..plans.lineage import checkpoint_folder, cut
 from ..plans.numbering import number_rows
 from .common import drop_folder, lower_ascii, map_batches
 
-SHARD_BYTES = 1 << 23  # text of a shard; a longer document is a shard of its own
+SHARD_BYTES = 1 << 22  # text of a shard; a longer document is a shard of its own
 STEP = 8  # every STEP-th position of the text has its suffix kept
 BLOCK = 1 << 18  # windows that are broadcast at a time
 LOCATE = 1 << 20  # occurrences that walk at a time
