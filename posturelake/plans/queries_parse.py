@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,25 +41,50 @@ def src_02(i: Inputs) -> DataFrame:
     return snapshots.with_defaults(raw).select("host_id", "depth", "target_type", F.unix_timestamp("collected_at").alias("collected"))
 
 
+#: Entities of a recorded snapshot: the view, and the field that the queries look at, in Spark and in SQL over the view.
+RECORDED = {
+    "accounts": ("v_accounts", "home", "home"), "sockets": ("v_sockets", "pid", "pid"), "interfaces": ("v_interfaces", "name", "name"), "processes": ("v_processes", "pid", "pid"), "services": ("v_services", "name", "name"),
+    "software": ("v_software", "name", "name"), "package_sources": ("v_sources", "id", "id"), "provenance": ("v_provenance", "path", "path"), "secrets": ("v_secrets", "location", "location"),
+    "signals": ("v_signals", "value", "value"), "assets": ("v_assets", "path", "path"), "module_status": ("v_module_status", "module_id", "name"),
+}
+#: Faults by the remainder of the host's id, and what a load must say of them.
+RECORD_FAULTS = ("", "unknown schema", "malformed", "unknown field extra", "unknown field snapshot.target.zone", "no environment", "no target type", "wrong type of snapshot.depth")
+
+
 def _recorded(i: Inputs) -> str:
-    """Snapshots of the hosts as JSON lines; every fifth has a bad schema."""
-    e = i.evidence("hosts", "accounts", "sockets")
-    lists = [e[n].groupBy("host_id").agg(F.collect_list(F.struct(*cols)).alias(n)) for n, cols in (("accounts", ("name", "uid", "shell", "home", "gecos", "privileged", "service", "no_login", "classification")), ("sockets", ("proto", "addr", "port", "scope", "process", "pid")))]
-    h = e["hosts"]
-    for x in lists:
-        h = h.join(x, "host_id", "left")
-    env = F.struct("platform", "hostname", "user_name", "cloud", "container")
-    target = F.struct(c("host_id").alias("id"), F.lit("simulation").alias("type"), "authorized")
-    shot = F.struct(target.alias("target"), env.alias("env"), F.lit("2023-11-14T22:13:20Z").alias("collected_at"), "depth", "accounts", "sockets")
+    """Snapshots of the hosts as JSON lines, with all entities. Most of a hundred hosts' are sound; the others have the faults of RECORD_FAULTS."""
+    e = i.evidence(*RECORDED) | {"signals": i.view("v_signals"), "module_status": i.view("v_module_status").withColumn("module_id", c("name"))}
+    h = i.evidence("hosts")["hosts"]
+    for name, rows in e.items():
+        if name in RECORDED:
+            known = [F.col(x).cast(kind).alias(x) for x, kind in (field.split(" ") for field in snapshots.ENTITIES[name].split(", ")) if x in rows.columns]
+            h = h.join(rows.groupBy("host_id").agg(F.collect_list(F.struct(*known)).alias(name)), "host_id", "left")
+    fault = F.when(c("host_id") % 100 < 8, c("host_id") % 100).otherwise(0)
+    target = F.struct(c("host_id").alias("id"), F.when(fault == 6, "").otherwise("simulation").alias("type"), "authorized", F.when(fault == 4, "eu").alias("zone"))
+    env = F.when(fault != 5, F.struct("platform", "hostname", "user_name", "cloud", "container"))
+    shot = F.struct(target.alias("target"), env.alias("env"), F.lit("2023-11-14T22:13:20Z").alias("collected_at"), F.when(fault != 7, c("depth")).alias("depth"), *RECORDED)
+    text = F.to_json(F.struct(F.when(fault == 1, "0.9").otherwise("1.0").alias("schema"), F.lit("fleet").alias("name"), shot.alias("snapshot"), F.when(fault == 3, 1).alias("extra")))
+    whole = F.when(fault == 2, F.expr("left(whole, length(whole) - 2)")).when(fault == 7, F.replace("whole", F.lit('"collected_at"'), F.lit('"depth":"2","collected_at"'))).otherwise(c("whole"))
     folder = i.folder("snapshots")
-    h.select(F.when(c("host_id") % 5 == 0, "0.9").otherwise("1.0").alias("schema"), F.lit("fleet").alias("name"), shot.alias("snapshot")).write.json(folder)
+    h.withColumn("whole", text).select(whole).write.text(folder)
     return folder
 
 
-query("src-01", "SELECT host_id, CASE WHEN host_id % 5 = 0 THEN 'unknown schema' ELSE '' END AS reject FROM v_hosts")(lambda i: snapshots.load(i.spark, _recorded(i), lines=True).select(c("snapshot.target.id").alias("host_id"), "reject"))
-query("src-03", "SELECT host_id, 'accounts' AS entity, count(*) AS n FROM v_accounts WHERE host_id % 5 <> 0 GROUP BY ALL UNION ALL SELECT host_id, 'sockets', count(*) FROM v_sockets WHERE host_id % 5 <> 0 GROUP BY ALL")(
-    lambda i: (lambda e: e["accounts"].groupBy("host_id").agg(F.lit("accounts").alias("entity"), F.count("*").alias("n")).union(e["sockets"].groupBy("host_id").agg(F.lit("sockets").alias("entity"), F.count("*").alias("n"))))(snapshots.entities(snapshots.load(i.spark, _recorded(i), lines=True)))
+_FAULT_SQL = "CASE host_id % 100 " + " ".join(f"WHEN {n} THEN '{text}'" for n, text in enumerate(RECORD_FAULTS)) + " ELSE '' END"
+query("src-01", f"SELECT {_FAULT_SQL} AS reject, count(*) AS n, count(*) FILTER (WHERE {_FAULT_SQL} = '') AS kept FROM v_hosts GROUP BY ALL")(
+    lambda i: snapshots.load(i.spark, _recorded(i), lines=True).groupBy("reject").agg(F.count("*").alias("n"), F.count_if(c("snapshot").isNotNull()).alias("kept"))
 )
+
+
+@query("src-03", f"SELECT host_id, 'hosts' AS entity, 1 AS n, min(hostname) AS least, max(platform) AS most FROM v_hosts WHERE {_FAULT_SQL} = '' GROUP BY ALL" + "".join(f" UNION ALL SELECT host_id, '{name}', count(*), min(CAST({sql} AS VARCHAR)), max(CAST({sql} AS VARCHAR)) FROM {view} WHERE {_FAULT_SQL} = '' GROUP BY ALL" for name, (view, _, sql) in RECORDED.items()))
+def src_03(i: Inputs) -> DataFrame:
+    """How many rows each host has in each of the tables, and the least and most of a field."""
+    tables = snapshots.entities(snapshots.load(i.spark, _recorded(i), lines=True))
+    fields = {"hosts": ("hostname", "platform")} | {name: (x, x) for name, (_, x, _) in RECORDED.items()}
+    each = [tables[name].groupBy("host_id").agg(F.lit(name).alias("entity"), F.count("*").alias("n"), F.min(c(a).cast("string")).alias("least"), F.max(c(b).cast("string")).alias("most")) for name, (a, b) in fields.items()]
+    return reduce(DataFrame.union, each)
+
+
 query("src-04", "SELECT host_id, name, provider, count(*) AS n FROM v_software GROUP BY ALL")(
     lambda i: (lambda s: snapshots.fold([s.where("host_id % 2 = 0"), s.where("host_id % 2 = 1").drop("version")]).groupBy("host_id", "name", "provider").agg(F.count("*").alias("n")))(i.view("v_software"))
 )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 SCHEMA_VERSION = "1.0"
 #: Entities of a snapshot and their fields.
 ENTITIES = {
@@ -28,14 +30,73 @@ TARGET = "id bigint, name string, type string, authorized boolean"
 SCHEMA = f"schema string, name string, description string, snapshot struct<target:struct<{TARGET.replace(' ', ':').replace(',:', ',')}>,env:struct<{ENV.replace(' ', ':').replace(',:', ',')}>,collected_at:timestamp,depth:int," + ",".join(f"{k}:array<struct<{v.replace(' ', ':').replace(',:', ',')}>>" for k, v in ENTITIES.items()) + ">"
 
 
-def load(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
-    """SRC-01: every recorded snapshot, with ``reject``, the reason against it or empty. Malformed files fail the load.
+MOST_BYTES = 64 << 20
+_TYPED = f"{SCHEMA}, _bad string"
+#: How ``schema_of_variant`` may describe a field of each type; a null fits all.
+_SHAPES = {"string": "STRING", "timestamp": "STRING", "int": "BIGINT", "bigint": "BIGINT", "boolean": "BOOLEAN", "array<string>": "ARRAY<(STRING|VOID)>", "map<string,string>": "OBJECT<(?!.*: (BIGINT|BOOLEAN|DOUBLE|DECIMAL|ARRAY|OBJECT|VARIANT)).*>", "object": "OBJECT<.*>", "objects": "ARRAY<(VOID|OBJECT<.*>)>"}
+_OBJECT = "map<string,variant>"
+
+
+def _fields(ddl: str) -> dict[str, str]:
+    return dict(field.strip().split(" ") for field in ddl.split(", "))
+
+
+def _faults(path: str, held: Column, fields: dict[str, str]) -> Column:
+    """What is wrong with an object that ``held`` has as a map: fields that ``fields`` does not know, or values of another type."""
+    shape = F.create_map(*[x for name, kind in fields.items() for x in (F.lit(name), F.lit(f"^({_SHAPES[kind]}|VOID)$"))])
+
+    def fault(entry: Column) -> Column:
+        want = F.try_element_at(shape, entry["key"])
+        at = F.concat(F.lit(path), entry["key"])
+        return F.when(want.isNull(), F.concat(F.lit("unknown field "), at)).when(~F.regexp_like(F.schema_of_variant(entry["value"]), want), F.concat(F.lit("wrong type of "), at))
+
+    return F.coalesce(F.array_compact(F.transform(F.map_entries(held), fault)), F.array().cast("array<string>"))
+
+
+def _all_faults(v: Column) -> Column:
+    """Faults of a whole snapshot, the outermost first."""
+    held = lambda path, kind=_OBJECT: F.try_variant_get(v, path, kind)
+    parts = [
+        _faults("", held("$"), {"schema": "string", "name": "string", "description": "string", "snapshot": "object"}),
+        _faults("snapshot.", held("$.snapshot"), {"target": "object", "env": "object", "collected_at": "timestamp", "depth": "int"} | dict.fromkeys(ENTITIES, "objects")),
+        _faults("snapshot.target.", held("$.snapshot.target"), _fields(TARGET)),
+        _faults("snapshot.env.", held("$.snapshot.env"), _fields(ENV)),
+    ]
+    for name, ddl in ENTITIES.items():
+        rows = held(f"$.snapshot.{name}", f"array<{_OBJECT}>")
+        parts.append(F.coalesce(F.flatten(F.transform(rows, lambda row: _faults(f"snapshot.{name}.", row, _fields(ddl)))), F.array().cast("array<string>")))  # noqa: B023  used at once
+    return F.concat(*parts)
+
+
+def load(spark: SparkSession, folder: str, lines: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """SRC-01: (schema, name, description, snapshot, file, reject) of every recorded snapshot; ``reject`` is the reason against it or empty. A rejected one has no snapshot, and harms no other.
 
-    A file is one snapshot, or one to a line with ``lines``, which lets large files be split.
+    A file is one snapshot, or one to a line with ``lines``, which lets large files be split; blank lines and empty files are none. Reasons, the first of which counts: larger than ``most_bytes`` (such a file
+    is not read, only listed), no JSON object, a field that the schema does not know or of another type, an unknown schema, no target type, no environment. Names of fields are told
+    apart by case, and an object that has one twice is no JSON object here.
     """
-    raw = spark.read.schema(SCHEMA).option("multiLine", not lines).option("mode", "FAILFAST").json(folder)
-    reject = F.when(F.coalesce("schema", F.lit("")) != SCHEMA_VERSION, "unknown schema").when(F.col("snapshot.target.type").isNull(), "no target type").when(F.col("snapshot.env").isNull(), "no environment").otherwise("")
-    return raw.withColumns({"reject": reject, "file": F.col("_metadata.file_path")})
+    if lines:
+        text = spark.read.text(folder).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.octet_length("value").cast("long").alias("bytes"), "value")
+        text = text.withColumn("value", F.when(F.col("bytes") <= most_bytes, F.col("value")))
+    else:  # this source reads no content of files that its filter on the length leaves out
+        files = spark.read.format("binaryFile").load(folder)
+        listed = lambda rows, value: rows.select(F.col("path").alias("file"), F.col("length").alias("bytes"), value.cast("string").alias("value"))
+        text = listed(files.where(F.col("length") <= most_bytes), F.col("content")).union(listed(files.where(F.col("length") > most_bytes), F.lit(None)))
+    text = text.withColumn("value", F.make_valid_utf8("value"))
+    parsed = text.withColumns({"v": F.try_parse_json("value"), "typed": F.from_json("value", _TYPED, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})})
+    faults = _all_faults(F.col("v"))
+    reject = (
+        F.when(F.col("bytes") > most_bytes, "too large")
+        .when(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT<"), "malformed")
+        .when(F.size("faults") > 0, F.try_element_at("faults", F.lit(1)))
+        .when(F.col("typed._bad").isNotNull(), "malformed")
+        .when(F.coalesce("typed.schema", F.lit("")) != SCHEMA_VERSION, "unknown schema")
+        .when(F.coalesce("typed.snapshot.target.type", F.lit("")) == "", "no target type")
+        .when(F.col("typed.snapshot.env").isNull(), "no environment")
+        .otherwise("")
+    )
+    judged = parsed.withColumn("faults", faults).withColumn("reject", reject)
+    return judged.select("typed.schema", "typed.name", "typed.description", F.when(F.col("reject") == "", F.col("typed.snapshot")).alias("snapshot"), "file", "reject")
 
 
 def with_defaults(snapshots: DataFrame) -> DataFrame:
@@ -54,9 +115,9 @@ def hosts(loaded: DataFrame) -> DataFrame:
 
 
 def entities(loaded: DataFrame) -> dict[str, DataFrame]:
-    """SRC-03: a table per entity, keyed by host. Missing texts are empty, missing flags false, missing numbers 0; only times stay null."""
-    ok = loaded.where("reject = ''")
-    out = {"hosts": hosts(loaded)}
+    """SRC-03: a table per entity, keyed by host. Missing texts are empty, missing flags false, missing numbers 0; only times stay null. The snapshots are parsed once for all tables."""
+    ok = cut(loaded.where("reject = ''"))
+    out = {"hosts": hosts(ok)}
     for name in ENTITIES:
         rows = ok.select(F.col("snapshot.target.id").alias("host_id"), F.explode(f"snapshot.{name}").alias("e")).select("host_id", "e.*")
         fill = {"string": F.lit(""), "boolean": F.lit(False), "int": F.lit(0), "bigint": F.lit(0)}

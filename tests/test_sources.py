@@ -1,0 +1,76 @@
+"""Snapshots, lines, reports and streams: cases that the given tables do not have."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from posturelake.sources import snapshots
+
+# SRC-01: recorded snapshots with faults
+
+GOOD = {"schema": "1.0", "name": "n", "snapshot": {"target": {"id": 7, "type": "host"}, "env": {"platform": "linux"}, "accounts": [{"name": "a", "groups": []}, {"name": None, "groups": ["x"]}], "assets": [{"attributes": {"a": "b"}}], "secrets": []}}
+
+
+def with_(path, value):
+    shot = json.loads(json.dumps(GOOD))
+    at = shot
+    for key in path[:-1]:
+        at = at[key]
+    at[path[-1]] = value
+    return json.dumps(shot)
+
+
+SNAPSHOTS = {
+    "good": (json.dumps(GOOD), ""),
+    "tail": (json.dumps(GOOD) + "\n", ""),
+    "epoch": (with_(["snapshot", "collected_at"], None), ""),
+    "broken": ('{"schema":', "malformed"),
+    "empty": ("", "malformed"),
+    "array": ("[1]", "malformed"),
+    "null": ("null", "malformed"),
+    "extra": (with_(["extra"], 1), "unknown field extra"),
+    "env_field": (with_(["snapshot", "env", "kernel"], "x"), "unknown field snapshot.env.kernel"),
+    "deep": (with_(["snapshot", "accounts", 1, "shel"], "x"), "unknown field snapshot.accounts.shel"),
+    "case": (with_(["Schema"], "1.0"), "unknown field Schema"),
+    "number": (with_(["snapshot", "accounts", 0, "name"], 5), "wrong type of snapshot.accounts.name"),
+    "no_list": (with_(["snapshot", "accounts"], {}), "wrong type of snapshot.accounts"),
+    "map_value": (with_(["snapshot", "assets", 0, "attributes", "k"], 5), "wrong type of snapshot.assets.attributes"),
+    "depth": (with_(["snapshot", "depth"], "2"), "wrong type of snapshot.depth"),
+    "wide": (with_(["snapshot", "depth"], 1 << 40), "malformed"),
+    "time": (with_(["snapshot", "collected_at"], "yesterday"), "malformed"),
+    "schema": (with_(["schema"], "0.9"), "unknown schema"),
+    "no_schema": (with_(["schema"], None), "unknown schema"),
+    "no_type": (with_(["snapshot", "target", "type"], ""), "no target type"),
+    "no_target": (with_(["snapshot", "target"], None), "no target type"),
+    "no_env": (with_(["snapshot", "env"], None), "no environment"),
+    "large": (with_(["description"], "x" * 40_000), "too large"),
+}
+
+
+def test_faulty_snapshots_are_rejected_one_by_one(spark, tmp_path):
+    for name, (text, _) in SNAPSHOTS.items():
+        (tmp_path / name).write_text(text)
+    loaded = snapshots.load(spark, str(tmp_path), most_bytes=20_000)
+    got = {r["name"]: (r["reject"], r["has"]) for r in loaded.select(F.regexp_extract("file", "[^/]+$", 0).alias("name"), "reject", F.col("snapshot").isNotNull().alias("has")).collect()}
+    assert got == {name: (reject, not reject) for name, (_, reject) in SNAPSHOTS.items() if name != "empty"}  # Spark lists no empty files
+    tables = snapshots.entities(loaded)
+    assert tables["accounts"].count() == 6 and tables["secrets"].count() == 0
+    assert {r["collected_at"].timestamp() for r in tables["hosts"].collect()} == {0.0}
+
+
+def test_faulty_lines_are_rejected_one_by_one(spark, tmp_path):
+    (tmp_path / "fleet").write_text("\n".join(text.strip() for text, _ in SNAPSHOTS.values()) + "\n\n")
+    got = snapshots.load(spark, str(tmp_path), lines=True, most_bytes=20_000).groupBy("reject").count().collect()
+    want = [reject for name, (_, reject) in SNAPSHOTS.items() if name != "empty"]
+    assert {r["reject"]: r["count"] for r in got} == {x: want.count(x) for x in want}
+
+
+def test_large_snapshots_are_not_read_and_all_below_the_cap_are(spark, tmp_path):
+    shot = json.loads(json.dumps(GOOD))
+    shot["snapshot"]["accounts"] = [{"name": f"name{i}", "home": "/home/x" * 3} for i in range(400_000)]
+    (tmp_path / "big").write_text(json.dumps(shot))
+    assert (tmp_path / "big").stat().st_size > 20 << 20
+    assert [tuple(r) for r in snapshots.load(spark, str(tmp_path)).select("reject", F.size("snapshot.accounts")).collect()] == [("", 400_000)]
+    plan = snapshots.load(spark, str(tmp_path), most_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,1048576)" in plan
