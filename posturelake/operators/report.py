@@ -164,13 +164,12 @@ def modules_by_status(status: DataFrame) -> DataFrame:
     return out.withColumn("place", lookup(F.col("status"), STATUS_ORDER, 9))
 
 
-def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, modules: DataFrame, limits: DataFrame, header: tuple[str, ...], depths: DataFrame | None = None) -> DataFrame:
-    """AGG-18: (host_id, integrity, report_id), a digest over a host's ordered report. Each part ends in a zero character.
+#: Lines, or hashes of the level below, that one node of a hash tree covers.
+NODE = 1024
 
-    The header's last part is a host's own depth, if ``depths`` (host_id, depth) is given.
 
-    A report is one document per host, so that its lines are gathered per host.
-    """
+def report_lines(findings: DataFrame, secrets: DataFrame, identities: DataFrame, modules: DataFrame, limits: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+    """(host_id, k, o, t): the lines of every host's report by part and order; each field of a line ends in a zero character. A host's own depth comes first, if ``depths`` (host_id, depth) is given."""
     z = F.lit("\x00")
     parts = lambda *cols: F.concat(*[x for col in cols for x in (F.coalesce(col, F.lit("")), z)])
     line = lambda df, k, order, *cols: df.select("host_id", F.lit(k).alias("k"), order.alias("o"), parts(*cols).alias("t"))
@@ -182,12 +181,41 @@ def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, mo
     rows = rows.union(line(identities, 3, F.concat(pad(100 - c("strength")), c("id")), c("id"), c("canonical")))
     rows = rows.union(line(modules, 4, c("module_id"), c("module_id"), c("status")))
     rows = rows.union(line(limits, 5, pad(c("place")), c("limitation")))
-    if depths is not None:
-        rows = rows.union(line(depths, 0, F.lit(""), c("depth").cast("string")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o", "t"))), lambda x: x["t"]), "")
-    head = "".join(h + "\x00" for h in header)
-    out = rows.groupBy("host_id").agg(F.sha2(F.concat(F.lit(head), text), 256).alias("digest"))
-    return out.select("host_id", F.concat(F.lit("sha256:"), "digest").alias("integrity"), F.concat(F.lit("rep-"), F.substring("digest", 1, 24)).alias("report_id"))
+    return rows if depths is None else rows.union(line(depths, 0, F.lit(""), c("depth").cast("string")))
+
+
+def hash_tree(lines: DataFrame, head: str = "", node: int = NODE) -> DataFrame:
+    """(host_id, level, at, part, root) of lines (host_id, k, o, t): the nodes of each host's hash tree.
+
+    A host's lines are numbered by (k, o, t). On level 0 a node covers ``node`` lines, above it as many nodes of the level below; ``part`` is the SHA-256 of what it covers, one after another. A host's
+    last level has one node, whose ``root`` is the SHA-256 of ``head`` and the same. So a report of up to ``node`` lines has the digest of its plain text, and none is gathered in one row. One changed line changes one node on each level.
+    """
+    below = number_rows(lines.select("host_id", "k", "o", "t"), [F.col(x) for x in ("k", "o", "t")], within=["host_id"], out="at").select("host_id", "at", "t")
+    tree, level = None, 0
+    while True:
+        groups = below.groupBy("host_id", F.expr(f"at div {node}").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("parts"))  # ``node`` rows at most
+        text = F.array_join(F.transform("parts", lambda x: x["t"]), "")
+        nodes = groups.select("host_id", F.lit(level).alias("level"), "at", F.sha2(text, 256).alias("part"), F.sha2(F.concat(F.lit(head), text), 256).alias("root"))
+        sizes = nodes.groupBy("host_id").agg(F.count("*").alias("n"))
+        nodes = cut(nodes.join(sizes, "host_id"))
+        more = nodes.where("n > 1")
+        done = nodes.select("host_id", "level", "at", "part", F.when(F.col("n") == 1, F.col("root")).alias("root"))
+        tree = done if tree is None else tree.union(done)
+        if more.isEmpty():
+            return tree
+        below, level = more.select("host_id", "at", F.col("part").alias("t")), level + 1
+
+
+def integrity(findings: DataFrame, secrets: DataFrame, identities: DataFrame, modules: DataFrame, limits: DataFrame, header: tuple[str, ...], depths: DataFrame | None = None, node: int = NODE) -> DataFrame:
+    """AGG-18: (host_id, integrity, report_id), the root of the hash tree over a host's ordered report, headed by the texts of ``header``."""
+    tree = hash_tree(report_lines(findings, secrets, identities, modules, limits, depths), "".join(h + "\x00" for h in header), node)
+    return tree.where("root IS NOT NULL").select("host_id", F.concat(F.lit("sha256:"), "root").alias("integrity"), F.concat(F.lit("rep-"), F.substring("root", 1, 24)).alias("report_id"))
+
+
+def changed_lines(before: DataFrame, after: DataFrame, node: int = NODE) -> DataFrame:
+    """(host_id, first, last): where the lines of two reports may differ, numbered from 0, by the nodes of level 0 of their hash trees. Hosts whose trees agree have no row."""
+    a, b = (x.where("level = 0").select("host_id", "at", F.col("part").alias(name)) for x, name in ((before, "was"), (after, "is")))
+    return a.join(b, ["host_id", "at"], "full_outer").where(~F.col("was").eqNullSafe(F.col("is"))).select("host_id", (F.col("at") * node).alias("first"), ((F.col("at") + 1) * node - 1).alias("last"))
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

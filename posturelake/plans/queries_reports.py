@@ -176,18 +176,6 @@ _Z = "chr(0)"
 #: Schema, framework and its version, which head a whole digest.
 FRAMEWORK = ("report/v1", "posturelake", "1")
 _LINE = " || ".join(f"{x} || {_Z}" for x in ("rule_id", "module_id", "title", "severity", "state", "exposure", "privilege", "sensitivity", "confidence", FINGERPRINT_SQL, "objects"))
-_DIGEST = f"""SELECT host_id, sha256('report/v1' || {_Z} || string_agg(t, '' ORDER BY k, o)) AS digest FROM (
- SELECT host_id, 1 AS k, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS VARCHAR), 12, '0') AS o, {_LINE} AS t FROM ({FINDINGS_SQL})
- UNION ALL SELECT host_id, 4, name, name || {_Z} || status || {_Z} FROM v_module_status) GROUP BY host_id"""
-
-
-@query("agg-18", f"SELECT host_id, 'sha256:' || digest AS integrity, 'rep-' || substr(digest, 1, 24) AS report_id FROM ({_DIGEST})")
-def agg_18(i: Inputs) -> DataFrame:
-    f = findings(i)
-    none = lambda cols: f.where("false").select("host_id", *[F.lit("").alias(x) for x in cols])
-    return report.integrity(f, none(["location", "fingerprint"]), none(["id", "canonical"]).withColumn("strength", F.lit(0)), i.view("v_module_status").withColumn("module_id", c("name")), none(["limitation"]).withColumn("place", F.lit(0)), ("report/v1",))
-
-
 _LINE_ALL = _LINE.replace(f"|| objects ||", f"|| array_to_string(list_sort(string_split(objects, ',')), {_Z}) ||")
 _WHOLE = f"""{_IDENTITIES}, lim AS (SELECT 1 AS part, * FROM ({AGG_09_SQL}) UNION ALL SELECT 2, * FROM ({AGG_10_SQL})),
  whole AS (SELECT host_id, 0 AS k, '' AS o, CAST(depth AS VARCHAR) || {_Z} AS t FROM v_hosts
@@ -196,15 +184,36 @@ _WHOLE = f"""{_IDENTITIES}, lim AS (SELECT 1 AS part, * FROM ({AGG_09_SQL}) UNIO
  UNION ALL SELECT host_id, 3, lpad(CAST(100 - strength AS VARCHAR), 12, '0') || id, id || {_Z} || canonical || {_Z} FROM ident
  UNION ALL SELECT host_id, 4, name, name || {_Z} || status || {_Z} FROM v_module_status
  UNION ALL SELECT host_id, 5, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY part, limitation) AS VARCHAR), 12, '0'), limitation || {_Z} FROM lim),
- digests AS (SELECT host_id, sha256('{f"' || {_Z} || '".join(FRAMEWORK)}' || {_Z} || string_agg(t, '' ORDER BY k, o)) AS digest FROM whole GROUP BY host_id)"""
+ numbered AS (SELECT host_id, t, row_number() OVER (PARTITION BY host_id ORDER BY k, o, t) - 1 AS nr FROM whole),
+ {{}}"""
+_HEAD = "'" + f"' || {_Z} || '".join(FRAMEWORK) + f"' || {_Z}"
+
+
+def _level(n: int, below: str) -> str:
+    return f"level{n} AS (SELECT host_id, nr // {report.NODE} AS nr, sha256(string_agg(t, '' ORDER BY nr)) AS t, sha256({_HEAD} || string_agg(t, '' ORDER BY nr)) AS root, {n} AS level FROM {below} GROUP BY host_id, nr // {report.NODE})"
 
 
-@query("agg-18-all", over_all_parts(f"{_WHOLE} SELECT host_id, 'sha256:' || digest AS integrity, 'rep-' || substr(digest, 1, 24) AS report_id FROM digests"))
-def agg_18_all(i: Inputs) -> DataFrame:
+#: Three levels are enough for a thousand million lines of a host.
+_TREE = _WHOLE.replace("{}", ", ".join([_level(0, "numbered"), _level(1, "level0"), _level(2, "level1")]) + """,
+ tree AS (SELECT *, count(*) OVER (PARTITION BY host_id, level) AS n FROM (FROM level0 UNION ALL FROM level1 UNION ALL FROM level2)),
+ tops AS (SELECT host_id, min(level) AS top FROM tree WHERE n = 1 GROUP BY host_id)""")
+
+
+def _parts(i: Inputs) -> tuple[DataFrame, ...]:
     """All five parts of every host's report, over the findings of all rules."""
     f = findings(Inputs(i.spark, i.sf_dir, every_rule=True))
-    people = _identities(i, max_groups=1 << 30)
-    return report.integrity(f, i.evidence("secrets")["secrets"], people, i.view("v_module_status").withColumn("module_id", c("name")), limits(i), FRAMEWORK, i.view("v_hosts"))
+    return f, i.evidence("secrets")["secrets"], _identities(i, max_groups=1 << 30), i.view("v_module_status").withColumn("module_id", c("name")), limits(i)
+
+
+@query("agg-18", over_all_parts(f"{_TREE} SELECT host_id, 'sha256:' || root AS integrity, 'rep-' || substr(root, 1, 24) AS report_id FROM tree JOIN tops USING (host_id) WHERE level = top"))
+def agg_18(i: Inputs) -> DataFrame:
+    return report.integrity(*_parts(i), FRAMEWORK, i.view("v_hosts"))
+
+
+@query("agg-18-tree", over_all_parts(f"{_TREE} SELECT host_id, CAST(level AS INTEGER) AS level, nr AS node, t AS part FROM tree JOIN tops USING (host_id) WHERE level <= top"))
+def agg_18_tree(i: Inputs) -> DataFrame:
+    """The nodes of every host's hash tree."""
+    return report.hash_tree(report.report_lines(*_parts(i), i.view("v_hosts"))).drop("root").withColumnRenamed("at", "node")
 
 
 query("agg-19", f"SELECT host_id, fingerprint, CASE WHEN bool_and(port <> 22 AND port <> 23) THEN 'unchanged' WHEN bool_or(port <> 22) THEN 'resolved' ELSE 'new' END AS change FROM (SELECT host_id, {FINGERPRINT_SQL} AS fingerprint, CAST(regexp_extract(attributes, 'port=([0-9]+)', 1) AS INTEGER) AS port FROM ({FINDINGS_SQL}) WHERE rule_id = 'NET-001') GROUP BY ALL")(

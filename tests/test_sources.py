@@ -1,10 +1,12 @@
 """Snapshots, lines, reports and streams: cases that the given tables do not have."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from posturelake.operators import report
 from posturelake.sources import snapshots
 
 # SRC-01: recorded snapshots with faults
@@ -74,3 +76,35 @@ def test_large_snapshots_are_not_read_and_all_below_the_cap_are(spark, tmp_path)
     assert [tuple(r) for r in snapshots.load(spark, str(tmp_path)).select("reject", F.size("snapshot.accounts")).collect()] == [("", 400_000)]
     plan = snapshots.load(spark, str(tmp_path), most_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,1048576)" in plan
+
+
+# AGG-18: hash trees
+
+
+def plain_tree(lines, head, node):
+    """(level, at, part, root) by host, of (host_id, k, o, t)."""
+    out = set()
+    for host in {x[0] for x in lines}:
+        texts, level = [x[3] for x in sorted(x for x in lines if x[0] == host)], 0
+        while True:
+            bodies = ["".join(texts[i : i + node]) for i in range(0, len(texts), node)]
+            digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+            for at, body in enumerate(bodies):
+                out.add((host, level, at, digest(body), digest(head + body) if len(bodies) == 1 else None))
+            if len(bodies) == 1:
+                break
+            texts, level = [digest(b) for b in bodies], level + 1
+    return out
+
+
+def test_hash_tree(spark):
+    lines = [(h, k, f"{i:03}", f"line {h} {k} {i}\x00") for h, n in ((1, 1), (2, 5), (3, 40), (4, 6)) for k in (1, 2) for i in range(n)] + [(3, 2, "039", "line again"), (3, 2, "039", "line again")]
+    tree = lambda rows, parts: report.hash_tree(spark.createDataFrame(rows, "host_id long, k int, o string, t string").repartition(parts), "head\x00", 5)
+    want = plain_tree(lines, "head\x00", 5)
+    assert {x[1] for x in want if x[0] == 3} == {0, 1, 2}
+    for parts in (1, 3, 7):
+        assert {(r.host_id, r.level, r.at, r.part, r.root) for r in tree(lines, parts).collect()} == want
+    changed = [(h, k, o, t.replace("line 3 1 17", "other")) for h, k, o, t in lines]
+    assert [tuple(r) for r in report.changed_lines(tree(lines, 2), tree(changed, 3), 5).collect()] == [(3, 15, 19)]
+    assert len(plain_tree(changed, "head\x00", 5) - want) == 3  # a node on each of three levels
+    assert tree([], 1).count() == 0
