@@ -226,15 +226,61 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, key, "full_outer").select(*key, change.alias("change"))
 
 
+def history(snapshots: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG-19 over time: (host_id, rule_id, collected_at, fingerprint, change) for each snapshot of a host against its last one before.
+
+    ``snapshots`` (host_id, collected_at) names every snapshot, also those without findings; ``findings`` has (host_id, collected_at, rule_id, fingerprint). All of a host's first snapshot is new. What a snapshot
+    lacks is told as resolved once, at its time. Repeated rows count once; findings of no named snapshot are left out.
+    """
+    numbers = snapshots.select("host_id", "collected_at").distinct()
+    numbers = cut(numbers.withColumn("nr", F.row_number().over(Window.partitionBy("host_id").orderBy("collected_at"))))
+    key = ["host_id", "rule_id", "fingerprint", "nr"]
+    now = cut(findings.join(numbers, ["host_id", "collected_at"]).select(*key).distinct())
+    ahead = now.withColumn("nr", F.col("nr") + 1)
+    both = now.withColumn("is", F.lit(True)).join(ahead.withColumn("was", F.lit(True)), key, "full_outer")
+    change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "resolved").otherwise("unchanged")
+    return both.join(numbers, ["host_id", "nr"]).select("host_id", "rule_id", "collected_at", "fingerprint", change.alias("change"))  # a host's last snapshot has none ahead
+
+
+#: Rows that a snapshot is sent in, which spread the state of a host with many findings.
+PARTS = 4
+
+
+def snapshot_rows(snapshots: DataFrame, findings: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(host_id, part, collected_at, items): ``parts`` rows for each snapshot, as a stream of snapshots is compared. An item is a rule and a fingerprint of it, ``rule:fingerprint``; which part it is in goes by
+    its CRC-32. A part without findings has an empty list, so that what was found before is resolved."""
+    item = F.concat("rule_id", F.lit(":"), "fingerprint")
+    every = snapshots.select("host_id", "collected_at").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key = ["host_id", "part", "collected_at"]
+    found = findings.select("host_id", (F.crc32(item) % parts).cast("int").alias("part"), "collected_at", item.alias("item")).groupBy(*key).agg(F.collect_set("item").alias("items"))
+    return every.join(found, key, "left").select(*key, F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def suppress(findings: DataFrame, suppressed: DataFrame) -> DataFrame:
     """AGG-20: without the findings of the rules in ``suppressed``."""
     return findings.join(suppressed, "rule_id", "left_anti")
 
 
-def event_rollup(events: DataFrame) -> DataFrame:
-    """AGG-21: outcomes per execution; runs on a table and on a stream."""
+def _outcomes() -> list[Column]:
     n = lambda e: F.count_if(F.col("event") == e)
-    return events.groupBy("execution_id").agg(n("module.started").alias("started"), n("module.completed").alias("completed"), n("module.failed").alias("failed"), n("module.skipped").alias("skipped"), n("asset.discovered").alias("assets"), F.count_if(F.col("level") == "error").alias("errors"), F.max("ts").alias("last_ts"))
+    return [n("module.started").alias("started"), n("module.completed").alias("completed"), n("module.failed").alias("failed"), n("module.skipped").alias("skipped"), n("asset.discovered").alias("assets"), F.count_if(F.col("level") == "error").alias("errors"), F.max("ts").alias("last_ts")]
+
+
+def event_rollup(events: DataFrame, *within: Column) -> DataFrame:
+    """AGG-21: outcomes per execution, and within each value of the columns ``within``; runs on a table and on a stream."""
+    return events.groupBy("execution_id", *within).agg(*_outcomes())
+
+
+def merge_rollups(parts: DataFrame) -> DataFrame:
+    """Outcomes per execution from those of its windows."""
+    counts = ("started", "completed", "failed", "skipped", "assets", "errors")
+    return parts.groupBy("execution_id").agg(*[F.sum(x).alias(x) for x in counts], F.max("last_ts").alias("last_ts"))
+
+
+def execution_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """AGG-21 by sessions: an execution's events that follow each other within ``gap`` are one session, with its first time and outcomes. On a stream with a watermark a session is told once it can grow no more (append mode)."""
+    found = events.groupBy("execution_id", F.session_window("ts", gap).alias("session")).agg(*_outcomes())
+    return found.select("execution_id", F.col("session.start").alias("first_ts"), *[c for c in found.columns if c not in ("execution_id", "session")])
 
 
 def host_summary(hosts: DataFrame) -> DataFrame:

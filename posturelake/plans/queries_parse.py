@@ -101,14 +101,59 @@ query("src-05", "SELECT CAST(execution_id AS VARCHAR) AS execution_id, event, le
 )
 
 
+def _event_days(i: Inputs, run, close: bool = False) -> None:
+    """The events in three parts by time, each written to the source and streamed by ``run(events)``. The second part repeats the last events of the first, the third brings some of the first once more, too late.
+    ``close`` adds an event at the end of time, of an execution that is none, which lets the watermark pass all others.
+    """
+    events, source = i.view("v_envelope").select(c("execution_id").cast("string").alias("execution_id"), c("ts").cast("timestamp").alias("ts"), "event", "level"), i.folder("events")
+    day = F.date_diff(c("ts"), F.lit("2024-01-01").cast("date"))
+    parts = [events.where((day >= a) & (day < b)) for a, b in ((0, 10), (10, 20), (20, 400))]
+    again = [None, events.where((day == 9) & (F.hour("ts") >= 20)), events.where(day < 5)]
+    if close:
+        parts.append(i.spark.sql("SELECT '-1' AS execution_id, TIMESTAMP '2100-01-01' AS ts, 'end' AS event, 'info' AS level"))
+        again.append(None)
+    for part, more in zip(parts, again):
+        (part if more is None else part.union(more)).write.mode("append").json(source)
+        run(L.read_events(i.spark, source, stream=True))
+
+
 @query("agg-21-stream", ROLLUP_SQL)
 def agg_21_stream(i: Inputs) -> DataFrame:
-    """The roll-up as a stream over the event files, one table of results for each batch."""
-    out = i.folder("rollup")
-    made = live.rollup_stream(L.read_events(i.spark, _event_folder(i), stream=True))
-    keep = lambda df, n: df.write.mode("overwrite").parquet(out)
-    made.writeStream.outputMode("complete").option("checkpointLocation", i.folder("stream")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return i.spark.read.parquet(out).withColumns({"execution_id": c("execution_id").cast("long"), "last_ts": c("last_ts").cast("timestamp_ntz")})
+    """The roll-up as the events arrive: repeated events are dropped by one query, the others counted by the next, which tells the windows that changed."""
+    once, out, states = i.folder("once"), i.folder("rollup"), (i.folder("stream"), i.folder("stream"))
+
+    def run(events: DataFrame) -> None:
+        live.distinct_events(events, "1 day").writeStream.outputMode("append").format("json").option("path", once).option("checkpointLocation", states[0]).trigger(availableNow=True).start().awaitTermination()
+        made = live.rollup_stream(L.read_events(i.spark, once, stream=True), "1 day")
+        made.writeStream.outputMode("update").foreachBatch(lambda df, n: sinks.write_updates(df, n, out)).option("checkpointLocation", states[1]).trigger(availableNow=True).start().awaitTermination()
+
+    _event_days(i, run)
+    merged = report.merge_rollups(sinks.latest(i.spark.read.parquet(out), ["execution_id", "window"]))
+    return merged.withColumns({"execution_id": c("execution_id").cast("long"), "last_ts": c("last_ts").cast("timestamp_ntz")})
+
+
+_SESSIONS = """WITH gaps AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 4 HOUR THEN 1 ELSE 0 END AS opens FROM v_envelope WINDOW w AS (PARTITION BY execution_id ORDER BY ts)),
+ numbered AS (SELECT *, sum(opens) OVER (PARTITION BY execution_id ORDER BY ts) AS nr FROM gaps) """
+_SESSION_COLUMNS = ROLLUP_SQL.replace("SELECT execution_id, ", "SELECT execution_id, min(ts) AS first_ts, ").replace("FROM v_envelope GROUP BY execution_id", "FROM numbered GROUP BY execution_id, nr")
+
+
+def _plain_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({"execution_id": c("execution_id").cast("long"), "first_ts": c("first_ts").cast("timestamp_ntz"), "last_ts": c("last_ts").cast("timestamp_ntz")})
+
+
+query("agg-21-sessions", _SESSIONS + _SESSION_COLUMNS)(lambda i: _plain_times(report.execution_sessions(L.read_events(i.spark, _event_folder(i)), "4 hours")))
+
+
+@query("agg-21-sessions-stream", _SESSIONS + _SESSION_COLUMNS)
+def agg_21_sessions_stream(i: Inputs) -> DataFrame:
+    """Sessions as the events arrive."""
+    out, state = i.folder("sessions"), i.folder("stream")
+
+    def run(events: DataFrame) -> None:
+        live.session_stream(events, "1 day", "4 hours").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    _event_days(i, run, close=True)
+    return _plain_times(i.spark.read.parquet(out))
 
 
 @query("eng-08-stream", f"SELECT host_id, rule_id, count(*) AS findings FROM (SELECT DISTINCT host_id, rule_id, title, objects, attributes FROM (SELECT * FROM ({O.rule_sql()['NET-001']}) UNION ALL SELECT * FROM ({O.rule_sql()['NET-002']}) UNION ALL SELECT * FROM ({O.rule_sql()['NET-003']}) UNION ALL SELECT * FROM ({O.rule_sql()['NET-004']}))) GROUP BY ALL")

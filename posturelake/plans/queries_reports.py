@@ -11,6 +11,7 @@ from ..functions import secrets as S
 from ..operators import correlate, engine, report, rules
 from ..operators.assess import assess
 from ..operators.components import components
+from ..streaming import live
 from . import rule_oracles as O
 from . import secret_oracles as Q
 from .queries_core import ALL_FINDINGS_SQL, APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship, over_all_parts
@@ -216,9 +217,47 @@ def agg_18_tree(i: Inputs) -> DataFrame:
     return report.hash_tree(report.report_lines(*_parts(i), i.view("v_hosts"))).drop("root").withColumnRenamed("at", "node")
 
 
-query("agg-19", f"SELECT host_id, fingerprint, CASE WHEN bool_and(port <> 22 AND port <> 23) THEN 'unchanged' WHEN bool_or(port <> 22) THEN 'resolved' ELSE 'new' END AS change FROM (SELECT host_id, {FINGERPRINT_SQL} AS fingerprint, CAST(regexp_extract(attributes, 'port=([0-9]+)', 1) AS INTEGER) AS port FROM ({FINDINGS_SQL}) WHERE rule_id = 'NET-001') GROUP BY ALL")(
-    lambda i: (lambda f: report.diff(f.where("attributes['port'] <> '22'"), f.where("attributes['port'] <> '23'")))(findings(i).where("rule_id = 'NET-001'"))
+#: Three snapshots of every host. A finding is missing from one of them by the first digit of its fingerprint.
+SNAPSHOT_TIMES = (1700000000, 1700086400, 1700172800)
+_MISSING = "(instr('0123456789abcdef', substr(fingerprint, 1, 1)) - 1) % 5"
+_SEEN = f"SELECT DISTINCT host_id, rule_id, fingerprint, {_MISSING} AS missing, nr FROM (SELECT host_id, rule_id, {FINGERPRINT_SQL} AS fingerprint FROM ({ALL_FINDINGS_SQL})), (VALUES (0), (1), (2)) AS n(nr)"
+CHANGES_SQL = over_all_parts(f"""SELECT host_id, rule_id, nr, change, count(*) AS n, min(fingerprint) AS least FROM (
+ SELECT *, CASE WHEN missing = nr THEN 'resolved' WHEN nr = 0 OR missing = nr - 1 THEN 'new' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE NOT (nr = 0 AND missing = 0)) GROUP BY ALL""")
+
+
+def snapshots_of(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """(host_id, collected_at) of three snapshots of every host, and their findings."""
+    shots = i.view("v_hosts").select("host_id", F.explode(F.array(*map(F.lit, SNAPSHOT_TIMES))).alias("at")).select("host_id", F.timestamp_seconds("at").alias("collected_at"))
+    found = findings(Inputs(i.spark, i.sf_dir, every_rule=True)).select("host_id", "rule_id", "fingerprint", F.expr(_MISSING).alias("missing"))
+    times = F.explode(F.array(*[F.struct(F.lit(n).alias("nr"), F.timestamp_seconds(F.lit(t)).alias("collected_at")) for n, t in enumerate(SNAPSHOT_TIMES)])).alias("s")
+    return shots, cut(found.select("*", times).where("s.nr <> missing").select("host_id", "rule_id", "fingerprint", "s.collected_at"))
+
+
+def count_changes(changes: DataFrame) -> DataFrame:
+    nr = F.array_position(F.array(*map(F.lit, SNAPSHOT_TIMES)), F.unix_timestamp("collected_at").cast("int")) - 1
+    return changes.groupBy("host_id", "rule_id", nr.cast("int").alias("nr"), "change").agg(F.count("*").alias("n"), F.min("fingerprint").alias("least"))
+
+
+query("agg-19", CHANGES_SQL)(lambda i: count_changes(report.history(*snapshots_of(i))))
+query("agg-19-pair", over_all_parts(f"SELECT host_id, fingerprint, CASE WHEN missing = 0 THEN 'new' WHEN missing = 1 THEN 'resolved' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE nr = 0"))(
+    lambda i: (lambda f: report.diff(*[f.where(F.unix_timestamp("collected_at") == t) for t in SNAPSHOT_TIMES[:2]]))(snapshots_of(i)[1])
 )
+
+
+@query("agg-19-stream", f"{CHANGES_SQL} UNION ALL SELECT host_id, NULL, 1, 'late', {report.PARTS}, NULL FROM v_hosts WHERE host_id % 10 = 0")
+def agg_19_stream(i: Inputs) -> DataFrame:
+    """The same as the snapshots arrive, day after day, and the second one of every tenth host once more at last."""
+    shots, found = snapshots_of(i)
+    source, out, state = i.folder("shots"), i.folder("changes"), i.folder("stream")
+    rows = cut(report.snapshot_rows(shots, found))
+    days = [rows.where(F.unix_timestamp("collected_at") == t) for t in SNAPSHOT_TIMES]
+    for day in (*days, days[1].where("host_id % 10 = 0")):
+        day.write.mode("append").parquet(source)
+        made = live.snapshot_changes(i.spark.readStream.schema(rows.schema).parquet(source))
+        made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return count_changes(i.spark.read.parquet(out))
+
+
 query("agg-20", f"SELECT rule_id, count(*) AS n FROM ({FINDINGS_SQL}) WHERE rule_id NOT IN ('NET-003', 'ACC-003') GROUP BY ALL")(lambda i: report.suppress(findings(i), i.spark.createDataFrame([("NET-003",), ("ACC-003",)], "rule_id string")).groupBy("rule_id").agg(F.count("*").alias("n")))
 ROLLUP_SQL = "SELECT execution_id, " + ", ".join(f"count(*) FILTER (WHERE event = '{e}') AS {n}" for e, n in (("module.started", "started"), ("module.completed", "completed"), ("module.failed", "failed"), ("module.skipped", "skipped"), ("asset.discovered", "assets"))) + ", count(*) FILTER (WHERE level = 'error') AS errors, max(ts) AS last_ts FROM v_envelope GROUP BY execution_id"
 query("agg-21", ROLLUP_SQL)(lambda i: report.event_rollup(i.view("v_envelope")))

@@ -24,3 +24,14 @@ def write_reports(reports: DataFrame, folder: str, buckets: int = 16) -> None:
 def write_table(df: DataFrame, folder: str, collected_date) -> None:
     """SNK-02: Parquet, partitioned by the day of collection."""
     df.withColumn("collected_date", F.to_date(collected_date)).write.mode("append").partitionBy("collected_date").parquet(folder)
+
+
+def write_updates(df: DataFrame, batch: int, folder: str) -> None:
+    """What one batch of a stream in update mode tells; for ``foreachBatch``. A batch that is run again writes over what it wrote, so that it counts once."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch:010}")
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last told row of each value of ``keys``, of what ``write_updates`` wrote."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

@@ -1,17 +1,41 @@
-"""Streaming forms: event roll-up, and rules with deduplication over a stream of sockets."""
+"""Streaming forms: event roll-up, rules with deduplication over a stream of sockets, and successive snapshots compared as they arrive."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import engine, report
 from ..operators.rules import RULES, one_pass
 
 
-def rollup_stream(events: DataFrame) -> DataFrame:
-    """AGG-21 on a stream; write it in update mode."""
-    return report.event_rollup(events)
+#: What makes two events the same one, sent twice.
+EVENT_KEY = ["execution_id", "ts", "event", "level"]
+
+
+def distinct_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Events once each. What is behind the latest event by more than ``delay`` is late and dropped, and so is the state of keys as old."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(EVENT_KEY)
+
+
+def rollup_stream(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
+    """AGG-21 on a stream, in update mode: outcomes per execution and window of ``width``.
+
+    The state of a window is dropped once the watermark has passed its end, so that it is bounded by the executions of the windows still open. Windows are merged by ``report.merge_rollups`` when
+    they are read. Events that are later than ``delay`` and their window's end are dropped. Repeated events count once if the source was made ``distinct_events`` by a query of its own, since Spark chains stateful operators in append mode only.
+    """
+    stamped = events.withWatermark("ts", delay)
+    out = report.event_rollup(stamped, F.window("ts", width).alias("window"))
+    return out.select("execution_id", F.col("window.start").alias("window"), *[c for c in out.columns if c not in ("execution_id", "window")])
+
+
+def session_stream(events: DataFrame, delay: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """AGG-21 by sessions on a stream of events, repeated ones counted once; append mode. State is dropped as sessions close."""
+    return report.execution_sessions(distinct_events(events, delay), gap)
 
 
 def socket_findings(sockets: DataFrame, catalogue: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -24,3 +48,36 @@ def socket_findings(sockets: DataFrame, catalogue: DataFrame, delay: str = "1 ho
     title = F.coalesce("title", "default_title")
     key = engine.fingerprint(F.col("rule_id"), F.col("category"), title, F.col("objects"), F.col("attributes"))
     return found.select("host_id", "collected_at", "rule_id", title.alias("title"), key.alias("dedupe_key")).dropDuplicatesWithinWatermark(["host_id", "dedupe_key"])
+
+
+def snapshot_changes(snapshots: DataFrame, keep_days: int = 90) -> DataFrame:
+    """AGG-19 on a stream: (host_id, collected_at, rule_id, fingerprint, change) of (host_id, part, collected_at, items), as ``report.snapshot_rows`` makes them; append mode.
+
+    The state of a host and part is the time and the items of its last snapshot. The next snapshot tells each of its items as new or unchanged and each that it lacks
+    as resolved. A snapshot that is not later than the last one compared is late: it changes nothing and is told by a row for each part, without rule and fingerprint, change ``late``. One that is over ``keep_days`` behind the
+    latest of all is dropped by the watermark, and a host that has sent none for as long is forgotten.
+    """
+
+    def compare(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen = state.get if state.exists else (None, [])
+        seen, out = set(seen), []
+        for row in pd.concat(batches).sort_values("collected_at", kind="stable").itertuples():
+            at = row.collected_at.value // 1000
+            if last is not None and at <= last:
+                out.append((key[0], row.collected_at, None, "late"))
+                continue
+            now = set(row.items)
+            out += [(key[0], row.collected_at, x, "unchanged" if x in seen else "new") for x in sorted(now)]
+            out += [(key[0], row.collected_at, x, "resolved") for x in sorted(seen - now)]
+            last, seen = at, now
+        state.update((last, sorted(seen)))
+        state.setTimeoutTimestamp(max(last // 1000 + keep_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["host_id", "collected_at", "item", "change"])
+
+    stamped = snapshots.withWatermark("collected_at", f"{keep_days} days")
+    told = stamped.groupBy("host_id", "part").applyInPandasWithState(compare, "host_id long, collected_at timestamp, item string, change string", "last long, seen array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("host_id", "collected_at", F.substring_index("item", ":", 1).alias("rule_id"), F.substring_index("item", ":", -1).alias("fingerprint"), "change")

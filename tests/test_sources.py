@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from posturelake.operators import report
-from posturelake.sources import snapshots
+from posturelake.sources import lines, sinks, snapshots
+from posturelake.streaming import live
 
 # SRC-01: recorded snapshots with faults
 
@@ -108,3 +109,102 @@ def test_hash_tree(spark):
     assert [tuple(r) for r in report.changed_lines(tree(lines, 2), tree(changed, 3), 5).collect()] == [(3, 15, 19)]
     assert len(plain_tree(changed, "head\x00", 5) - want) == 3  # a node on each of three levels
     assert tree([], 1).count() == 0
+
+
+# AGG-19: successive snapshots
+
+SHOTS = [(1, 10, {"A": ["f1", "f2"], "B": ["g1"]}), (1, 20, {"A": ["f2", "f3"], "B": []}), (1, 30, {"A": ["f2", "f3"], "B": ["g1"]}), (2, 10, {"A": [], "B": []}), (2, 25, {"A": ["f1"], "B": []})]
+TOLD = {
+    (1, 10, "f1", "new"), (1, 10, "f2", "new"), (1, 10, "g1", "new"), (1, 20, "f2", "unchanged"), (1, 20, "f3", "new"), (1, 20, "f1", "resolved"), (1, 20, "g1", "resolved"),
+    (1, 30, "f2", "unchanged"), (1, 30, "f3", "unchanged"), (1, 30, "g1", "new"), (2, 25, "f1", "new"),
+}
+
+
+def shot_tables(spark, shots):
+    times = spark.createDataFrame([(h, t) for h, t, _ in shots], "host_id long, t long").select("host_id", F.timestamp_seconds("t").alias("collected_at"))
+    found = spark.createDataFrame([(h, t, r, f) for h, t, by in shots for r, fs in by.items() for f in fs], "host_id long, t long, rule_id string, fingerprint string")
+    return times, found.select("host_id", F.timestamp_seconds("t").alias("collected_at"), "rule_id", "fingerprint")
+
+
+def told(df):
+    return sorted((r.host_id, int(r.collected_at.timestamp()), r.fingerprint or "", r.change) for r in df.collect())
+
+
+def test_history_of_snapshots(spark):
+    assert told(report.history(*shot_tables(spark, SHOTS + SHOTS[:1]))) == sorted(TOLD)
+    assert report.history(*shot_tables(spark, [])).count() == 0
+
+
+def test_snapshots_compared_as_they_arrive(spark, tmp_path):
+    """One to a batch, two in one batch, a late one, and one that comes twice."""
+    source, out, state = (str(tmp_path / x) for x in ("shots", "changes", "state"))
+    for batch in ([SHOTS[0], SHOTS[3]], [SHOTS[2], SHOTS[1]], [(1, 15, {"A": ["f9"]}), SHOTS[2]], [SHOTS[4]]):
+        rows = report.snapshot_rows(*shot_tables(spark, batch), parts=2)
+        rows.write.mode("append").parquet(source)
+        made = live.snapshot_changes(spark.readStream.schema(rows.schema).parquet(source))
+        made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert told(spark.read.parquet(out)) == sorted([*TOLD, *[(1, t, "", "late") for t in (15, 30) for _ in range(2)]])
+
+
+# AGG-21: events as they arrive
+
+
+def envelope(spark, rows):
+    return spark.createDataFrame(rows, "execution_id string, t long, event string, level string").select("execution_id", F.timestamp_seconds("t").alias("ts"), "event", "level")
+
+
+def test_rollup_drops_late_and_repeated_events_and_old_state(spark, tmp_path):
+    """Two days, then one that repeats an event and brings one that is a day late."""
+    day, hour = 86_400, 3_600
+    batches = [
+        [("a", hour, "module.started", "info"), ("a", 2 * hour, "module.completed", "info"), ("b", hour, "module.failed", "error")],
+        [("a", day + hour, "module.started", "info"), ("a", day + hour, "module.started", "info"), ("a", 2 * hour + 1, "module.skipped", "info")],  # the last is within the delay
+        [("a", 3 * day, "asset.discovered", "info"), ("b", day + 2 * hour, "module.failed", "error")],
+        [("a", 3 * day, "asset.discovered", "info"), ("b", hour, "module.failed", "error"), ("b", hour + 5, "module.failed", "error")],  # one repeated, two too late
+        [("c", 9 * day, "asset.discovered", "info")],
+    ]
+    source, once, out = (str(tmp_path / x) for x in ("events", "once", "out"))
+    for rows in batches:
+        envelope(spark, rows).coalesce(1).write.mode("append").json(source)
+        live.distinct_events(lines.read_events(spark, source, stream=True), "1 day").writeStream.format("json").option("path", once).option("checkpointLocation", str(tmp_path / "s1")).trigger(availableNow=True).start().awaitTermination()
+        made = live.rollup_stream(lines.read_events(spark, once, stream=True), "1 day")
+        run = made.writeStream.outputMode("update").foreachBatch(lambda df, n: sinks.write_updates(df, n, out)).option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = {r.execution_id: (r.started, r.completed, r.failed, r.skipped, r.assets, r.errors, int(r.last_ts.timestamp())) for r in report.merge_rollups(sinks.latest(spark.read.parquet(out), ["execution_id", "window"])).collect()}
+    assert got == {"a": (2, 1, 0, 1, 1, 0, 3 * day), "b": (0, 0, 2, 0, 0, 2, day + 2 * hour), "c": (0, 0, 0, 0, 1, 0, 9 * day)}
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # all but the last window are gone
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    part = spark.createDataFrame([("a", 1, 5)], "k string, w int, n int")
+    for n in (0, 1, 1):
+        sinks.write_updates(part.withColumn("n", F.col("n") + n), n, str(tmp_path))
+    assert [tuple(r) for r in sinks.latest(spark.read.parquet(str(tmp_path)), ["k", "w"]).collect()] == [("a", 1, 6)]
+
+
+def test_sessions(spark):
+    rows = [("a", 0, "module.started", "info"), ("a", 100, "module.failed", "error"), ("a", 2000, "module.started", "info"), ("b", 50, "asset.discovered", "info")]
+    got = {(r.execution_id, int(r.first_ts.timestamp()), r.started, r.failed, r.assets) for r in report.execution_sessions(envelope(spark, rows)).collect()}
+    assert got == {("a", 0, 1, 1, 0), ("a", 2000, 1, 0, 0), ("b", 50, 0, 0, 1)}
+
+
+# SRC-06: lines of files that are read in blocks
+
+
+def test_lines_of_many_blocks_have_their_places(spark, tmp_path):
+    texts = {"a": [f"line {i}" + "x" * (i % 50) for i in range(4000)], "b": ["", "é one\r", "  ", "two", ""], "c": ["no newline at the end"]}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes("\n".join(text).encode() + (b"\n" if name == "a" else b""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "8k", "3001b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = lines.read_lines(spark, str(tmp_path)).withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
+            got = {name: [r.line for r in sorted((r for r in rows.collect() if r.name == name), key=lambda r: r.pos)] for name in texts}
+            assert got == {"a": texts["a"], "b": texts["b"][:4], "c": texts["c"]}  # what follows the last newline is no line
+            assert sorted(r.pos for r in rows.where("name = 'a'").collect()) == list(range(4000))
+            full = lines.read_lines(spark, str(tmp_path), blank=False).where("path LIKE '%b'")
+            assert sorted((r.pos, r.line) for r in full.collect()) == [(0, "é one"), (1, "two")]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
