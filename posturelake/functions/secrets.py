@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REDACTED = "<redacted>"
 MAX_LINE_BYTES = 4096
@@ -152,8 +154,27 @@ def redact_evidence(evidence: Column) -> Column:
     return F.transform(tested, one)
 
 
+def _texts(kind: T.DataType, path: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """Every place that a value of type ``kind`` has texts in: its path, and how many secret-shaped ones a value has there."""
+    total = lambda counts: F.coalesce(F.aggregate(counts, F.lit(0), lambda a, b: a + b), F.lit(0))
+    within = lambda part, f: lambda x: total(F.transform(part(x), f))
+    if isinstance(kind, T.StringType):
+        return [(path, lambda x: F.when(secret_shaped(x), 1).otherwise(0))]
+    if isinstance(kind, T.StructType):
+        return [(at, (lambda f, name: lambda x: f(x[name]))(f, field.name)) for field in kind.fields for at, f in _texts(field.dataType, f"{path}.{field.name}")]
+    if isinstance(kind, T.ArrayType):
+        return [(at, within(lambda x: x, f)) for at, f in _texts(kind.elementType, f"{path}[]")]
+    if isinstance(kind, T.MapType):
+        return [(at, within(F.map_keys, f)) for at, f in _texts(kind.keyType, f"{path}{{key}}")] + [(at, within(F.map_values, f)) for at, f in _texts(kind.valueType, f"{path}{{}}")]
+    return []
+
+
 def retained_secrets(df: DataFrame) -> DataFrame:
-    """RED-03: how many values of each string column look like secrets; all counts must be 0."""
-    names = [name for name, kind in df.dtypes if kind == "string"]
-    counts = df.agg(*[F.count_if(secret_shaped(F.col(n))).alias(n) for n in names])
-    return counts.unpivot([], names, "column_name", "retained")
+    """RED-03: (column_name, retained), how many values look like secrets in each place that has texts; all counts must be 0.
+
+    Texts are looked for at any depth: ``a.b`` is a field, ``a[]`` the elements of an array, ``a{key}`` and ``a{}`` the keys and values of a map.
+    """
+    places = [(at, f(F.col(f"`{field.name}`"))) for field in df.schema.fields for at, f in _texts(field.dataType, field.name)]
+    counts = df.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"c{k}") for k, (_, n) in enumerate(places)], F.count("*").alias("rows"))
+    told = [F.struct(F.lit(at).alias("column_name"), F.col(f"c{k}").alias("retained")) for k, (at, _) in enumerate(places)]
+    return counts.select(F.inline(F.array(*told) if told else F.array().cast("array<struct<column_name:string,retained:bigint>>")))

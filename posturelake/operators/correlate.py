@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.numbering import number_rows
 from .components import components
 
 # Words that tell nobody apart, endings that make a word generic, and public domain endings.
@@ -96,17 +97,26 @@ def _rank() -> Column:
     return out
 
 
-def identities(signals: DataFrame, scope: str | None = "host_id", min_strength: int = 0, max_groups: int = MAX_GROUPS, members: bool = False) -> DataFrame:
+def _members(kept: DataFrame) -> DataFrame:
+    rows = kept.select("scope", "component", "type", "value", "source", "domain")
+    return number_rows(rows, [F.col(x) for x in ("type", "value", "source", "domain")], within=["scope", "component"], out="place").withColumn("place", F.col("place") + 1)
+
+
+def identity_members(signals: DataFrame, scope: str | None = "host_id") -> DataFrame:
+    """COR-10: (scope, component, place, type, value, source, domain), the signals of every identity as rows, by their place from 1. An identity of any size is numbered by many tasks."""
+    return _members(components_of(cut(kept_signals(signals, scope))))
+
+
+def identities(signals: DataFrame, scope: str | None = "host_id", min_strength: int = 0, max_groups: int = MAX_GROUPS, members: int = 0) -> DataFrame:
     """COR-07 to COR-11: identities of each scope, the strongest first; ``rank`` counts from 1 up to ``max_groups``.
 
-    ``members`` adds the list of an identity's signals, whose size is the identity's.
+    ``members`` adds ``signals``, the first so many of an identity's signals; ``identity_members`` has all of them.
     """
     kept = components_of(cut(kept_signals(signals, scope)))
+    kept = cut(kept) if members else kept
     order = F.struct(_rank().alias("rank"), "type", "value", "source")
     plural = lambda n, word: F.concat(F.col(n).cast("string"), F.lit(" " + word), F.when(F.col(n) == 1, "").otherwise("s"))
     lists = [F.array_sort(F.collect_set(F.when(F.col("source") != "", F.col("source")))).alias("sources"), F.array_sort(F.collect_set("domain")).alias("domains")]
-    if members:
-        lists.append(F.array_sort(F.collect_list(F.struct("type", "value", "source", "domain"))).alias("signals"))
     out = kept.groupBy("scope", "component").agg(
         F.coalesce(F.min_by(F.when(_rank() < 99, F.col("value")), F.when(_rank() < 99, order)), F.lit("")).alias("canonical"), F.count("*").alias("signal_count"),
         F.count_distinct("type").alias("types"), F.count_distinct("source").alias("all_sources"), F.count_distinct("domain").alias("n_domains"), *lists)
@@ -115,5 +125,8 @@ def identities(signals: DataFrame, scope: str | None = "host_id", min_strength:
     ident = F.concat(F.lit("ident-"), F.substring(F.sha2(F.array_join(F.concat(F.array("canonical"), F.col("sources")), "\x00"), 256), 1, 12))
     summary = F.concat(F.lit("Identity "), "canonical", F.lit(" is disclosed by "), plural("signal_count", "signal"), F.lit(" across "), plural("types", "kind"), F.lit(" of observation, from "), plural("all_sources", "source"), F.lit(" and "), plural("n_domains", "domain"), F.lit("."))
     out = out.withColumns({"strength": strength.cast("int"), "id": ident, "summary": summary}).where(F.col("strength") >= min_strength)
+    if members:
+        told = _members(kept).where(F.col("place") <= members).groupBy("scope", "component").agg(F.array_sort(F.collect_list(F.struct("place", "type", "value", "source", "domain"))).alias("signals"))
+        out = out.join(told, ["scope", "component"])
     rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("strength"), "canonical", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= max_groups)

@@ -38,6 +38,26 @@ def module_applicability(hosts: DataFrame, modules: DataFrame, selected: list[st
     return hosts.select("host_id", "platform", "depth").crossJoin(F.broadcast(modules)).select("host_id", "module_id", reason.alias("reason"))
 
 
+# The modules that need privileges on Windows, and the capabilities that are missing without.
+NEED_PRIVILEGE = {"binary-integrity": ["authenticode", "codesign"], "persistence": ["systemd"], "os-posture": ["registry"], "process-service": ["processes"]}
+
+
+def needs_privilege(module: Column, platform: Column, privileged: Column) -> Column:
+    """Whether a module can't run on a host for want of privileges; a host of which that is not known has none."""
+    return module.isin(*NEED_PRIVILEGE) & F.coalesce(platform == "windows", F.lit(False)) & ~F.coalesce(privileged, F.lit(False))
+
+
+def module_gate(hosts: DataFrame, modules: DataFrame, selected: list[str] | None = None) -> DataFrame:
+    """ENG-02 with privileges: (host_id, module_id, name, status, reason, unavailable) of every module on every host; what runs is ``complete`` so far. ``modules`` is the fixed module table; ``hosts`` may have ``privileged``."""
+    known = hosts.select("host_id", F.col("platform").alias("on"), (F.col("privileged") if "privileged" in hosts.columns else F.lit(False)).alias("privileged"))
+    rows = module_applicability(hosts, modules, selected).join(F.broadcast(modules.select("module_id", "name")), "module_id").join(known, "host_id")
+    bare = (F.col("reason") == "") & needs_privilege(F.col("module_id"), F.col("on"), F.col("privileged"))
+    missing = F.create_map(*[x for name, names in NEED_PRIVILEGE.items() for x in (F.lit(name), F.array(*map(F.lit, names)))])
+    status = F.when(bare, "requires_privilege").when(F.col("reason") != "", "skipped").otherwise("complete")
+    unavailable = F.when(bare, F.try_element_at(missing, F.col("module_id"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("host_id", "module_id", "name", status.alias("status"), F.when(bare, "requires privileges").otherwise(F.col("reason")).alias("reason"), unavailable.alias("unavailable"))
+
+
 def choose(df: DataFrame, column: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """ENG-03: an empty include keeps all; exclude wins."""
     if include:

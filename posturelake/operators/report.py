@@ -57,6 +57,13 @@ def at_least(findings: DataFrame, floor: str = "") -> DataFrame:
     return findings if rank <= SEVERITY_RANK["low"] else findings.where(severity_rank(F.col("severity")) >= rank)
 
 
+def at_each_floor(findings: DataFrame, floors: list[str]) -> DataFrame:
+    """AGG-04 for several floors in one pass: each finding once for every ``floor`` that lets it pass."""
+    least = lambda f: rank if (rank := SEVERITY_RANK.get(f, 1) if f else 0) > SEVERITY_RANK["low"] else 0
+    passing = F.array_compact(F.array(*[F.when(severity_rank(F.col("severity")) >= least(f), F.lit(f)) if least(f) else F.lit(f) for f in floors]))
+    return findings.withColumn("floor", F.explode(passing))
+
+
 def fail_on(findings: DataFrame, threshold: str, min_severity: str = "") -> DataFrame:
     """AGG-05: (host_id, failed). A threshold below the minimum severity could never fire and is an error."""
     if min_severity and SEVERITY_RANK[threshold] < SEVERITY_RANK[min_severity]:

@@ -134,9 +134,7 @@ query("rsk-04", f"SELECT risk_band, sum(n) AS n, count(*) AS combinations FROM (
 query("rsk-05", f"SELECT {_ENUMS}, it AS impact_term, xt AS exploitability_term, et AS exposure_term, pt AS privilege_term, st AS sensitivity_term, ct AS confidence_term, exploitability, TRUE AS exploitability_inferred, risk_raw, risk_score, risk_band, '{risk.FORMULA}' AS formula FROM ({score_sql(f'({TERMS_SQL})')})")(lambda i: _scored(i).withColumn("formula", F.lit(risk.FORMULA)))
 
 
-# ENG: the engine over some of the rules
-
-FINDING_RULES = ["NET-001", "NET-002", "NET-003", "NET-004", "NET-005", "ACC-001", "ACC-002", "ACC-003", "ACC-004", "IDN-001", "IDN-002", "CLD-001", "ART-002", "PRV-003", "PRV-004"]
+# ENG: the engine over all rules
 
 
 def _quoted(x: str) -> str:
@@ -154,34 +152,15 @@ def _union(ids: list[str]) -> str:
 
 
 #: Findings with their score; objects and attributes are flat.
-FINDINGS_SQL = score_sql(f"(SELECT DISTINCT f.host_id, m.rule_id, m.module_id, CASE WHEN f.title = '' THEN m.default_title ELSE f.title END AS title, m.category, m.severity, m.exposure, m.privilege, m.sensitivity, m.confidence, f.objects, f.attributes, CASE WHEN m.confidence IN ('confirmed', 'observed') THEN 'observed' WHEN m.confidence IN ('probable', 'possible') THEN 'inferred' ELSE 'unknown' END AS state, CASE m.confidence WHEN 'confirmed' THEN 'confirmed' WHEN 'unknown' THEN 'informational' WHEN 'not_observed' THEN 'informational' ELSE 'detected' END AS status FROM ({_union(FINDING_RULES)}) f JOIN ({META_SQL}) m USING (rule_id) JOIN ({APPLIES_SQL}) a ON a.host_id = f.host_id AND a.rule_id = f.rule_id AND a.reason = '')")
-_FP_PARTS = "list_concat([rule_id, category, title], ['obj=' || objects], list_sort(list_concat(string_split(attributes, ';'), ['risk_band=' || risk_band, 'risk_formula={formula}', 'risk_score=' || printf('%.1f', risk_score){raw}])))"
+FINDINGS_SQL = score_sql(f"(SELECT DISTINCT f.host_id, m.rule_id, m.module_id, CASE WHEN f.title = '' THEN m.default_title ELSE f.title END AS title, m.category, m.severity, m.exposure, m.privilege, m.sensitivity, m.confidence, f.objects, f.attributes, CASE WHEN m.confidence IN ('confirmed', 'observed') THEN 'observed' WHEN m.confidence IN ('probable', 'possible') THEN 'inferred' ELSE 'unknown' END AS state, CASE m.confidence WHEN 'confirmed' THEN 'confirmed' WHEN 'unknown' THEN 'informational' WHEN 'not_observed' THEN 'informational' ELSE 'detected' END AS status FROM ({_union(list(O.rule_sql()))}) f JOIN ({META_SQL}) m USING (rule_id) JOIN ({APPLIES_SQL}) a ON a.host_id = f.host_id AND a.rule_id = f.rule_id AND a.reason = '')")
+_FP_PARTS = "list_concat([rule_id, category, title], list_transform(list_sort(string_split(objects, ',')), lambda o: 'obj=' || o), list_sort(list_concat(list_filter(string_split(attributes, ';'), lambda a: a <> ''), ['risk_band=' || risk_band, 'risk_formula={formula}', 'risk_score=' || printf('%.1f', risk_score){raw}])))"
 FINGERPRINT_SQL = "sha256(array_to_string(" + _FP_PARTS.format(formula=risk.FORMULA, raw=", 'risk_raw=' || printf('%.1f', risk_raw)") + ", chr(0)))"
 DEDUPE_SQL = "sha256(array_to_string(" + _FP_PARTS.format(formula=risk.FORMULA, raw="") + ", chr(0)))"
 
 
-#: The same over all rules. Those may have several objects, and no attribute.
-ALL_FINDINGS_SQL = FINDINGS_SQL.replace(_union(FINDING_RULES), _union(list(O.rule_sql())))
-_ALL_PARTS = {"['obj=' || objects]": "list_transform(list_sort(string_split(objects, ',')), lambda o: 'obj=' || o)", "string_split(attributes, ';')": "list_filter(string_split(attributes, ';'), lambda a: a <> '')"}
-
-
-def over_all_parts(sql: str) -> str:
-    """``sql`` with fingerprints that take several objects, or no attribute."""
-    for few, every in _ALL_PARTS.items():
-        sql = sql.replace(few, every)
-    return sql
-
-
-def over_all_rules(name: str) -> None:
-    """Registers ``name``-all: the query over the findings of every rule, with its SQL over the same."""
-    ORACLES[f"{name}-all"] = over_all_parts(ORACLES[name].replace(FINDINGS_SQL, ALL_FINDINGS_SQL))
-    QUERIES[f"{name}-all"] = lambda spark, sf_dir: FUNCTIONS[name](Inputs(spark, sf_dir, every_rule=True))
-
-
 def findings(i: Inputs) -> DataFrame:
-    """Findings of FINDING_RULES, or of all rules for the queries whose name ends in -all."""
-    only = None if i.every_rule else FINDING_RULES
-    return engine.build(engine.evaluate(i.evidence("hosts", *rules.needs(only)), only), rules.metadata(i.spark))
+    """Findings of all rules."""
+    return engine.build(engine.evaluate(i.evidence(*rules.TABLES)), rules.metadata(i.spark))
 
 
 @query("eng-01", APPLIES_SQL)

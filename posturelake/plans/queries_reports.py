@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from ..operators.components import components
 from ..streaming import live
 from . import rule_oracles as O
 from . import secret_oracles as Q
-from .queries_core import ALL_FINDINGS_SQL, APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship, over_all_parts
+from .queries_core import APPLIES_SQL, FINDINGS_SQL, FINGERPRINT_SQL, findings, flagship
 from .lineage import cut
 from .registry import Inputs, query
 
@@ -42,6 +41,10 @@ query("red-01", f"SELECT host_id, name, CASE WHEN {Q.key_name('name')} OR {Q.sha
 query("red-02", f"SELECT doc_id, line_no, CASE WHEN {Q.shaped('line')} THEN '<redacted>' ELSE line END AS data, CASE WHEN {Q.shaped('line')} THEN 'full' ELSE 'none' END AS mode, CASE WHEN {Q.shaped('line')} THEN 'secret-shaped value stripped at render' ELSE '' END AS reason FROM ({Q.LINES})")(
     lambda i: _lines(i).withColumn("e", S.redact_evidence(F.array(F.struct(c("line").alias("data"), F.lit("none").alias("mode"), F.lit("").alias("reason"))))).select("doc_id", "line_no", "e.data", "e.mode", "e.reason").select("doc_id", "line_no", *[c(n)[0].alias(n) for n in ("data", "mode", "reason")])
 )
+_SHAPED_LINES = f"(SELECT count(*) FILTER (WHERE {Q.shaped('line')}) FROM ({Q.LINES}))"
+query("red-03-nested", f"SELECT t.name AS column_name, CAST(t.times * {_SHAPED_LINES} AS BIGINT) AS retained FROM (VALUES ('s.t', 1), ('a[]', 2), ('m{{key}}', 0), ('m{{}}', 1), ('d[].t', 1), ('d[].m{{key}}', 0), ('d[].m{{}}', 1)) AS t(name, times)")(
+    lambda i: S.retained_secrets(_lines(i).select(F.struct(c("line").alias("t"), "line_no").alias("s"), F.array("line", "line").alias("a"), F.create_map(F.lit("k"), c("line")).alias("m"), F.array(F.struct(c("line").alias("t"), F.create_map(F.lit("k"), c("line")).alias("m"))).alias("d")))
+)
 query("red-03", "SELECT * FROM (VALUES ('location', 0), ('type', 0), ('field', 0), ('fingerprint', 0)) AS t(column_name, retained)")(lambda i: S.retained_secrets(_scan(i).select("location", "type", "field", "fingerprint")))
 
 
@@ -79,7 +82,7 @@ _RANK = "CASE type WHEN 'username' THEN 0 WHEN 'account' THEN 0 WHEN 'home' THEN
 _plural = lambda n, w: f"CAST({n} AS VARCHAR) || ' {w}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
 _IDENTITIES = f"""{_COMPONENTS},
  grouped AS (SELECT host_id, component, count(*) AS signal_count, count(DISTINCT type) AS types, count(DISTINCT source) AS all_sources, count(DISTINCT domain) AS n_domains, list_sort(list(DISTINCT source) FILTER (WHERE source <> '')) AS sources, list_sort(list(DISTINCT domain)) AS domains,
-   first(value ORDER BY {_RANK}, type, value, source) AS canonical, string_agg(type || '=' || value, ';' ORDER BY type, value, source, domain) AS members FROM member GROUP BY host_id, component),
+   first(value ORDER BY {_RANK}, type, value, source) AS canonical, list(type || '=' || value ORDER BY type, value, source, domain)[1:20] AS members FROM member GROUP BY host_id, component),
  ident AS (SELECT *, CAST(least(floor(100 * (0.5e0 * types / 8e0 + 0.3e0 * least(1e0, len(sources) / 3e0) + 0.2e0 * least(1e0, n_domains / 3e0)) + 0.5e0), 100) AS INTEGER) AS strength, 'ident-' || substr(sha256(array_to_string(list_concat([canonical], sources), chr(0))), 1, 12) AS id,
    'Identity ' || canonical || ' is disclosed by ' || {_plural('signal_count', 'signal')} || ' across ' || {_plural('types', 'kind')} || ' of observation, from ' || {_plural('all_sources', 'source')} || ' and ' || {_plural('n_domains', 'domain')} || '.' AS summary FROM grouped)"""
 
@@ -103,7 +106,12 @@ query("cor-06", f"{_COMPONENTS} SELECT CAST(split_part(node, chr(1), 1) AS BIGIN
 query("cor-07", f"{_IDENTITIES} SELECT host_id, split_part(component, chr(1), 2) AS component, canonical FROM ident")(lambda i: _identities(i, max_groups=1 << 30).select("host_id", F.substring_index("component", "\x00", -1).alias("component"), "canonical"))
 query("cor-08", f"{_IDENTITIES} SELECT host_id, id, signal_count, types, len(sources) AS n_sources, n_domains, strength FROM ident")(lambda i: _identities(i, max_groups=1 << 30).select("host_id", "id", "signal_count", "types", F.size("sources").alias("n_sources"), "n_domains", "strength"))
 query("cor-09", f"{_IDENTITIES} SELECT host_id, id, canonical, array_to_string(sources, ',') AS sources FROM ident")(lambda i: _identities(i, max_groups=1 << 30).select("host_id", "id", "canonical", F.array_join("sources", ",").alias("sources")))
-query("cor-10", f"{_IDENTITIES} SELECT host_id, id, members, array_to_string(domains, ',') AS domains, summary FROM ident")(lambda i: _identities(i, max_groups=1 << 30, members=True).select("host_id", "id", F.array_join(F.transform("signals", lambda s: F.concat_ws("=", s["type"], s["value"])), ";").alias("members"), F.array_join("domains", ",").alias("domains"), "summary"))
+query("cor-10", f"{_IDENTITIES} SELECT host_id, id, signal_count, array_to_string(members, ';') AS members, array_to_string(domains, ',') AS domains, summary FROM ident")(
+    lambda i: _identities(i, max_groups=1 << 30, members=20).select("host_id", "id", "signal_count", F.array_join(F.transform("signals", lambda s: F.concat_ws("=", s["type"], s["value"])), ";").alias("members"), F.array_join("domains", ",").alias("domains"), "summary")
+)
+query("cor-10-members", f"{_COMPONENTS} SELECT host_id, split_part(component, chr(1), 2) AS component, row_number() OVER (PARTITION BY host_id, component ORDER BY type, value, source, domain) AS place, type, value, source, domain FROM member")(
+    lambda i: correlate.identity_members(i.view("v_signals")).select(c("scope").cast("long").alias("host_id"), F.substring_index("component", "\x00", -1).alias("component"), "place", "type", "value", "source", "domain")
+)
 query("cor-11", f"{_IDENTITIES} SELECT host_id, id, canonical, strength, CAST(row_number() OVER (PARTITION BY host_id ORDER BY strength DESC, canonical, id) AS INTEGER) AS rank FROM ident WHERE strength >= 20 QUALIFY rank <= 3")(lambda i: _identities(i, min_strength=20, max_groups=3).select("host_id", "id", "canonical", "strength", "rank"))
 _FLEET = _COMPONENTS.replace("CAST(host_id AS VARCHAR)", "''")
 query("cor-06-fleet", f"{_FLEET} SELECT split_part(node, chr(1), 2) AS node, split_part(component, chr(1), 2) AS component FROM comp")(
@@ -129,7 +137,7 @@ def agg_01(i: Inputs) -> DataFrame:
 query("agg-02", " UNION ALL ".join(f"SELECT host_id, '{d}' AS dimension, {d} AS value, count(*) AS n FROM ({FINDINGS_SQL}) GROUP BY ALL" for d in ("severity", "category", "state")))(lambda i: report.counts(findings(i)))
 query("agg-03", f"SELECT host_id, severity, count(*) AS n, 6 - {_SEV} AS place FROM ({FINDINGS_SQL}) GROUP BY ALL")(lambda i: report.severity_counts(findings(i)))
 query("agg-04", f"SELECT floor, severity, count(*) AS n FROM ({FINDINGS_SQL}) JOIN (VALUES ('', 0), ('low', 0), ('medium', 3), ('high', 4)) AS f(floor, least) ON {_SEV} >= least GROUP BY ALL")(
-    lambda i: reduce(DataFrame.union, [report.at_least(findings(i), x).groupBy(F.lit(x).alias("floor"), "severity").agg(F.count("*").alias("n")) for x in ("", "low", "medium", "high")])
+    lambda i: report.at_each_floor(findings(i), ["", "low", "medium", "high"]).groupBy("floor", "severity").agg(F.count("*").alias("n"))
 )
 query("agg-05", f"SELECT host_id, bool_or({_SEV} >= 4) AS failed FROM ({FINDINGS_SQL}) GROUP BY host_id")(lambda i: report.fail_on(findings(i), "high", "low"))
 query("agg-06", f"SELECT host_id, rule_id, objects, CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS INTEGER) AS place FROM ({FINDINGS_SQL})")(lambda i: report.finding_order(findings(i)).select("host_id", "rule_id", F.array_join("objects", ",").alias("objects"), "place"))
@@ -180,7 +188,7 @@ _LINE = " || ".join(f"{x} || {_Z}" for x in ("rule_id", "module_id", "title", "s
 _LINE_ALL = _LINE.replace(f"|| objects ||", f"|| array_to_string(list_sort(string_split(objects, ',')), {_Z}) ||")
 _WHOLE = f"""{_IDENTITIES}, lim AS (SELECT 1 AS part, * FROM ({AGG_09_SQL}) UNION ALL SELECT 2, * FROM ({AGG_10_SQL})),
  whole AS (SELECT host_id, 0 AS k, '' AS o, CAST(depth AS VARCHAR) || {_Z} AS t FROM v_hosts
- UNION ALL SELECT host_id, 1, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS VARCHAR), 12, '0'), {_LINE_ALL} FROM ({ALL_FINDINGS_SQL})
+ UNION ALL SELECT host_id, 1, lpad(CAST(row_number() OVER (PARTITION BY host_id ORDER BY risk_int DESC, rule_id, module_id, title, objects, {FINGERPRINT_SQL}) AS VARCHAR), 12, '0'), {_LINE_ALL} FROM ({FINDINGS_SQL})
  UNION ALL SELECT host_id, 2, location || {_Z} || {O._FP}, location || {_Z} || {O._FP} || {_Z} FROM v_secrets
  UNION ALL SELECT host_id, 3, lpad(CAST(100 - strength AS VARCHAR), 12, '0') || id, id || {_Z} || canonical || {_Z} FROM ident
  UNION ALL SELECT host_id, 4, name, name || {_Z} || status || {_Z} FROM v_module_status
@@ -202,16 +210,16 @@ _TREE = _WHOLE.replace("{}", ", ".join([_level(0, "numbered"), _level(1, "level0
 
 def _parts(i: Inputs) -> tuple[DataFrame, ...]:
     """All five parts of every host's report, over the findings of all rules."""
-    f = findings(Inputs(i.spark, i.sf_dir, every_rule=True))
+    f = findings(i)
     return f, i.evidence("secrets")["secrets"], _identities(i, max_groups=1 << 30), i.view("v_module_status").withColumn("module_id", c("name")), limits(i)
 
 
-@query("agg-18", over_all_parts(f"{_TREE} SELECT host_id, 'sha256:' || root AS integrity, 'rep-' || substr(root, 1, 24) AS report_id FROM tree JOIN tops USING (host_id) WHERE level = top"))
+@query("agg-18", f"{_TREE} SELECT host_id, 'sha256:' || root AS integrity, 'rep-' || substr(root, 1, 24) AS report_id FROM tree JOIN tops USING (host_id) WHERE level = top")
 def agg_18(i: Inputs) -> DataFrame:
     return report.integrity(*_parts(i), FRAMEWORK, i.view("v_hosts"))
 
 
-@query("agg-18-tree", over_all_parts(f"{_TREE} SELECT host_id, CAST(level AS INTEGER) AS level, nr AS node, t AS part FROM tree JOIN tops USING (host_id) WHERE level <= top"))
+@query("agg-18-tree", f"{_TREE} SELECT host_id, CAST(level AS INTEGER) AS level, nr AS node, t AS part FROM tree JOIN tops USING (host_id) WHERE level <= top")
 def agg_18_tree(i: Inputs) -> DataFrame:
     """The nodes of every host's hash tree."""
     return report.hash_tree(report.report_lines(*_parts(i), i.view("v_hosts"))).drop("root").withColumnRenamed("at", "node")
@@ -220,15 +228,15 @@ def agg_18_tree(i: Inputs) -> DataFrame:
 #: Three snapshots of every host. A finding is missing from one of them by the first digit of its fingerprint.
 SNAPSHOT_TIMES = (1700000000, 1700086400, 1700172800)
 _MISSING = "(instr('0123456789abcdef', substr(fingerprint, 1, 1)) - 1) % 5"
-_SEEN = f"SELECT DISTINCT host_id, rule_id, fingerprint, {_MISSING} AS missing, nr FROM (SELECT host_id, rule_id, {FINGERPRINT_SQL} AS fingerprint FROM ({ALL_FINDINGS_SQL})), (VALUES (0), (1), (2)) AS n(nr)"
-CHANGES_SQL = over_all_parts(f"""SELECT host_id, rule_id, nr, change, count(*) AS n, min(fingerprint) AS least FROM (
- SELECT *, CASE WHEN missing = nr THEN 'resolved' WHEN nr = 0 OR missing = nr - 1 THEN 'new' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE NOT (nr = 0 AND missing = 0)) GROUP BY ALL""")
+_SEEN = f"SELECT DISTINCT host_id, rule_id, fingerprint, {_MISSING} AS missing, nr FROM (SELECT host_id, rule_id, {FINGERPRINT_SQL} AS fingerprint FROM ({FINDINGS_SQL})), (VALUES (0), (1), (2)) AS n(nr)"
+CHANGES_SQL = f"""SELECT host_id, rule_id, nr, change, count(*) AS n, min(fingerprint) AS least FROM (
+ SELECT *, CASE WHEN missing = nr THEN 'resolved' WHEN nr = 0 OR missing = nr - 1 THEN 'new' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE NOT (nr = 0 AND missing = 0)) GROUP BY ALL"""
 
 
 def snapshots_of(i: Inputs) -> tuple[DataFrame, DataFrame]:
     """(host_id, collected_at) of three snapshots of every host, and their findings."""
     shots = i.view("v_hosts").select("host_id", F.explode(F.array(*map(F.lit, SNAPSHOT_TIMES))).alias("at")).select("host_id", F.timestamp_seconds("at").alias("collected_at"))
-    found = findings(Inputs(i.spark, i.sf_dir, every_rule=True)).select("host_id", "rule_id", "fingerprint", F.expr(_MISSING).alias("missing"))
+    found = findings(i).select("host_id", "rule_id", "fingerprint", F.expr(_MISSING).alias("missing"))
     times = F.explode(F.array(*[F.struct(F.lit(n).alias("nr"), F.timestamp_seconds(F.lit(t)).alias("collected_at")) for n, t in enumerate(SNAPSHOT_TIMES)])).alias("s")
     return shots, cut(found.select("*", times).where("s.nr <> missing").select("host_id", "rule_id", "fingerprint", "s.collected_at"))
 
@@ -239,7 +247,7 @@ def count_changes(changes: DataFrame) -> DataFrame:
 
 
 query("agg-19", CHANGES_SQL)(lambda i: count_changes(report.history(*snapshots_of(i))))
-query("agg-19-pair", over_all_parts(f"SELECT host_id, fingerprint, CASE WHEN missing = 0 THEN 'new' WHEN missing = 1 THEN 'resolved' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE nr = 0"))(
+query("agg-19-pair", f"SELECT host_id, fingerprint, CASE WHEN missing = 0 THEN 'new' WHEN missing = 1 THEN 'resolved' ELSE 'unchanged' END AS change FROM ({_SEEN}) WHERE nr = 0")(
     lambda i: (lambda f: report.diff(*[f.where(F.unix_timestamp("collected_at") == t) for t in SNAPSHOT_TIMES[:2]]))(snapshots_of(i)[1])
 )
 
@@ -264,10 +272,10 @@ query("agg-21", ROLLUP_SQL)(lambda i: report.event_rollup(i.view("v_envelope")))
 query("agg-22", "SELECT host_id, hostname, platform, user_name, cloud, container FROM v_hosts")(lambda i: report.host_summary(i.view("v_hosts")))
 query("flagship", summary_sql(f"SELECT * FROM ({FINDINGS_SQL}) WHERE rule_id IN ('NET-001', 'NET-002', 'NET-004')").replace("SELECT host_id, total", "SELECT host_id, 0 AS identity_count, total", 1))(flagship)
 
-_TOLD = f"SELECT * FROM ({ALL_FINDINGS_SQL}) WHERE {_SEV} >= 3 AND rule_id NOT IN ('NET-003', 'ACC-003')"
+_TOLD = f"SELECT * FROM ({FINDINGS_SQL}) WHERE {_SEV} >= 3 AND rule_id NOT IN ('NET-003', 'ACC-003')"
 
 
-@query("assess", over_all_parts(f"SELECT s.*, failed, CAST(0 AS BIGINT) AS identity_count FROM ({summary_sql(_TOLD)}) s JOIN (SELECT host_id, bool_or({_SEV} >= 4) AS failed FROM ({_TOLD}) GROUP BY host_id) USING (host_id)"))
+@query("assess", f"SELECT s.*, failed, CAST(0 AS BIGINT) AS identity_count FROM ({summary_sql(_TOLD)}) s JOIN (SELECT host_id, bool_or({_SEV} >= 4) AS failed FROM ({_TOLD}) GROUP BY host_id) USING (host_id)")
 def assess_hosts(i: Inputs) -> DataFrame:
     """The summaries of a whole run over all evidence, but for two rules and without findings below medium."""
     return assess(i.evidence(*rules.TABLES), exclude=["NET-003", "ACC-003"], min_severity="medium", threshold="high").summary

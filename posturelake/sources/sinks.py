@@ -2,12 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.secrets import redact_attributes
+from ..plans.lineage import cut
+from ..plans.numbering import number_rows
+
+
+#: Rows of a written file, and documents of one.
+ROWS, DOCUMENTS = 1_000_000, 1_000
+REPORT_ROW = "host_id long, part string, place long, body string"
+
+
+def _redacted(df: DataFrame) -> DataFrame:
+    return df.withColumn("attributes", redact_attributes(F.col("attributes"))) if "attributes" in df.columns else df
+
+
+def report_rows(**parts: DataFrame) -> DataFrame:
+    """SNK-01 as rows: (host_id, part, place, body) of tables with ``host_id``, by the name of their part. ``body`` holds a row's other columns as VARIANT, with secret-shaped attributes redacted.
+
+    A table that has no column ``place`` is numbered by its columns. No host is gathered, so that a host may have any number of rows.
+    """
+    out = []
+    for part, df in parts.items():
+        rest = [c for c in df.columns if c not in ("host_id", "place")]
+        body = F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))
+        placed = _redacted(df) if "place" in df.columns else number_rows(_redacted(df), [F.to_json(F.struct(*rest))], within=["host_id"], out="place").withColumn("place", F.col("place") + 1)
+        out.append(placed.select("host_id", F.lit(part).alias("part"), F.col("place").cast("long").alias("place"), body.alias("body")))
+    return reduce(DataFrame.union, out)
+
+
+def _own_folder(folder: str, assessment: str) -> str:
+    if not assessment or "/" in assessment or assessment.startswith("."):
+        raise ValueError("an assessment's name is one part of a path")
+    return f"{folder}/assessment={assessment}"
+
+
+def write_rows(rows: DataFrame, folder: str, assessment: str, per_file: int = ROWS) -> None:
+    """SNK-01: the rows of one assessment as JSON lines, in ranges of host, part and place, ``per_file`` rows to a file. Written again it replaces itself, and nothing else."""
+    rows = cut(rows)
+    order = ["host_id", "part", "place"]
+    files = max(1, -(-rows.count() // per_file))
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").json(_own_folder(folder, assessment))
+
+
+def read_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(host_id, part, place, body, assessment) of all that ``write_rows`` wrote; bodies are JSON."""
+    return spark.read.schema(REPORT_ROW).json(folder)
+
 
 def reports(findings: DataFrame, summary: DataFrame, limitations: DataFrame) -> DataFrame:
-    """One nested row per host: its summary, ordered findings and limitations. A report is one document, so that it is gathered per host."""
+    """One nested row per host: its summary, ordered findings with redacted attributes, and limitations. For hosts whose report fits one row; ``report_rows`` has no such bound."""
+    findings = _redacted(findings)
     cols = [c for c in findings.columns if c != "host_id"]
     listed = findings.groupBy("host_id").agg(F.array_sort(F.collect_list(F.struct("place", *[c for c in cols if c != "place"])), lambda a, b: a["place"] - b["place"]).alias("findings"))
     texts = limitations.groupBy("host_id").agg(F.array_sort(F.collect_list("limitation")).alias("limitations"))
@@ -15,15 +64,17 @@ def reports(findings: DataFrame, summary: DataFrame, limitations: DataFrame) ->
     return totals.join(listed, "host_id", "left").join(texts, "host_id", "left")
 
 
-def write_reports(reports: DataFrame, folder: str, buckets: int = 16) -> None:
-    """SNK-01: a JSON report per line. Hosts are spread over a fixed number of folders, since a folder for each would not last for a large fleet."""
-    spread = reports.withColumn("bucket", F.pmod(F.xxhash64("host_id"), F.lit(buckets)))
-    spread.repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(folder)
+def write_reports(reports: DataFrame, folder: str, assessment: str, per_file: int = DOCUMENTS) -> None:
+    """A JSON report per line, ``per_file`` reports to a file. Written again it replaces the same assessment, and nothing else."""
+    files = max(1, -(-reports.count() // per_file))
+    reports.repartition(files, "host_id").write.mode("overwrite").json(_own_folder(folder, assessment))
 
 
-def write_table(df: DataFrame, folder: str, collected_date) -> None:
-    """SNK-02: Parquet, partitioned by the day of collection."""
-    df.withColumn("collected_date", F.to_date(collected_date)).write.mode("append").partitionBy("collected_date").parquet(folder)
+def write_table(df: DataFrame, folder: str, collected_date: Column, assessment: str) -> None:
+    """SNK-02: Parquet, partitioned by the day of collection and the assessment. Written again it replaces its own partitions."""
+    _own_folder(folder, assessment)
+    dated = df.withColumns({"collected_date": F.to_date(collected_date), "assessment": F.lit(assessment)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collected_date", "assessment").parquet(folder)
 
 
 def write_updates(df: DataFrame, batch: int, folder: str) -> None:
