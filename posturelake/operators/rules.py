@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
+from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -292,15 +294,6 @@ def needs(only: Iterable[str] | None = None) -> set[str]:
     return {t for r in chosen for t in (NEEDS[r.build] if r.build else (r.table,))}
 
 
-def one_pass(rows: DataFrame, rules: Iterable[Rule], runs: Callable[[Rule], Column] | None = None) -> DataFrame:
-    """Matches of all filter rules of one table, from a single scan. ``runs`` gives a condition of a rule on the row's host."""
-    text = lambda made: F.lit(None).cast("string") if made is None else made()
-    when = lambda r: r.when() if runs is None else runs(r) & r.when()
-    found = [F.when(when(r), F.struct(F.lit(r.id).alias("rule_id"), text(r.titled).alias("title"), text(r.impact).alias("impact"), F.array(*r.objects()).alias("objects"), _map(r.attributes()).alias("attributes"))) for r in rules]
-    # outer, since the plain form also filters by the size of the array and so makes every match twice
-    return rows.select("host_id", F.explode_outer(F.array_compact(F.array(*found))).alias("m")).where("m IS NOT NULL").select("host_id", "m.*")
-
-
 def runs_on(rule: Rule, platform: Column, depth: Column, authorized: Column) -> Column:
     """Whether a rule runs on a host (ENG-01), with the rule's side as constants; what is not known of a host does not keep a rule from running."""
     known = lambda x: F.coalesce(x, F.lit(True))
@@ -308,6 +301,26 @@ def runs_on(rule: Rule, platform: Column, depth: Column, authorized: Column) ->
     return wide & known(platform.isin(*rule.platforms)) if rule.platforms else wide
 
 
+#: Columns of rules by the gateway that they belong to: a rule is some hundred calls to the JVM, which a plan need not make again.
+_COLUMNS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _match(rule: Rule, gated: bool) -> Column:
+    """What ``rule`` makes of a row, null if it does not fit; ``gated``, also if the rule does not run on the row's host (host_platform, host_depth, host_authorized)."""
+    known = _COLUMNS.setdefault(SparkContext._gateway, {})
+    if (rule, gated) not in known:
+        text = lambda made: F.lit(None).cast("string") if made is None else made()
+        fits = runs_on(rule, c("host_platform"), c("host_depth"), c("host_authorized")) & rule.when() if gated else rule.when()
+        known[rule, gated] = F.when(fits, F.struct(F.lit(rule.id).alias("rule_id"), text(rule.titled).alias("title"), text(rule.impact).alias("impact"), F.array(*rule.objects()).alias("objects"), _map(rule.attributes()).alias("attributes")))
+    return known[rule, gated]
+
+
+def one_pass(rows: DataFrame, rules: Iterable[Rule], gated: bool = False) -> DataFrame:
+    """Matches of all filter rules of one table, from a single scan; ``gated``, where they run on the row's host."""
+    # outer, since the plain form also filters by the size of the array and so makes every match twice
+    return rows.select("host_id", F.explode_outer(F.array_compact(F.array(*[_match(r, gated) for r in rules]))).alias("m")).where("m IS NOT NULL").select("host_id", "m.*")
+
+
 def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool = False) -> DataFrame:
     """ENG-04: matches of the rules (all by default) over the tables that are given; a rule whose table is missing is left out, and no rule gives no row.
 
@@ -321,7 +334,7 @@ def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool
     for t in TABLES:
         if t in tables and (mine := [r for r in chosen if r.table == t]):
             rows = tables[t] if not applicable else tables[t].join(hosts, "host_id") if t != "hosts" else tables[t].withColumns({f"host_{x}": c(x) for x in ("platform", "depth", "authorized")})
-            parts.append(one_pass(rows, mine, runs))
+            parts.append(one_pass(rows, mine, applicable))
     built = [r for r in chosen if r.build and all(n in tables for n in NEEDS[r.build])]
     if built:
         out = reduce(DataFrame.unionByName, [r.build(tables) for r in built])
