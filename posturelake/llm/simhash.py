@@ -1,8 +1,8 @@
 """SimHash near-duplicates by a Gray-ordered hierarchical index.
 
 Fingerprints that differ in at most ``limit`` bits are linked. The upper nodes of the index stand for shared bit patterns under a mask: the bits are cut
-into ``limit`` + 1 parts, of which two linked fingerprints have at least one in common, so that each fingerprint goes to one node for each
-part, and whole nodes that differ there are pruned without a look. A node that holds too many is cut again by the bits that are still free. Below, a
+into ``limit`` + 1 parts, of which two linked fingerprints have at least one in common, and a mask takes as many bits of a part as bring a node to some SHARED
+fingerprints. So each fingerprint goes to one node for each part, and whole nodes that differ there are pruned without a look. A node that holds over NODE_ROWS is cut again by the bits that are still free. Below, a
 node's fingerprints are sorted by Gray rank, so that neighbours share many bits; lower nodes stand for consecutive fingerprints (or nodes) and hold the
 bits on which all of them agree. A search goes down, adds up the differences on the bits that a node shares beyond its parent, and leaves a node with all
 that it holds once the sum is over the limit.
@@ -11,6 +11,7 @@ that it holds once the sum is over the limit.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from .common import LOWER, UPPER, map_batches, map_texts, nested, sized
 
 SEED = 42
 FANOUT = 8
-#: Fingerprints of an upper node at most; larger ones are cut again. Those of up to LEAF are compared as they lie.
-NODE_ROWS, LEAF = 4096, 16
+#: Fingerprints that an upper node holds on average at most, and at all; larger ones are cut again.
+SHARED, NODE_ROWS = 1024, 4096
 _QUERIES = 1024  # searched at once
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -131,6 +132,11 @@ def _parts(mask: int, limit: int) -> list[int]:
     return [sum(1 << b for b in free[s:e]) for s, e in zip(edges, edges[1:])]
 
 
+def _top(mask: int, n: int) -> int:
+    """The upper ``n`` bits of a mask, or all."""
+    return sum(1 << b for b in [b for b in range(63, -1, -1) if mask >> b & 1][:n])
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -138,11 +144,16 @@ def _signed(mask: int) -> int:
 def upper_nodes(codes: DataFrame, limit: int = 2) -> DataFrame:
     """(mask, value, fp, node): the codes of each upper node, which agree in ``value`` on the bits of ``mask``.
 
-    Two codes that differ in at most ``limit`` bits meet in a node. A node of over NODE_ROWS codes is cut by the bits outside its mask. Since codes are distinct, a node holds at most
+    The first masks take of each part the least number of bits that leaves a node SHARED codes if bits were even; none, and so one node for all, while there are no more. Two codes that differ in at most ``limit`` bits meet in a node. A node of over NODE_ROWS codes takes the whole part, then is cut by the bits outside its mask. Since codes are distinct, a node holds at most
     two to the number of its free bits, of which each cut leaves about two thirds, so that the rounds are few whatever the codes are.
     """
     spark, ready, cut_by = codes.sparkSession, [], lambda m: [_signed(m | p) for p in _parts(m, limit)]
-    rows, masks = codes.select(F.array(*[F.lit(x).cast("long") for x in cut_by(0)]).alias("finer"), "fp", "node"), [0]
+    bits = max(0, math.ceil(math.log2(max(1, codes.count()) / SHARED)))
+    refine: dict[int, list[int]] = {}  # by a first mask the whole parts that it takes bits of: two codes that agree on no more of one meet under another
+    for p in _parts(0, limit):
+        refine.setdefault(_top(p, bits), []).append(p)
+    first = sorted(map(_signed, refine))
+    rows, masks = codes.select(F.array(*[F.lit(x).cast("long") for x in first]).alias("finer"), "fp", "node"), [0]
     while masks:
         rows = rows.select(F.explode("finer").alias("mask"), "fp", "node")
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
@@ -152,7 +163,7 @@ def upper_nodes(codes: DataFrame, limit: int = 2) -> DataFrame:
             rows = cut(rows)
         ready.append(rows.join(full, ["mask", "value"], "left_anti") if masks else rows)
         if masks:
-            finer = spark.createDataFrame([(_signed(m), cut_by(m)) for m in masks], "mask long, finer array<long>")
+            finer = spark.createDataFrame([(_signed(m), list(map(_signed, refine[m])) if refine.get(m, [m]) != [m] else cut_by(m)) for m in masks], "mask long, finer array<long>")
             rows = rows.join(full, ["mask", "value"], "left_semi").drop("value").join(F.broadcast(finer), "mask")
     out = ready[0]
     for more in ready[1:]:
@@ -164,13 +175,13 @@ def _near(fp: np.ndarray, node: np.ndarray, starts: np.ndarray, limit: int) -> I
     """Spanning stars of the pairs within ``limit`` bits in each upper node; nodes begin at ``starts`` and lie in Gray order."""
     sizes = np.diff(np.append(starts, len(fp)))
     upper = np.repeat(np.arange(len(starts)), sizes)
-    leaf = np.repeat(sizes <= LEAF, sizes)
-    for d in range(1, min(LEAF, int(sizes.max(initial=0)))):
+    leaf = np.repeat(sizes <= FANOUT, sizes)  # a lowest node and no more
+    for d in range(1, min(FANOUT, int(sizes.max(initial=0)))):
         at = np.flatnonzero((upper[d:] == upper[:-d]) & leaf[d:])
         at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= limit]
         if len(at):
             yield _forest(node[at], node[at + d])
-    for s, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
+    for s, n in zip(starts[sizes > FANOUT].tolist(), sizes[sizes > FANOUT].tolist()):
         codes, names = fp[s : s + n], node[s : s + n]
         index = GrayIndex(codes, codes)
         for i in range(0, n, _QUERIES):

@@ -101,6 +101,31 @@ def test_gray_index_finds_every_link(spark, rows):
     assert len(edges) < 20 * len(codes)
 
 
+def test_links_of_real_codes_come_through_the_index(spark, monkeypatch):
+    """Of ten thousand documents: nodes hold many codes, and nearly all pairs are found by searching Gray indexes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    codes = simhash.fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("node"))
+    codes = spark.createDataFrame(codes.toPandas())
+    nodes = simhash.upper_nodes(codes).orderBy("mask", "value", simhash.gray_rank(F.col("fp"))).toPandas()
+    sizes = nodes.groupby(["mask", "value"]).size()
+    assert len(nodes) >= 3 * 9000 and sizes.max() > 256 and sizes[sizes > simhash.FANOUT].sum() > 0.99 * len(nodes)
+    found, plain = [0], simhash.GrayIndex.search
+
+    def counted(self, some, limit):
+        who, at = plain(self, some, limit)
+        found[0] += len(who) - len(some)  # each code finds itself
+        return who, at
+
+    monkeypatch.setattr(simhash.GrayIndex, "search", counted)
+    fp = nodes["fp"].to_numpy().view(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes.to_numpy())[:-1]])
+    assert (nodes.groupby(["mask", "value"], sort=False).size().to_numpy() == sizes.to_numpy()).all()
+    for _ in simhash._near(fp, nodes["node"].to_numpy(), starts, 2):
+        pass
+    small = sum(int((np.bitwise_count(fp[s : s + n, None] ^ fp[None, s : s + n]) <= 2).sum() - n) for s, n in zip(starts.tolist(), sizes.tolist()) if n <= simhash.FANOUT)
+    assert found[0] > 10 and found[0] > 0.9 * (found[0] + small)
+
+
 def test_gray_neighbours_differ_in_one_bit():
     ranks = np.arange(64, dtype=np.uint64)
     assert (simhash._ranks(ranks ^ (ranks >> np.uint64(1))) == ranks).all()
