@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.risk import FORMULA, score
@@ -80,35 +80,55 @@ def state(confidence: Column) -> Column:
     return F.when(confidence.isin("confirmed", "observed"), "observed").when(confidence.isin("probable", "possible"), "inferred").otherwise("unknown")
 
 
-def fingerprint(rule: Column, category: Column, title: Column, objects: Column, attributes: Column) -> Column:
-    """ENG-07: SHA-256 over the parts, separated by zero characters."""
+def fingerprint(rule: Column, category: Column, title: Column, objects: Column, entries: Column) -> Column:
+    """ENG-07: SHA-256 over the parts, separated by zero characters; ``entries`` are the attributes as key and value."""
     own = F.transform(F.array_sort(objects), lambda o: F.concat(F.lit("obj="), o))
-    pairs = F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    pairs = F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.sha2(F.array_join(F.concat(F.array(rule, category, title), own, pairs), "\x00"), 256)
 
 
+ENUMS = ("severity", "exposure", "privilege", "sensitivity", "confidence")
+
+
+def _rated() -> dict[str, Column]:
+    """The score and what follows from ENUMS; ``marks`` and ``raw_mark`` are the attributes that it adds, as entries."""
+    s, number = score(*map(F.col, ENUMS)), lambda v: F.format_string("%.1f", v)
+    entry = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    return {
+        "risk_raw": s["risk_raw"], "risk_score": s["risk_score"], "risk_band": s["risk_band"], "status": status(F.col("confidence")), "state": state(F.col("confidence")),
+        "marks": F.array(entry("risk_band", s["risk_band"]), entry("risk_formula", F.lit(FORMULA)), entry("risk_score", number(s["risk_score"]))), "raw_mark": F.array(entry("risk_raw", number(s["risk_raw"]))),
+    }
+
+
 def build(matches: DataFrame, catalogue: DataFrame) -> DataFrame:
     """ENG-05 to ENG-08: scored findings, one of those that are the same on a host.
 
     ``dedupe_key`` hashes what was matched and the score, ``fingerprint`` also the raw score. Matches may carry the columns severity,
-    exposure, privilege, sensitivity, confidence, description to override the rule's.
+    exposure, privilege, sensitivity, confidence, description to override the rule's; without any of the first five the score is that of the catalogue's row.
+    Matches that are equal are one before anything is scored or hashed. Where ``description`` is given, those that differ in impact and description alone are one
+    as well: that of the least texts; else the impact must follow from the rest, as it does in all rules.
     """
-    enums = ["severity", "exposure", "privilege", "sensitivity", "confidence"]
-    over = [c for c in [*enums, "description"] if c in matches.columns]
-    m = matches.withColumnsRenamed({c: f"own_{c}" for c in over})
-    f = m.join(F.broadcast(catalogue), "rule_id")  # the catalogue's size is fixed
-    text = lambda own, default: F.coalesce(F.nullif(F.col(own), F.lit("")), default)
-    f = f.withColumns({c: text(f"own_{c}", F.col(c)) for c in over if c in enums})
-    f = f.withColumn("title", text("title", F.col("default_title")))
+    over = [c for c in (*ENUMS, "description") if c in matches.columns]
+    own = {c: f"own_{c}" for c in over}
+    text = lambda mine, default: F.coalesce(F.nullif(F.col(mine), F.lit("")), default)
+    titles = F.broadcast(catalogue.select("rule_id", "default_title"))  # the catalogue's size is fixed
+    same = matches.withColumnsRenamed(own).join(titles, "rule_id").select(
+        "host_id", "rule_id", text("title", F.col("default_title")).alias("title"), F.nullif("impact", F.lit("")).alias("impact"),
+        F.when(F.size("objects") > 0, F.array_sort("objects")).otherwise(F.array("rule_id")).alias("objects"), F.array_sort(F.map_entries("attributes")).alias("entries"), *own.values(),
+    ).distinct()
+    rates = [c for c in over if c in ENUMS]
+    f = same.join(F.broadcast(catalogue if rates else catalogue.withColumns(_rated())), "rule_id")
+    if rates:
+        f = f.withColumns({c: text(own[c], F.col(c)) for c in rates}).withColumns(_rated())
     f = f.withColumn("description", text("own_description", F.col("default_title")) if "description" in over else F.col("default_title"))
-    f = f.withColumn("impact", text("impact", F.col("description")))
-    f = f.withColumn("objects", F.when(F.size("objects") > 0, F.array_sort("objects")).otherwise(F.array("rule_id")))
-    f = f.withColumn("s", score(*map(F.col, enums)))
-    number = lambda v: F.format_string("%.1f", v)
-    scored = F.map_concat("attributes", F.create_map(F.lit("risk_band"), "s.risk_band", F.lit("risk_formula"), F.lit(FORMULA), F.lit("risk_score"), number(F.col("s.risk_score"))))
-    f = f.withColumn("attributes", scored)
-    key = lambda a: fingerprint(F.col("rule_id"), F.col("category"), F.col("title"), F.col("objects"), a)
-    f = f.withColumns({"dedupe_key": key(F.col("attributes")), "fingerprint": key(F.map_concat("attributes", F.create_map(F.lit("risk_raw"), number(F.col("s.risk_raw")))))})
-    f = f.withColumns({"status": status(F.col("confidence")), "state": state(F.col("confidence")), "risk_raw": F.col("s.risk_raw"), "risk_score": F.col("s.risk_score"), "risk_band": F.col("s.risk_band"), "risk_int": F.col("s.risk_score").cast("int"), "correlated": F.lit(False)})
-    keep = ["host_id", "rule_id", "module_id", "title", "category", *enums, "status", "state", "description", "impact", "objects", "attributes", "risk_raw", "risk_score", "risk_int", "risk_band", "dedupe_key", "fingerprint", "correlated"]
-    return f.select(*keep).dropDuplicates(["host_id", "dedupe_key"])
+    key = lambda *parts: fingerprint(F.col("rule_id"), F.col("category"), F.col("title"), F.col("objects"), F.concat("entries", *parts))
+    f = f.withColumns({
+        "impact": F.coalesce("impact", "description"), "attributes": F.map_from_entries(F.concat("entries", "marks")), "dedupe_key": key("marks"), "fingerprint": key("marks", "raw_mark"),
+        "risk_int": F.col("risk_score").cast("int"), "correlated": F.lit(False),
+    })
+    keep = ["host_id", "rule_id", "module_id", "title", "category", *ENUMS, "status", "state", "description", "impact", "objects", "attributes", "risk_raw", "risk_score", "risk_int", "risk_band", "dedupe_key", "fingerprint", "correlated"]
+    f = f.select(*keep)
+    if over:
+        rank = Window.partitionBy("host_id", "dedupe_key").orderBy("impact", "description", "fingerprint")
+        f = f.withColumn("nth", F.row_number().over(rank)).where("nth = 1").drop("nth")
+    return f

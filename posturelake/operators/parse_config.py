@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import basename
+from ..plans.numbering import carried
 from .parse import words
 
 c = F.col
@@ -49,22 +50,22 @@ def _cut(line: Column) -> tuple[Column, Column]:
 
 def _number(lines: DataFrame) -> DataFrame:
     """``line_no``: the line's number among the non-blank lines of its file, from 1."""
-    full = lines.where(F.trim("line") != "")
-    return full.withColumn("line_no", F.row_number().over(Window.partitionBy(*_FILE).orderBy("pos")))
+    return carried(lines.where(F.trim("line") != ""), [c("pos")], _FILE, total={"line_no": F.lit(1)})
 
 
 def registry_blocks(lines: DataFrame) -> DataFrame:
-    """PRS-15: a map per registry key of a query's text; a name that is repeated in sequence has its values joined."""
+    """PRS-15: a map per registry key of a query's text; a name that is repeated in sequence has its values joined. A file is many tasks' work, a block is one row."""
     clean = F.trim("line")
-    w = Window.partitionBy(*_FILE).orderBy("pos")
     head = clean.startswith("HKEY_") | clean.startswith("\\")
-    rows = lines.where(clean != "").withColumns({"head": head, "clean": clean}).withColumn("block", F.sum(F.col("head").cast("int")).over(w))
     pattern = r"^(.*?)    REG_\S*\s+(.*)$"
-    value = F.trim(F.regexp_extract("clean", pattern, 2))
-    rows = rows.where(~c("head") & c("clean").rlike(pattern)).withColumns({"name": F.trim(F.regexp_extract("clean", pattern, 1)), "value": F.regexp_replace(value, '^"(.*)"$', "$1")}).where("name <> ''")
-    inner = Window.partitionBy(*_FILE, "block").orderBy("pos")
-    rows = rows.withColumn("fresh", F.coalesce(c("name") != F.lag("name").over(inner), F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(inner))
-    joined = rows.groupBy(*_FILE, "block", "run", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "; ").alias("value"))
+    name = F.when(~head & clean.rlike(pattern), F.nullif(F.trim(F.regexp_extract(clean, pattern, 1)), F.lit("")))
+    value = F.regexp_replace(F.trim(F.regexp_extract(clean, pattern, 2)), '^"(.*)"$', "$1")
+    rows = lines.where(clean != "").select(*_FILE, "pos", head.alias("head"), name.alias("name"), value.alias("value"))
+    rows = carried(rows, [c("pos")], _FILE, last={"headed": F.when(c("head"), c("pos"))}, before={"previous": F.when(c("name").isNotNull(), F.struct("pos", "name"))}, total={"block": c("head").cast("int")})
+    goes_on = (c("previous.name") == c("name")) & F.coalesce(c("previous.pos") > c("headed"), F.lit(True))
+    named = rows.where("name IS NOT NULL").withColumn("fresh", ~F.coalesce(goes_on, F.lit(False)))
+    named = carried(named.select(*_FILE, "pos", "block", "name", "value", "fresh"), [c("pos")], _FILE, last={"run": F.when(c("fresh"), c("pos"))})
+    joined = named.groupBy(*_FILE, "block", "run", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "; ").alias("value"))
     last = joined.groupBy(*_FILE, "block", "name").agg(F.max_by("value", "run").alias("value"))
     return last.groupBy(*_FILE, "block").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("values"))
 
@@ -92,10 +93,9 @@ def repository_lines(lines: DataFrame, provider: str = "apt", kind: str = "deb")
 
 def repository_files(lines: DataFrame, provider: str = "dnf") -> DataFrame:
     """PRS-17: ``baseurl`` of each section; the section's first ``gpgcheck`` tells whether it is signed."""
-    rows = _number(lines)
     clean = F.trim("line")
     name = F.when(clean.rlike(r"^\[.*\]$"), F.btrim(clean, F.lit("[]")))
-    rows = rows.withColumn("section", F.coalesce(F.last(name, True).over(Window.partitionBy(*_FILE).orderBy("pos")), F.lit("")))
+    rows = carried(lines.where(clean != ""), [c("pos")], _FILE, last={"section": name}, total={"line_no": F.lit(1)}).withColumn("section", F.coalesce("section", F.lit("")))
     key, value = _cut(clean)
     rows = rows.where(~clean.startswith("#") & clean.contains("=") & ~clean.startswith("[")).withColumns({"key": key, "value": value})
     checks = rows.where("key = 'gpgcheck'").groupBy(*_FILE, "section").agg(F.min_by(c("value").eqNullSafe("1") | (F.lower("value") == "true"), "pos").alias("checked"))
@@ -123,7 +123,7 @@ def git_settings(lines: DataFrame) -> DataFrame:
     """PRS-21: (host_id, path, pos, setting, value) of name, email and remote url; the key is qualified with the carried section."""
     clean = F.trim("line")
     section = F.when(clean.startswith("["), F.lower(F.regexp_extract(clean, r"^\[\s*([A-Za-z0-9.-]*)", 1)))
-    rows = lines.withColumn("section", F.last(section, True).over(Window.partitionBy(*_FILE).orderBy("pos")))
+    rows = carried(lines, [c("pos")], _FILE, last={"section": section})
     key, value = _cut(clean)
     rows = rows.where(clean.contains("=") & ~clean.startswith("[")).withColumns({"setting": F.concat_ws(".", "section", key), "value": value})
     value = F.when(c("setting") == "remote.url", strip_url_credentials(c("value"))).otherwise(c("value"))

@@ -46,7 +46,7 @@ def socket_findings(sockets: DataFrame, catalogue: DataFrame, delay: str = "1 ho
     flat = own.select("host_id.host_id", "host_id.collected_at", "rule_id", "title", "impact", "objects", "attributes")
     found = flat.join(F.broadcast(catalogue), "rule_id")  # of fixed size
     title = F.coalesce("title", "default_title")
-    key = engine.fingerprint(F.col("rule_id"), F.col("category"), title, F.col("objects"), F.col("attributes"))
+    key = engine.fingerprint(F.col("rule_id"), F.col("category"), title, F.col("objects"), F.map_entries("attributes"))
     return found.select("host_id", "collected_at", "rule_id", title.alias("title"), key.alias("dedupe_key")).dropDuplicatesWithinWatermark(["host_id", "dedupe_key"])
 
 

@@ -1,18 +1,22 @@
 """Cases of single functions, the recorded workstation, and properties that hold for any input."""
 
 import itertools
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from rows import TINY
 
 from posturelake.functions import names, paths, risk, secrets
-from posturelake.operators import correlate, engine, parse, report, rules
+from posturelake.operators import correlate, engine, parse, parse_config, report, rules
 from posturelake.operators.assess import assess
 from posturelake.operators.components import components
-from posturelake.plans.numbering import number_rows, running_total
+from posturelake.plans import queries_reports
+from posturelake.plans.numbering import carried, number_rows, running_total
 from posturelake.plans.registry import Inputs
 from posturelake.sources import lines as L
+from posturelake.sources import sinks
 
 
 def column(spark, values, made):
@@ -202,18 +206,17 @@ def test_nothing_outside_imports_the_llm_subpackage():
             assert "llm" not in p.read_text(), p
 
 
-def test_reports_hold_limitations(spark):
-    """SNK-01 writes the limitations of modules and of rules that did not run."""
-    from rows import TINY
-
-    from posturelake.plans import queries_parse, queries_reports, registry
-
-    i = registry.Inputs(spark, TINY)
-    want = {}
-    for r in queries_reports.limits(i).collect():
+def test_reports_hold_limitations(spark, tmp_path):
+    """SNK-01 writes the limitations of modules and of rules that did not run, in their order."""
+    i = Inputs(spark, TINY)
+    want, got = {}, {}
+    limits = queries_reports.limits(i)
+    for r in limits.collect():
         want.setdefault(r["host_id"], []).append(r["limitation"])
-    got = {int(r["host_id"]): r["limitations"] for r in queries_parse.written_reports(i).collect()}
-    assert got == {h: sorted(want[h]) if h in want else None for h in got} and any(got.values())
+    sinks.write_rows(sinks.report_rows(limitation=limits), str(tmp_path / "rows"), "first")
+    for r in sinks.read_rows(spark, str(tmp_path / "rows")).orderBy("place").collect():
+        got.setdefault(r["host_id"], []).append(json.loads(r["body"])["limitation"])
+    assert want and {h: sorted(x) for h, x in got.items()} == {h: sorted(x) for h, x in want.items()}
 
 
 def test_rules_that_run_are_chosen_in_the_scan(spark):
@@ -269,3 +272,51 @@ def test_attributes_are_redacted_in_a_run(spark):
     plain = engine.build(engine.evaluate({**t, "sockets": leak}, ["NET-001"]), rules.metadata(spark)).first()
     got = run.findings.first()
     assert got["fingerprint"] == plain["fingerprint"] and not any("AKIA" in v for v in got["attributes"].values())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_values_are_carried_over_the_partitions_of_a_group(spark, parts):
+    draws = random.Random(parts)
+    rows = [(g, n, draws.choice([None, None, None, f"v{n}"]), draws.randrange(3)) for g in ("a", None, "b") for n in range(400 if g == "a" else 7)]
+    want = {}
+    for g in ("a", None, "b"):
+        now, sofar = None, 0
+        for _, n, v, k in [r for r in rows if r[0] == g]:
+            prior, now, sofar = now, v or now, sofar + k
+            want[g, n] = (now, prior, sofar)
+    draws.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, n int, v string, k int")
+        made = carried(df, [F.col("n")], ["g"], last={"now": F.col("v")}, before={"prior": F.col("v")}, total={"sofar": F.col("k")})
+        assert {(r.g, r.n): (r.now, r.prior, r.sofar) for r in made.collect()} == want
+        assert made.columns == ["g", "n", "v", "k", "now", "prior", "sofar"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_one_long_file_of_settings_is_read_by_many_tasks(spark):
+    text = ["HKEY_A"] + [f"    n{i // 2}    REG_SZ    v{i}" for i in range(2000)] + ["\\B", "    n    REG_SZ    one", "    n    REG_SZ    two", "HKEY_C", "    n    REG_SZ    x", "    m    REG_SZ    y", "    n    REG_SZ    z"]
+    lines = spark.createDataFrame([(1, "f", i, x) for i, x in enumerate(text)], "host_id long, path string, pos int, line string").repartition(5)
+    found = {r["block"]: r["values"] for r in parse_config.registry_blocks(lines).collect()}
+    assert found[1] == {f"n{i}": f"v{2 * i}; v{2 * i + 1}" for i in range(1000)}
+    assert found[2] == {"n": "one; two"} and found[3] == {"n": "z", "m": "y"}
+    sections = [x for i in range(700) for x in (f"[s{i}]", f"baseurl=http://h{i}/", f"gpgcheck={i % 2}")]
+    repos = spark.createDataFrame([(1, "/d/x.repo", i, x) for i, x in enumerate(sections)], "host_id long, path string, pos int, line string").repartition(5)
+    assert {(r["kind"], r["uri"], r["id"]) for r in parse_config.repository_files(repos).collect()} == {(f"s{i}", f"http://h{i}/", f"x.repo#{3 * i + 2}") for i in range(700)}
+
+
+def test_equal_matches_are_one_before_they_are_scored(spark):
+    made = "host_id long, rule_id string, title string, impact string, objects array<string>, attributes map<string,string>"
+    rows = [(1, "NET-001", None, None, ["b", "a"], {"x": "1", "y": "2"}), (1, "NET-001", "", "", ["a", "b"], {"y": "2", "x": "1"}), (1, "NET-001", None, None, [], {}), (2, "NET-001", None, None, ["a", "b"], {"x": "1", "y": "2"})]
+    found = engine.build(spark.createDataFrame(rows, made), rules.metadata(spark))
+    plan = found._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
+    assert sorted((r.host_id, *r.objects) for r in found.collect()) == [(1, "NET-001"), (1, "a", "b"), (2, "a", "b")]
+    told = [(*r, d) for r in rows[:1] for d in ("two", "one", "")] + [(*rows[0][:3], "impact", *rows[0][4:], "one")]
+    one = engine.build(spark.createDataFrame(told, made + ", description string"), rules.metadata(spark)).collect()
+    assert [(r.description, r.impact) for r in one] == [(rules.BY_ID["NET-001"].title, rules.BY_ID["NET-001"].title)]
+    rated = engine.build(spark.createDataFrame([(*rows[0], "critical")], made + ", severity string"), rules.metadata(spark)).first()
+    assert rated.severity == "critical" and rated.attributes["risk_score"] == f"{rated.risk_score:.1f}"
