@@ -5,6 +5,9 @@ many starts seek the half of least determinant. From a group's best block, conce
 settles, then a reweighting step. Up to half of a group may be junk without moving the estimate. A step over all rows is a pass
 of partial-aggregated sums per group and distance class, so that a group of any size is estimated from all its documents and none is gathered
 into one task.
+
+Languages and all documents are estimated in the same passes. Each group's location and scatter are drawn towards its language's, and those towards
+all documents', by a weight that fades smoothly with the group's size, so that a group of one document and one of a million are judged by one rule.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import BROADCAST_ROWS, SPACES, map_texts, nested, ship, sized
+from .common import BROADCAST_ROWS, SPACES, map_texts, nested, ship
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -31,8 +34,8 @@ MAX_STEPS, SETTLED = 20, 1e-3
 #: Rows of a block, and subsets that a search in it starts from; those of least determinant after two steps are pursued.
 BLOCK, STARTS, PURSUED = 2000, 40, 5
 SEED = 42
-#: A (language, source) group of fewer documents (10 for each component) is judged by the estimate of its whole language, or if that has fewer too, of all documents.
-MIN_GROUP = 50
+#: Documents that what a group is drawn towards counts for (10 for each component): an estimate from n documents weighs n / (n + PRIOR).
+PRIOR = 50
 #: Classes of squared distance for each doubling, from 2 ** LEAST_POWER on; the class in which half of a group is reached counts in part.
 CLASSES, LEAST_POWER = 32, -20
 #: Least standard deviation of each transformed statistic. Some hardly vary among sound texts (most hold no repeated line or symbol), and
@@ -256,31 +259,61 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return _estimates(near.groupBy("grp").agg(F.lit(0.0).alias("all"), *_sums()), 0.975)
 
 
+def draw(mean: np.ndarray, cov: np.ndarray, n: float, to_mean: np.ndarray, to_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An estimate from ``n`` documents, drawn towards another one. What lies between the two locations adds no scatter, lest a group of few junk documents excuse itself."""
+    own = n / (n + PRIOR)
+    return own * mean + (1 - own) * to_mean, own * cov + (1 - own) * to_cov
+
+
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``grp``, the group that judges them; and (grp, mix, y0..) with a row for each group that a row's statistics count in.
+    """``rows`` with ``grp``, its language and source, and ``tongue``, its language; and (grp, mix, y0..) with a row for each of the three groups, all documents being 0, that a row counts in."""
+    name = lambda *parts: F.xxhash64(*[x for p in parts for x in (F.col(p).isNull(), F.col(p))], F.lit(len(parts)))  # noqa: E731  null differs from every text
+    rows = rows.withColumns({"grp": name("lang", "source"), "tongue": name("lang")})
+    return rows, rows.select(F.explode(F.array("grp", "tongue", F.lit(0).cast("long"))).alias("grp"), F.xxhash64(*KEY).alias("mix"), *_Y)
 
-    A row counts in its own group, in its language's if small groups of that need it, and in that of all if small languages need it.
+
+def _drawn(groups: DataFrame, levels: DataFrame, own: DataFrame) -> DataFrame:
+    """(grp, mean, inverse, logdet) of ``own`` for each of ``groups`` (grp, n, tongue, tongue_n), drawn towards its language's of ``levels`` and that towards that of all documents. A group of which ``own`` knows nothing has its language's."""
+    side = lambda df, k: df.select(F.col("grp").alias(k), F.col("mean").alias(f"{k}_mean"), F.col("inverse").alias(f"{k}_inverse"))
+    tongues = groups.select("tongue").distinct().withColumn("every", F.lit(0).cast("long")).join(side(levels, "every"), "every").join(side(levels, "tongue"), "tongue")
+    both = groups.join(tongues, "tongue").join(side(own, "grp"), "grp", "left")
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                known = lambda mean, flat: (np.asarray(mean, float), np.linalg.inv(np.asarray(flat, float).reshape(DIM, DIM)))
+                mean, cov = draw(*known(r.tongue_mean, r.tongue_inverse), r.tongue_n, *known(r.every_mean, r.every_inverse))
+                if r.n and r.grp_mean is not None:
+                    mean, cov = draw(*known(r.grp_mean, r.grp_inverse), r.n, mean, cov)
+                out.append((r.grp, mean, np.linalg.inv(cov).ravel(), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["grp", "mean", "inverse", "logdet"])
+
+    ship(groups.sparkSession)
+    return cut(both.mapInPandas(each, _ESTIMATE))
+
+
+def drawn_estimates(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """(grp, mean, inverse, logdet) for each language and source of ``rows`` from the estimates of all ``levels``.
+
+    A few junk documents may be over half of a small group. So each group is reweighted once more: its own estimate is made anew from those of its
+    documents that lie near the drawn one, and weighs as many.
     """
-    name = lambda *parts: F.xxhash64(*[x for p in parts for x in (F.col(p).isNull(), F.col(p))], F.lit(len(parts)))  # noqa: E731  null differs from every text
-    rows = rows.withColumns({"one": name("lang", "source"), "mix": F.xxhash64(*KEY)})
-    sizes = rows.groupBy("one", name("lang").alias("tongue")).count()
-    small = F.col("count") < MIN_GROUP
-    tongues = sizes.groupBy("tongue").agg((F.sum("count") >= MIN_GROUP).alias("large"), F.bool_or(small).alias("needed"))
-    sizes = cut(sizes.join(tongues, "tongue"))
-    everyone, own = F.lit(0).cast("long"), F.when(~small, F.col("one"))
-    needs_all = not sizes.where("NOT large").isEmpty()
-    feeds = F.array_compact(F.array(own, F.when(F.col("large") & F.col("needed"), F.col("tongue")), F.when(F.lit(needs_all), everyone)))
-    to = sizes.select("one", F.coalesce(own, F.when(F.col("large"), F.col("tongue")), everyone).alias("grp"), feeds.alias("feeds"))
-    rows = cut(rows.join(sized(cut(to)), "one").drop("one"))
-    return rows.drop("feeds", "mix"), rows.select(F.explode("feeds").alias("grp"), "mix", *_Y)
+    sizes = rows.groupBy("grp", "tongue").agg(F.count("*").cast("double").alias("n"))
+    groups = cut(sizes.join(sizes.groupBy("tongue").agg(F.sum("n").alias("tongue_n")), "tongue"))
+    few = groups.count() <= BROADCAST_ROWS
+    near = _with_distance(rows, _drawn(groups, levels, levels), few).where(F.col("d2") <= _chi2_quantile(0.975, DIM))
+    sums = cut(near.groupBy("grp").agg(F.lit(0.0).alias("all"), *_sums()))
+    groups = groups.drop("n").join(sums.select("grp", "n"), "grp", "left").na.fill(0.0, ["n"])
+    return _drawn(groups, levels, _estimates(sums, 0.975))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """KEY, the base statistics, base_failed, kept and the squared distance ``d2`` for every row.
 
     A text fails the base rules with fewer than MIN_WORDS words, or if over MAX_REPEATED_PERCENT % of its words stand in repeated
-    windows; its ``d2`` is null. The others are judged by the estimate of their language and source, or if those have fewer than MIN_GROUP such
-    documents of their language, or of all documents; those beyond CUTOFF are not kept. Null text is empty and fails; null language or source is a
+    windows; its ``d2`` is null. The others are judged by the estimate of their language and source, drawn towards the language's and all documents' by PRIOR; those beyond CUTOFF
+    are not kept. Null text is empty and fails; null language or source is a
     value of its own. Repeated rows each count and each get their row. Texts of any length are read whole; an empty table gives an empty one;
     columns beyond the four named ones are not looked at.
     """
@@ -288,7 +321,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     stats = cut(stats.withColumn("base_failed", failed).withColumns(dict(zip(_Y, _vector()))))
     rows, counted = _grouped(stats.where("NOT base_failed"))
-    estimates = robust_estimates(counted)
+    estimates = drawn_estimates(rows, robust_estimates(counted))
     judged = _with_distance(rows, estimates, estimates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
     out = judged.unionByName(stats.where("base_failed"), allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.col("d2") <= CUTOFF)

@@ -274,6 +274,25 @@ def test_quality_rejects_a_third_and_more(spark, n_junk):
     assert sum(verdict[d[0]] for d in sound) >= 594 and not any(verdict[d[0]] for d in junk)
 
 
+def test_quality_each_group_has_an_estimate_of_its_own(spark):
+    """Groups of 49 and of 51 documents are judged alike, and so is a document alone in its group; a small group of junk is not excused by its own scatter."""
+    rng = np.random.default_rng(3)
+    rows = [("en", f"s{n}", *rng.normal(0, 1, quality.DIM)) for n in (1, 2, 10, 49, 50, 51, 300) for _ in range(n)] + [("en", "junk", *rng.normal(25, 1, quality.DIM)) for _ in range(6)]
+    df = spark.createDataFrame([(i, "", i, *map(lambda x: x if isinstance(x, str) else float(x), r)) for i, r in enumerate(rows)], "doc_id long, text string, digest long, lang string, source string, " + ", ".join(f"{y} double" for y in quality._Y))
+    grouped, counted = quality._grouped(df)
+    found = quality.drawn_estimates(grouped, quality.robust_estimates(counted))
+    assert found.count() == 8 and found.where(F.forall("mean", lambda x: x.isNotNull())).count() == 8
+    far = {s: (lo, hi) for s, lo, hi in quality._with_distance(grouped, found, True).groupBy("source").agg(F.min("d2"), F.max("d2")).collect()}
+    assert far["junk"][0] > quality.CUTOFF and all(hi < quality.CUTOFF / 2 for s, (_, hi) in far.items() if s != "junk")
+
+
+def test_quality_draws_smoothly():
+    """One document more changes what an estimate weighs by less than a fiftieth, at every size."""
+    one, none = np.ones(quality.DIM), np.zeros(quality.DIM)
+    weights = [quality.draw(one, np.eye(quality.DIM), n, none, 2 * np.eye(quality.DIM))[0][0] for n in range(200)]
+    assert weights[0] == 0 and all(0 < b - a <= 1 / quality.PRIOR for a, b in zip(weights, weights[1:]))
+
+
 def test_quality_chi2():
     assert quality._chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
     assert quality._chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4)
