@@ -34,6 +34,8 @@ MAX_STEPS, SETTLED = 20, 1e-3
 #: Rows of a block, and subsets that a search in it starts from; those of least determinant after two steps are pursued.
 BLOCK, STARTS, PURSUED = 2000, 40, 5
 SEED = 42
+#: Rows of a task of a pass at least, so that small partitions sum before they send.
+TASK_ROWS = 1 << 15
 #: Documents that what a group is drawn towards counts for (10 for each component): an estimate from n documents weighs n / (n + PRIOR).
 PRIOR = 50
 #: Classes of squared distance for each doubling, from 2 ** LEAST_POWER on; the class in which half of a group is reached counts in part.
@@ -275,15 +277,15 @@ def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _drawn(groups: DataFrame, levels: DataFrame, own: DataFrame) -> DataFrame:
     """(grp, mean, inverse, logdet) of ``own`` for each of ``groups`` (grp, n, tongue, tongue_n), drawn towards its language's of ``levels`` and that towards that of all documents. A group of which ``own`` knows nothing has its language's."""
     side = lambda df, k: df.select(F.col("grp").alias(k), F.col("mean").alias(f"{k}_mean"), F.col("inverse").alias(f"{k}_inverse"))
-    tongues = groups.select("tongue").distinct().withColumn("every", F.lit(0).cast("long")).join(side(levels, "every"), "every").join(side(levels, "tongue"), "tongue")
-    both = groups.join(tongues, "tongue").join(side(own, "grp"), "grp", "left")
+    both = groups.join(side(levels, "tongue"), "tongue").join(side(own, "grp"), "grp", "left")
+    every = levels.where("grp = 0").first()  # one estimate, none if there are no documents
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
                 known = lambda mean, flat: (np.asarray(mean, float), np.linalg.inv(np.asarray(flat, float).reshape(DIM, DIM)))
-                mean, cov = draw(*known(r.tongue_mean, r.tongue_inverse), r.tongue_n, *known(r.every_mean, r.every_inverse))
+                mean, cov = draw(*known(r.tongue_mean, r.tongue_inverse), r.tongue_n, *known(every["mean"], every["inverse"]))
                 if r.n and r.grp_mean is not None:
                     mean, cov = draw(*known(r.grp_mean, r.grp_inverse), r.n, mean, cov)
                 out.append((r.grp, mean, np.linalg.inv(cov).ravel(), float(np.linalg.slogdet(cov)[1])))
@@ -320,7 +322,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     stats = _statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     stats = cut(stats.withColumn("base_failed", failed).withColumns(dict(zip(_Y, _vector()))))
-    rows, counted = _grouped(stats.where("NOT base_failed"))
+    packed = stats.coalesce(max(1, math.ceil(stats.count() / TASK_ROWS)))  # never more partitions than there are
+    rows, counted = _grouped(packed.where("NOT base_failed"))
     estimates = drawn_estimates(rows, robust_estimates(counted))
     judged = _with_distance(rows, estimates, estimates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS)
     out = judged.unionByName(stats.where("base_failed"), allowMissingColumns=True)
