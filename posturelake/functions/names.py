@@ -75,6 +75,12 @@ def ecosystems(provider: Column) -> Column:
     return out
 
 
+def served_providers(source: Column) -> Column:
+    """FN-16 the other way: the package providers that a source of this ecosystem serves."""
+    known = [F.when(source.isin(*kinds), F.lit(name)) for name, kinds in ECOSYSTEMS.items() if kinds]
+    return F.array_compact(F.array(*known, F.when(~source.isin(*ECOSYSTEMS), source)))
+
+
 def normalize_token(value: Column) -> Column:
     """FN-20."""
     return F.lower(F.trim(value))

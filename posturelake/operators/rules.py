@@ -1,7 +1,7 @@
 """The rule catalogue: 52 DataFrame transformations from evidence tables to matches.
 
-A rule that filters one table is a condition on a row; all of a table's rules run in one pass over it. Rules that join or aggregate build their
-matches from the tables. All matches have the schema MATCH.
+A rule that filters one table is a condition on a row; all of a table's rules run in one pass over it, to which what a rule asks of the host is joined. Rules
+that aggregate build their matches from the tables, those over one table in one grouped pass. All matches have the schema MATCH.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ TEMP_FLOOR = 50 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """Metadata of a rule, and how it matches: ``when`` a row of ``table`` fits, or what ``build`` makes of the tables."""
+    """Metadata of a rule, and how it matches: ``when`` a row of ``table`` fits, or what ``build`` makes of the tables. ``beside`` names what is joined from HOST_FACTS."""
 
     id: str
     module: str
@@ -51,7 +51,8 @@ class Rule:
     attributes: Callable[[], dict[str, Column]] = dict
     titled: Callable[[], Column] | None = None
     impact: Callable[[], Column] | None = None
-    build: Callable[[Tables], DataFrame] | None = None
+    build: Callable[[Tables, set[str]], DataFrame] | None = None
+    beside: str = ""
     platforms: tuple[str, ...] = ()
     min_depth: int = 1
 
@@ -95,87 +96,101 @@ _target = lambda: F.when(at("exec_start") != "", at("exec_start")).otherwise(at(
 _last_word = lambda: F.element_at(F.split(F.rtrim(at("command")), "[ \\t]+"), -1)
 
 
-def _first_directive(lines: DataFrame, key: str) -> DataFrame:
-    """Words of the uncommented lines whose first word is ``key``, with ``nth`` by position within the host."""
-    words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
-    out = lines.where(~F.ltrim("line").startswith("#")).withColumn("words", words).where((F.size("words") >= 2) & (F.lower(c("words")[0]) == key.lower()))
-    return out
+def _made(rule: str, fits: Column, objects: Column, attributes: dict[str, Column], title: Column | None = None, impact: Column | None = None) -> Column:
+    """A match of ``rule``, null if a row does not fit."""
+    text = lambda x: F.lit(None).cast("string") if x is None else x
+    return F.when(fits, F.struct(F.lit(rule).alias("rule_id"), text(title).alias("title"), text(impact).alias("impact"), objects.alias("objects"), _map(attributes).alias("attributes")))
 
 
-def _matches(df: DataFrame, rule: str, objects: Column, attributes: dict[str, Column], title: Column | None = None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(c("host_id"), F.lit(rule).alias("rule_id"), (none if title is None else title).alias("title"), none.alias("impact"), objects.alias("objects"), _map(attributes).alias("attributes"))
+def _spread(rows: DataFrame, made: Iterable[Column], *keep: str) -> DataFrame:
+    """A row for each of the structs ``made`` of a row that isn't null."""
+    # outer, since the plain form also filters by the size of the array and so makes every match twice
+    return rows.select("host_id", *keep, F.explode_outer(F.array_compact(F.array(*made))).alias("m")).where("m IS NOT NULL").select("host_id", *keep, "m.*")
 
 
-def net_005(t: Tables) -> DataFrame:
-    vpn = t["interfaces"].where((c("scope") == "vpn") | (c("kind") == "vpn")).select("host_id").distinct()
-    return _matches(t["sockets"].where(c("scope") == "vpn").join(vpn, "host_id", "left_semi"), "NET-005", F.array(*_endpoint()), {"port": c("port")})
+def vpn_hosts(t: Tables) -> DataFrame:
+    vpn = t["interfaces"].where((c("scope") == "vpn") | (c("kind") == "vpn"))
+    return vpn.select("host_id", F.lit(True).alias("host_vpn")).distinct()
 
 
-def rmt_001(t: Tables) -> DataFrame:
-    """Any uncommented directive decides, not the first."""
-    on = _first_directive(t["sshd_lines"], "PasswordAuthentication").groupBy("host_id", "path").agg(F.bool_or(F.lower(c("words")[1]) == "yes").alias("yes")).where("yes")
-    return _matches(on, "RMT-001", F.array("path"), {})
+def histories(t: Tables) -> DataFrame:
+    return t["hosts"].select("host_id", c("history_files").alias("host_history_files"))
 
 
-def rmt_002(t: Tables) -> DataFrame:
-    open_ = _first_directive(t["sshd_lines"], "PermitRootLogin").where(F.lower(c("words")[1]) != "no")
-    first = open_.groupBy("host_id", "path").agg(F.min_by("words", "pos").alias("words"))
-    return _matches(first, "RMT-002", F.array("path"), {"directive": F.array_join("words", " ")})
+#: What rules ask of a row's host: the table that it comes from, and a row for each host that it is known of.
+HOST_FACTS = {"vpn": ("interfaces", vpn_hosts), "histories": ("hosts", histories)}
 
 
-def idn_003(t: Tables) -> DataFrame:
+def sshd_rules(t: Tables, only: set[str]) -> DataFrame:
+    """RMT-001: any uncommented directive decides, not the first. RMT-002: the first directive that is not "no"."""
+    words = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+    lines = t["sshd_lines"].where(~F.ltrim("line").startswith("#")).withColumn("words", words).where(F.size("words") >= 2)
+    key, value = F.lower(c("words")[0]), F.lower(c("words")[1])
+    found = lines.where(key.isin("passwordauthentication", "permitrootlogin")).groupBy("host_id", "path").agg(
+        F.bool_or((key == "passwordauthentication") & (value == "yes")).alias("password"), F.min_by("words", F.when((key == "permitrootlogin") & (value != "no"), c("pos"))).alias("root")
+    )
+    made = {"RMT-001": _made("RMT-001", c("password"), F.array("path"), {}), "RMT-002": _made("RMT-002", c("root").isNotNull(), F.array("path"), {"directive": F.array_join("root", " ")})}
+    return _spread(found, [made[r] for r in sorted(only)])
+
+
+def idn_003(t: Tables, only: set[str]) -> DataFrame:
     """The last name and email of a host's git configuration."""
     key, value = F.lower(F.trim(F.substring_index("line", "=", 1))), F.trim(F.substring(c("line"), F.instr("line", "=") + 1, F.char_length("line")))
     pairs = t["git_lines"].where(c("line").contains("=")).withColumns({"key": key, "value": value}).where(c("key").isin("name", "email"))
     last = pairs.groupBy("host_id", "path").agg(*[F.coalesce(F.max_by(F.when(c("key") == k, c("value")), F.when(c("key") == k, c("pos"))), F.lit("")).alias(k) for k in ("name", "email")])
-    out = _matches(last.where("name <> '' OR email <> ''"), "IDN-003", F.array("path"), {"git_name": c("name"), "git_email": c("email")})
+    out = _spread(last, [_made("IDN-003", (c("name") != "") | (c("email") != ""), F.array("path"), {"git_name": c("name"), "git_email": c("email")})])
     return out.withColumn("attributes", F.map_filter("attributes", lambda k, v: v != ""))
 
 
-def sec_003(t: Tables) -> DataFrame:
-    """The last mode that the host's assets give for a path."""
-    assets = t["assets"].where(c("path") != "").select("host_id", c("path").alias("location"), "pos", at("mode").alias("mode"))
-    moded = assets.groupBy("host_id", "location").agg(F.max_by("mode", F.when(c("mode") != "", c("pos"))).alias("mode"))
-    open_ = t["secrets"].join(moded, ["host_id", "location"]).where(~P.mode_is_restricted(c("mode")))
-    return _matches(open_, "SEC-003", F.array("location"), {"mode": c("mode"), "type": c("type")})
-
-
-def shl_001(t: Tables) -> DataFrame:
-    files = t["hosts"].select("host_id", F.explode("history_files").alias("path"))
-    seen = t["assets"].where(P.file_asset(c("kind"), at("entry_type")) & _readable()).join(files, ["host_id", "path"])
-    return _matches(seen, "SHL-001", F.array("path"), _attr("mode"))
-
-
-def pst_001(t: Tables) -> DataFrame:
-    off = t["assets"].where((c("kind") == "posture") & (c("name") == "selinux") & (at("enforcing") == "false"))
-    first = off.groupBy("host_id").agg(F.min_by(F.struct("name", "attributes"), "pos").alias("a")).select("host_id", "a.*")
-    return _matches(first, "PST-001", F.array("name"), _attr("state"))
-
-
-def pst_002(t: Tables) -> DataFrame:
-    seen = t["assets"].where((c("kind") == "posture") & c("name").isin(*DISK_ENCRYPTION))
-    first = seen.groupBy("host_id").agg(F.min_by(F.struct("name", "attributes"), "pos").alias("a")).select("host_id", "a.*")
-    return _matches(first.where(at("encrypted") != "true"), "PST-002", F.array("name"), {})
-
-
-def sw_001(t: Tables) -> DataFrame:
-    """Packages without an origin, where no enabled source serves their provider; a provider without an ecosystem never counts."""
-    counts = t["software"].where(c("origin").isin("", "unknown", "local")).groupBy("host_id", "provider").agg(F.count("*").alias("n"))
-    needs = counts.where(F.size(N.ecosystems(c("provider"))) > 0).withColumn("eco", F.explode(N.ecosystems(c("provider"))))
-    served = needs.join(t["package_sources"].where("enabled").select("host_id", c("provider").alias("eco")), ["host_id", "eco"], "left_semi").select("host_id", "provider").distinct()
-    open_ = counts.where(F.size(N.ecosystems(c("provider"))) > 0).join(served, ["host_id", "provider"], "left_anti")
-    return _matches(open_, "SW-001", F.array("provider"), {"provider": c("provider"), "count": c("n")})
-
-
-def sw_002(t: Tables) -> DataFrame:
-    """Namespaces with their count and first ten names. Names are ranked per namespace before the few are gathered."""
-    named = t["software"].withColumn("ns", N.internal_namespace(c("name"))).where("ns <> ''")
-    counts = named.groupBy("host_id", "ns", "name").agg(F.count("*").alias("n"))
-    rank = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("host_id", "ns").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+def asset_rules(t: Tables, only: set[str]) -> DataFrame:
+    """SEC-003: the last mode that the host's assets give for a secret's path. PST-001, PST-002: a host's first asset of the kind. One grouped pass over the assets."""
+    fact = lambda rule, fits, key, value, more=F.lit(None): F.when(fits, F.struct(F.lit(rule).alias("rule"), key.alias("key"), value.alias("value"), more.cast("string").alias("more")))
+    posture, none = c("kind") == "posture", F.lit("")
+    facts = {
+        "SEC-003": fact("SEC-003", (c("path") != "") & (at("mode") != ""), c("path"), at("mode")),
+        "PST-001": fact("PST-001", posture & (c("name") == "selinux") & (at("enforcing") == "false"), none, c("name"), at("state")),
+        "PST-002": fact("PST-002", posture & c("name").isin(*DISK_ENCRYPTION), none, c("name"), at("encrypted")),
+    }
+    rows = _spread(t["assets"], [facts[r] for r in sorted(only)], "pos")
+    place = F.when(c("rule") == "SEC-003", c("pos")).otherwise(-c("pos"))
+    found = rows.groupBy("host_id", "rule", "key").agg(F.max_by(F.struct("value", "more"), place).alias("of")).select("host_id", "rule", "key", "of.*")
+    made = {
+        "PST-001": _made("PST-001", c("rule") == "PST-001", F.array("value"), {"state": c("more")}),
+        "PST-002": _made("PST-002", (c("rule") == "PST-002") & (c("more") != "true"), F.array("value"), {}),
+    }
+    if "SEC-003" in only:
+        held = t["secrets"].select("host_id", F.lit("SEC-003").alias("rule"), c("location").alias("key"), "type", F.lit(True).alias("held"))
+        found = found.join(held, ["host_id", "rule", "key"], "left").where((c("rule") != "SEC-003") | c("held"))
+        made["SEC-003"] = _made("SEC-003", (c("rule") == "SEC-003") & ~P.mode_is_restricted(c("value")), F.array("key"), {"mode": c("value"), "type": c("type")})
+    return _spread(found, [made[r] for r in sorted(only)])
+
+
+def software_rules(t: Tables, only: set[str]) -> DataFrame:
+    """SW-001: packages without an origin, where no enabled source serves their provider; a provider without an ecosystem never counts.
+    SW-002: namespaces with their count and first ten names, ranked per namespace before the few are gathered.
+
+    A source counts against each provider that it serves, so that both rules are one grouped pass over software and sources.
+    """
+    fact = lambda rule, fits, key, name, n, served: F.when(fits, F.struct(F.lit(rule).alias("rule"), key.alias("key"), name.cast("string").alias("name"), F.lit(n).alias("n"), F.lit(served).alias("served")))
+    space = N.internal_namespace(c("name"))
+    facts = {
+        "SW-001": fact("SW-001", c("origin").isin("", "unknown", "local") & (F.size(N.ecosystems(c("provider"))) > 0), c("provider"), F.lit(None), 1, False),
+        "SW-002": fact("SW-002", space != "", space, c("name"), 1, False),
+    }
+    rows = _spread(t["software"], [facts[r] for r in sorted(only)])
+    if "SW-001" in only:
+        served = t["package_sources"].where(c("enabled") & c("provider").isNotNull()).select("host_id", F.explode(N.served_providers(c("provider"))).alias("key")).distinct()
+        rows = rows.unionByName(_spread(served, [fact("SW-001", F.lit(True), c("key"), F.lit(None), 0, True)]))
+    counts = rows.groupBy("host_id", "rule", "key", "name").agg(F.sum("n").alias("n"), F.bool_or("served").alias("served")).where("n > 0 AND NOT served")
+    earlier = Window.partitionBy("host_id", "rule", "key").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     few = F.array_repeat("name", F.least("n", 10 - c("before")).cast("int"))
-    out = rank.groupBy("host_id", "ns").agg(F.sum("n").alias("n"), F.flatten(F.array_sort(F.collect_list(F.when(c("before") < 10, few)))).alias("names"))
-    return _matches(out, "SW-002", F.concat(F.array("ns"), F.array_sort("names")), {"namespace": c("ns"), "count": c("n")})
+    found = counts.groupBy("host_id", "rule", "key").agg(F.sum("n").alias("n"), F.flatten(F.array_sort(F.collect_list(F.when(c("before") < 10, few)))).alias("names"))
+    made = {
+        "SW-001": _made("SW-001", c("rule") == "SW-001", F.array("key"), {"provider": c("key"), "count": c("n")}),
+        "SW-002": _made("SW-002", c("rule") == "SW-002", F.concat(F.array("key"), F.array_sort("names")), {"namespace": c("key"), "count": c("n")}),
+    }
+    return _spread(found, [made[r] for r in sorted(only)])
 
 
 RULES: tuple[Rule, ...] = (
@@ -196,9 +211,10 @@ RULES: tuple[Rule, ...] = (
          lambda: c("scope") == "loopback", _endpoint, lambda: {"port": c("port"), "process": _process()}, min_depth=2),
     Rule("NET-004", "network", "authentication", "high", "wildcard", "none", "sensitive", "observed", "Service carrying credentials in the clear", "sockets",
          lambda: _world() & c("port").isin(*CLEAR_PORTS), _endpoint, lambda: {"service": _port(CLEAR_PORTS), "port": c("port")}, titled=lambda: F.format_string("%s exposed without transport encryption", _port(CLEAR_PORTS))),
-    Rule("NET-005", "network", "network", "medium", "vpn", "user", "internal", "observed", "Listener on a VPN or virtual interface", build=net_005),
-    Rule("RMT-001", "remote-access", "remote_access", "high", "lan", "none", "internal", "observed", "Password authentication permitted for SSH", build=rmt_001, platforms=("linux", "darwin", "termux")),
-    Rule("RMT-002", "remote-access", "remote_access", "high", "lan", "none", "internal", "observed", "PermitRootLogin is not disabled", build=rmt_002, platforms=("linux", "termux")),
+    Rule("NET-005", "network", "network", "medium", "vpn", "user", "internal", "observed", "Listener on a VPN or virtual interface", "sockets",
+         lambda: (c("scope") == "vpn") & c("host_vpn"), _endpoint, lambda: {"port": c("port")}, beside="vpn"),
+    Rule("RMT-001", "remote-access", "remote_access", "high", "lan", "none", "internal", "observed", "Password authentication permitted for SSH", build=sshd_rules, platforms=("linux", "darwin", "termux")),
+    Rule("RMT-002", "remote-access", "remote_access", "high", "lan", "none", "internal", "observed", "PermitRootLogin is not disabled", build=sshd_rules, platforms=("linux", "termux")),
     Rule("IDN-001", "host-identity", "identity", "low", "lan", "none", "internal", "observed", "Hostname discloses a name or identifier", "hosts",
          lambda: ~F.lower("hostname").rlike("^(localhost$|desktop-|laptop-)|-pc$") & N.identity_shaped(c("hostname")), _col("hostname"), lambda: {"hostname": c("hostname")}),
     Rule("IDN-002", "environment", "metadata", "informational", "local", "user", "internal", "observed", "Login name disclosed in the environment", "hosts",
@@ -208,7 +224,7 @@ RULES: tuple[Rule, ...] = (
          lambda: c("type").isin("private_key", "ssh_key"), _col("location"), lambda: {"fingerprint": c("fingerprint"), "type": c("type"), "line": c("line")}),
     Rule("SEC-002", "secret-material", "credentials", "high", "local", "user", "secret", "confirmed", "Credential material present", "secrets",
          lambda: c("type").isin(*CREDENTIAL_TYPES), _col("location"), lambda: {"fingerprint": c("fingerprint"), "type": c("type")}),
-    Rule("SEC-003", "secret-material", "filesystem", "high", "local", "user", "secret", "observed", "Secret material readable by other local users", build=sec_003),
+    Rule("SEC-003", "secret-material", "filesystem", "high", "local", "user", "secret", "observed", "Secret material readable by other local users", build=asset_rules),
     Rule("PRV-001", "provenance", "provenance", "high", "local", "user", "internal", "observed", "Executable in a system path with no package owner", "provenance",
          lambda: c("state") == "unowned", _col("path"), lambda: {"state": c("state"), "source": c("source")}),
     Rule("PRV-002", "binary-integrity", "integrity", "critical", "local", "elevated", "sensitive", "observed", "System binary modified relative to its package", "provenance",
@@ -221,21 +237,22 @@ RULES: tuple[Rule, ...] = (
          lambda: P.file_asset(c("kind"), at("entry_type")) & _true("world_writable") & P.sensitive_path(c("path")), _col("path"), lambda: _attr("mode")),
     Rule("FS-002", "filesystem-exposure", "filesystem", "high", "local", "user", "secret", "observed", "Secret-material directory readable by other accounts", "assets",
          lambda: P.dir_asset(c("kind"), at("entry_type")) & _readable() & P.credential_dir(c("path")), _col("path"), lambda: _attr("mode")),
-    Rule("SHL-001", "shell-terminal", "shell", "medium", "local", "user", "sensitive", "observed", "Shell history readable beyond its owner", build=shl_001),
+    Rule("SHL-001", "shell-terminal", "shell", "medium", "local", "user", "sensitive", "observed", "Shell history readable beyond its owner", "assets",
+         lambda: P.file_asset(c("kind"), at("entry_type")) & _readable() & F.array_contains("host_history_files", c("path")), _col("path"), lambda: _attr("mode"), beside="histories"),
     Rule("SHL-002", "shell-terminal", "shell", "high", "local", "user", "secret", "possible", "Credential-shaped content in shell history", "secrets",
          lambda: P.history_path(c("location")), lambda: [F.concat_ws(":", "location", c("line").cast("string"))], lambda: {"type": c("type")}),
     Rule("CLD-001", "cloud-identity", "cloud", "low", "local", "user", "internal", "observed", "Cloud provider configuration present", "hosts",
          lambda: c("cloud") != "", _col("cloud"), lambda: {"provider": c("cloud")}),
     Rule("CLD-002", "cloud-identity", "credentials", "high", "local", "user", "secret", "confirmed", "Cloud credential file present", "secrets",
          lambda: c("type") == "cloud_credential", _col("location"), lambda: {"fingerprint": c("fingerprint")}),
-    Rule("PST-001", "os-posture", "configuration", "medium", "local", "user", "internal", "observed", "Mandatory access control not enforcing", build=pst_001, platforms=("linux",)),
-    Rule("PST-002", "os-posture", "exposure", "high", "local", "system", "sensitive", "possible", "Full disk encryption not confirmed", build=pst_002),
+    Rule("PST-001", "os-posture", "configuration", "medium", "local", "user", "internal", "observed", "Mandatory access control not enforcing", build=asset_rules, platforms=("linux",)),
+    Rule("PST-002", "os-posture", "exposure", "high", "local", "system", "sensitive", "possible", "Full disk encryption not confirmed", build=asset_rules),
     Rule("ART-001", "artifacts-logs", "logging", "medium", "local", "user", "sensitive", "observed", "Log or artifact directory readable beyond its owner", "assets",
          lambda: P.dir_asset(c("kind"), at("entry_type")) & P.artifact_dir(c("path")) & _readable(), _col("path"), lambda: _attr("mode")),
     Rule("ART-002", "os-posture", "exposure", "low", "container", "user", "internal", "observed", "Container environment exposes the host's identity", "hosts",
          lambda: c("container"), _col("container_kind"), lambda: {"kind": c("container_kind")}),
-    Rule("SW-001", "software", "software", "low", "local", "user", "internal", "observed", "Installed package records a generic or absent origin", build=sw_001),
-    Rule("SW-002", "software", "software", "low", "local", "user", "internal", "observed", "Installed software is associated with a development project or employer", build=sw_002),
+    Rule("SW-001", "software", "software", "low", "local", "user", "internal", "observed", "Installed package records a generic or absent origin", build=software_rules),
+    Rule("SW-002", "software", "software", "low", "local", "user", "internal", "observed", "Installed software is associated with a development project or employer", build=software_rules),
     Rule("SW-003", "software", "software", "low", "local", "user", "internal", "probable", "Software installed outside the system package manager", "assets",
          lambda: _in("software") & (at("package_owned") == "false"), _col("path"), lambda: _attr("mode", "owner")),
     Rule("PRC-001", "process-service", "process", "high", "local", "user", "secret", "observed", "Process command line exposes credentials or tokens", "processes",
@@ -281,17 +298,17 @@ BY_ID = {r.id: r for r in RULES}
 TABLES = ("hosts", "accounts", "sockets", "interfaces", "processes", "services", "software", "package_sources", "provenance", "secrets", "assets", "sshd_lines", "git_lines")
 
 
-#: Tables that the rules with ``build`` read.
-NEEDS = {
-    net_005: ("interfaces", "sockets"), rmt_001: ("sshd_lines",), rmt_002: ("sshd_lines",), idn_003: ("git_lines",), sec_003: ("assets", "secrets"), shl_001: ("hosts", "assets"),
-    pst_001: ("assets",), pst_002: ("assets",), sw_001: ("software", "package_sources"), sw_002: ("software",),
+#: Tables that a rule with ``build`` reads.
+BUILT_FROM = {
+    "RMT-001": ("sshd_lines",), "RMT-002": ("sshd_lines",), "IDN-003": ("git_lines",), "SEC-003": ("assets", "secrets"), "PST-001": ("assets",), "PST-002": ("assets",),
+    "SW-001": ("software", "package_sources"), "SW-002": ("software",),
 }
 
 
 def needs(only: Iterable[str] | None = None) -> set[str]:
     """The tables that the rules (all by default) read."""
     chosen = [BY_ID[i] for i in only] if only is not None else RULES
-    return {t for r in chosen for t in (NEEDS[r.build] if r.build else (r.table,))}
+    return {t for r in chosen for t in (BUILT_FROM[r.id] if r.build else (r.table, HOST_FACTS[r.beside][0]) if r.beside else (r.table,))}
 
 
 def runs_on(rule: Rule, platform: Column, depth: Column, authorized: Column) -> Column:
@@ -309,16 +326,15 @@ def _match(rule: Rule, gated: bool) -> Column:
     """What ``rule`` makes of a row, null if it does not fit; ``gated``, also if the rule does not run on the row's host (host_platform, host_depth, host_authorized)."""
     known = _COLUMNS.setdefault(SparkContext._gateway, {})
     if (rule, gated) not in known:
-        text = lambda made: F.lit(None).cast("string") if made is None else made()
+        text = lambda made: None if made is None else made()
         fits = runs_on(rule, c("host_platform"), c("host_depth"), c("host_authorized")) & rule.when() if gated else rule.when()
-        known[rule, gated] = F.when(fits, F.struct(F.lit(rule.id).alias("rule_id"), text(rule.titled).alias("title"), text(rule.impact).alias("impact"), F.array(*rule.objects()).alias("objects"), _map(rule.attributes()).alias("attributes")))
+        known[rule, gated] = _made(rule.id, fits, F.array(*rule.objects()), rule.attributes(), text(rule.titled), text(rule.impact))
     return known[rule, gated]
 
 
 def one_pass(rows: DataFrame, rules: Iterable[Rule], gated: bool = False) -> DataFrame:
     """Matches of all filter rules of one table, from a single scan; ``gated``, where they run on the row's host."""
-    # outer, since the plain form also filters by the size of the array and so makes every match twice
-    return rows.select("host_id", F.explode_outer(F.array_compact(F.array(*[_match(r, gated) for r in rules]))).alias("m")).where("m IS NOT NULL").select("host_id", "m.*")
+    return _spread(rows, [_match(r, gated) for r in rules])
 
 
 def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool = False) -> DataFrame:
@@ -327,17 +343,19 @@ def matches(tables: Tables, only: Iterable[str] | None = None, applicable: bool
     With ``applicable`` only where the rule runs on its host (table ``hosts``, a row per host): each evidence table is joined to the hosts once and what runs
     is a part of each rule's condition, so that no table of hosts times rules is made and what does not apply is dropped in the scan.
     """
-    chosen = [BY_ID[i] for i in only] if only is not None else list(RULES)
+    chosen = [r for r in ([BY_ID[i] for i in only] if only is not None else RULES) if needs([r.id]) <= tables.keys()]
     hosts = tables["hosts"].select("host_id", *[c(x).alias(f"host_{x}") for x in ("platform", "depth", "authorized")]) if applicable else None
     runs = (lambda r: runs_on(r, c("host_platform"), c("host_depth"), c("host_authorized"))) if applicable else None
     parts = []
     for t in TABLES:
-        if t in tables and (mine := [r for r in chosen if r.table == t]):
+        if mine := [r for r in chosen if r.table == t]:
             rows = tables[t] if not applicable else tables[t].join(hosts, "host_id") if t != "hosts" else tables[t].withColumns({f"host_{x}": c(x) for x in ("platform", "depth", "authorized")})
+            for fact in sorted({r.beside for r in mine if r.beside}):
+                rows = rows.join(HOST_FACTS[fact][1](tables), "host_id", "left")
             parts.append(one_pass(rows, mine, applicable))
-    built = [r for r in chosen if r.build and all(n in tables for n in NEEDS[r.build])]
+    built = [r for r in chosen if r.build]
     if built:
-        out = reduce(DataFrame.unionByName, [r.build(tables) for r in built])
+        out = reduce(DataFrame.unionByName, [build(tables, {r.id for r in built if r.build == build}) for build in dict.fromkeys(r.build for r in built)])
         if applicable:
             here = reduce(lambda a, b: a | b, [(c("rule_id") == r.id) & runs(r) for r in built])
             out = out.join(hosts, "host_id").where(here).drop("host_platform", "host_depth", "host_authorized")
