@@ -193,6 +193,7 @@ def software_rules(t: Tables, only: set[str]) -> DataFrame:
     return _spread(found, [made[r] for r in sorted(only)])
 
 
+# Identifiers, modules, ratings and titles of the rules, since they enter scores and fingerprints.
 RULES: tuple[Rule, ...] = (
     Rule("ACC-001", "accounts", "account", "medium", "local", "user", "internal", "confirmed", "Interactive login shell for a service account", "accounts",
          lambda: ~c("no_login") & (c("shell") != "") & N.interactive_shell(N.basename(c("shell"))) & N.service_identity(c("service"), c("classification"), c("name"), c("uid")),

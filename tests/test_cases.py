@@ -320,3 +320,23 @@ def test_equal_matches_are_one_before_they_are_scored(spark):
     assert [(r.description, r.impact) for r in one] == [(rules.BY_ID["NET-001"].title, rules.BY_ID["NET-001"].title)]
     rated = engine.build(spark.createDataFrame([(*rows[0], "critical")], made + ", severity string"), rules.metadata(spark)).first()
     assert rated.severity == "critical" and rated.attributes["risk_score"] == f"{rated.risk_score:.1f}"
+
+
+def test_providers_that_a_source_serves(spark):
+    """FN-16 from both sides: a source serves a provider if it is among the provider's ecosystems."""
+    known = ["dpkg", "rpm", "brew", "brew-cask", "termux-pkg", "pkgutil", "port", "apt", "dnf", "yum", "termux", "pip", ""]
+    df = spark.createDataFrame([(n,) for n in known], "name string").select("name", names.ecosystems(F.col("name")).alias("kinds"), names.served_providers(F.col("name")).alias("serves")).collect()
+    kinds, serves = {r["name"]: set(r["kinds"]) for r in df}, {r["name"]: set(r["serves"]) for r in df}
+    assert all((s in kinds[p]) == (p in serves[s]) for p in known for s in known)
+
+
+def test_software_rules_in_one_pass(spark):
+    """A source silences the providers that it serves on its host alone; providers without an ecosystem never count; names of a namespace beyond ten are counted."""
+    soft = [(1, "dpkg", "unknown", "plain"), (1, "rpm", "", "plain"), (2, "dpkg", "local", "plain"), (2, "pkgutil", "", "plain"), (2, None, "", "plain"), (3, "pip", "pypi", "Corp-x")]
+    soft += [(4, "pip", "pypi", f"Corp-{n:02}") for n in range(12)]
+    sources = [(1, "apt", True), (1, "yum", False), (2, "dnf", True), (2, None, True)]
+    t = {"software": spark.createDataFrame(soft, "host_id long, provider string, origin string, name string"), "package_sources": spark.createDataFrame(sources, "host_id long, provider string, enabled boolean")}
+    got = [(r["host_id"], r["rule_id"], r["objects"], r["attributes"]["count"]) for r in rules.matches(t, ["SW-001", "SW-002"]).collect()]
+    alone = [(r["host_id"], r["rule_id"], r["objects"], r["attributes"]["count"]) for only in ("SW-001", "SW-002") for r in rules.matches(t, [only]).collect()]
+    want = [(1, "SW-001", ["rpm"], "1"), (2, "SW-001", ["dpkg"], "1"), (2, "SW-001", [None], "1"), (3, "SW-002", ["Corp", "Corp-x"], "1"), (4, "SW-002", ["Corp", *[f"Corp-{n:02}" for n in range(10)]], "12")]
+    assert sorted(got, key=str) == sorted(alone, key=str) == sorted(want, key=str)
