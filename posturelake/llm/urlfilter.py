@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii
 
 #: (verdict, host and path); the longest rule that fits a URL wins.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Labelled URLs that the model is trained on at most: those of least hash.
 MAX_LABELLED = 20_000
 #: Buckets of the n-grams, their length, penalty and steps of the regression.
