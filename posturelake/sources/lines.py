@@ -9,6 +9,8 @@ from ..functions.secrets import REDACTED, secret_shaped
 from ..plans.lineage import cut
 from ..plans.numbering import number_rows
 
+#: How times of events are written as JSON; without it Spark writes milliseconds.
+EVENT_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 EVENT = "execution_id string, ts timestamp, event string, level string, data map<string,string>"
 
 

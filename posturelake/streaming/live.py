@@ -13,13 +13,14 @@ from ..operators import engine, report
 from ..operators.rules import RULES, one_pass
 
 
-#: What makes two events the same one, sent twice.
+#: What makes two events the same one, sent twice, beside their data.
 EVENT_KEY = ["execution_id", "ts", "event", "level"]
 
 
 def distinct_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events once each. What is behind the latest event by more than ``delay`` is late and dropped, and so is the state of keys as old."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(EVENT_KEY)
+    """Events once each; those that differ in their data alone are different. What is behind the latest event by more than ``delay`` is late and dropped, and so is the state of keys as old."""
+    whole = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("data")))) if "data" in events.columns else F.lit(None).cast("string")  # maps can't be keys
+    return events.withColumn("__data", whole).withWatermark("ts", delay).dropDuplicatesWithinWatermark([*EVENT_KEY, "__data"]).drop("__data")
 
 
 def rollup_stream(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
