@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.secrets import redact_attributes
-from ..plans.lineage import cut
+from ..plans.lineage import drop_stored, stored
 from ..plans.numbering import number_rows
 
 
@@ -30,7 +30,7 @@ def report_rows(**parts: DataFrame) -> DataFrame:
     for part, df in parts.items():
         rest = [c for c in df.columns if c not in ("host_id", "place")]
         body = F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}))
-        placed = _redacted(df) if "place" in df.columns else number_rows(_redacted(df), [F.to_json(F.struct(*rest))], within=["host_id"], out="place").withColumn("place", F.col("place") + 1)
+        placed = _redacted(df) if "place" in df.columns else number_rows(_redacted(df), [F.to_json(F.struct(*rest))], within=["host_id"], out="place", keep=stored).withColumn("place", F.col("place") + 1)
         out.append(placed.select("host_id", F.lit(part).alias("part"), F.col("place").cast("long").alias("place"), body.alias("body")))
     return reduce(DataFrame.union, out)
 
@@ -43,10 +43,11 @@ def _own_folder(folder: str, assessment: str) -> str:
 
 def write_rows(rows: DataFrame, folder: str, assessment: str, per_file: int = ROWS) -> None:
     """SNK-01: the rows of one assessment as JSON lines, in ranges of host, part and place, ``per_file`` rows to a file. Written again it replaces itself, and nothing else."""
-    rows = cut(rows)
+    rows = stored(rows)
     order = ["host_id", "part", "place"]
     files = max(1, -(-rows.count() // per_file))
     rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").json(_own_folder(folder, assessment))
+    drop_stored(rows)
 
 
 def read_rows(spark: SparkSession, folder: str) -> DataFrame:
