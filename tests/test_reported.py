@@ -10,6 +10,7 @@ from posturelake.operators import correlate, rules
 from posturelake.plans import queries_parse  # noqa: F401  it registers its queries
 from posturelake.plans.lineage import drop_stored, stored
 from posturelake.sources import lines as L
+from posturelake.sources import snapshots
 from posturelake.streaming import live
 
 
@@ -57,3 +58,14 @@ def test_stored_rows_are_columns_on_disk_and_can_be_deleted(spark):
     assert folder.exists()
     drop_stored(kept)
     assert not folder.exists()
+
+
+def test_snapshots_in_parts_are_kept_or_rejected_whole(spark, tmp_path):
+    part = '{{"schema":"1.0","name":"f","snapshot":{{"target":{{"id":{0},"type":"host"}},"env":{{"platform":"linux"}},"depth":1,"accounts":[{{"name":"{1}"}}]{2}}}}}'
+    rows = ["1\t" + part.format(1, "a", ""), "1\t" + part.format(1, "b", ""), "2\t" + part.format(2, "c", ""), "2\t" + part.format(2, "d", "")[:-2], "3\t" + part.format(3, "e", ',"odd":1')]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("\n".join(rows) + "\n")
+    loaded = snapshots.load(spark, str(tmp_path / "in"), parts=True)
+    assert sorted(map(tuple, snapshots.verdicts(loaded).collect())) == [("1", "", True), ("2", "malformed", False), ("3", "unknown field snapshot.odd", False)]
+    tables = snapshots.entities(loaded)
+    assert sorted(r.name for r in tables["accounts"].collect()) == ["a", "b"] and [r.host_id for r in tables["hosts"].collect()] == [1]
