@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import engine, report
 from ..operators.rules import RULES, one_pass
+from ..plans.lineage import stored
+from ..sources import sinks
 
 
 #: What makes two events the same one, sent twice, beside their data.
@@ -82,3 +84,43 @@ def snapshot_changes(snapshots: DataFrame, keep_days: int = 90) -> DataFrame:
     stamped = snapshots.withWatermark("collected_at", f"{keep_days} days")
     told = stamped.groupBy("host_id", "part").applyInPandasWithState(compare, "host_id long, collected_at timestamp, item string, change string", "last long, seen array<string>", "append", GroupStateTimeout.EventTimeTimeout)
     return told.select("host_id", "collected_at", F.substring_index("item", ":", 1).alias("rule_id"), F.substring_index("item", ":", -1).alias("fingerprint"), "change")
+
+
+#: What ``keep_last`` keeps of a batch: a row for each host and part that has sent a snapshot.
+LAST = "host_id long, part int, collected_at timestamp, items array<string>"
+
+
+def compare_last(batch: DataFrame, last: DataFrame, keep_days: int = 90) -> tuple[DataFrame, DataFrame]:
+    """What ``snapshot_changes`` tells of one batch of snapshots, and the last snapshot of each host and part after it, by joins and windows alone; ``last`` is what was kept before.
+
+    For many hosts: no function is called host by host. A snapshot that is over ``keep_days`` behind the latest one kept is dropped, and one kept that is as old is forgotten.
+    """
+    key, cols = ["host_id", "part"], ["host_id", "part", "collected_at", "items"]
+    newest = last.agg(F.max("collected_at")).first()[0]
+    recent = F.lit(True) if newest is None else F.col("collected_at") >= F.lit(newest) - F.expr(f"INTERVAL {keep_days} DAYS")
+    both = last.select(*cols, F.lit(True).alias("old")).union(batch.select(*cols, F.lit(False).alias("old"))).where(recent)
+    nth = F.row_number().over(Window.partitionBy(*key, "collected_at").orderBy(F.desc("old")))
+    kept_at = F.max(F.when(F.col("old"), F.col("collected_at"))).over(Window.partitionBy(*key))
+    both = both.withColumns({"nth": nth, "kept_at": kept_at}).withColumn("late", ~F.col("old") & ((F.col("nth") > 1) | F.coalesce(F.col("collected_at") <= F.col("kept_at"), F.lit(False))))
+    both = stored(both.drop("nth", "kept_at"))
+    none = F.array().cast("array<string>")
+    ordered = both.where("NOT late").withColumn("was", F.coalesce(F.lag("items").over(Window.partitionBy(*key).orderBy("collected_at")), none))
+    parts = (("new", F.array_except("items", "was")), ("unchanged", F.array_intersect("items", "was")), ("resolved", F.array_except("was", "items")))
+    told = ordered.where("NOT old").select("host_id", "collected_at", F.explode(F.array(*[F.struct(F.lit(n).alias("change"), x.alias("items")) for n, x in parts])).alias("p"))
+    told = told.select("host_id", "collected_at", F.explode("p.items").alias("item"), "p.change")
+    changes = told.select("host_id", "collected_at", F.substring_index("item", ":", 1).alias("rule_id"), F.substring_index("item", ":", -1).alias("fingerprint"), "change")
+    late = both.where("late").select("host_id", "collected_at", F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("fingerprint"), F.lit("late").alias("change"))
+    after = both.where("NOT late").withColumn("back", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("collected_at")))).where("back = 1").select(*cols)
+    return changes.union(late), after
+
+
+def keep_last(batch: DataFrame, number: int, out: str, kept: str, keep_days: int = 90) -> None:
+    """AGG-19 on a stream of many hosts, for ``foreachBatch``: changes go to ``out`` and the last snapshots to ``kept``, in a folder of the batch, so that a batch that is run again writes over what it wrote."""
+    spark, jvm = batch.sparkSession, batch.sparkSession._jvm
+    root = jvm.org.apache.hadoop.fs.Path(kept)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = max((n for x in (files.listStatus(root) if files.exists(root) else ()) if (n := int(x.getPath().getName().split("=")[1])) < number), default=None)
+    last = spark.createDataFrame([], LAST) if before is None else spark.read.schema(LAST).parquet(f"{kept}/batch={before:010}")
+    changes, after = compare_last(batch, last, keep_days)
+    sinks.write_updates(changes, number, out)
+    sinks.write_updates(after, number, kept)
