@@ -72,7 +72,7 @@ def assess(
     if depth is not None:
         tables = {**tables, "hosts": tables["hosts"].withColumn("depth", F.least("depth", F.lit(depth)))}
     catalogue = rules.metadata(tables["hosts"].sparkSession).where(F.col("rule_id").isin(chosen))
-    found = report.at_least(engine.build(engine.evaluate(tables, chosen), catalogue), min_severity)
+    found = report.at_least(engine.find(tables, catalogue, chosen), min_severity)
     if registry is not None:
         hosts = tables["hosts"]
         bare = hosts.where(engine.needs_privilege(F.lit(next(iter(engine.NEED_PRIVILEGE))), F.col("platform"), F.col("privileged") if "privileged" in hosts.columns else F.lit(False))).select(F.col("host_id").alias("bare"))
