@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.secrets import redact_attributes
-from ..plans.lineage import drop_stored, stored
+from ..plans.lineage import DIGESTS_PLAIN, drop_stored, stored
 from ..plans.numbering import number_rows
 
 
@@ -75,7 +75,7 @@ def write_table(df: DataFrame, folder: str, collected_date: Column, assessment:
     """SNK-02: Parquet, partitioned by the day of collection and the assessment. Written again it replaces its own partitions."""
     _own_folder(folder, assessment)
     dated = df.withColumns({"collected_date": F.to_date(collected_date), "assessment": F.lit(assessment)})
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collected_date", "assessment").parquet(folder)
+    dated.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **DIGESTS_PLAIN).partitionBy("collected_date", "assessment").parquet(folder)
 
 
 def write_updates(df: DataFrame, batch: int, folder: str) -> None:
