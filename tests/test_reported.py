@@ -147,3 +147,16 @@ def test_no_dictionary_of_digests_is_begun(spark, tmp_path):
         chunks = [pq.ParquetFile(file).metadata.row_group(0).column(n) for n in range(4)]
         assert {x.path_in_schema for x in chunks if any("DICTIONARY" in e for e in x.encodings)} & {"rule_id", "dedupe_key", "fingerprint"} == {"rule_id"}
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path)).select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_attributes_are_tested_one_by_one_only_where_a_text_tells(spark):
+    """The same as a test of every entry: one telling entry per row, none, null and empty ones."""
+    key, shape = ["AKIA" + "A" * 16, "Bearer: abcdefgh1", "a -----BEGIN CERTIFICATE-----", "x", "", None], [*secrets.KEY_PREFIXES, *[f"x{p.upper()}" for p in secrets.KEY_PARTS], "port"]
+    values = [*key, *[p + "x" for p in secrets.VALUE_PREFIXES], *[f"my {t}=abcdefgh1" for t in secrets.ASSIGNED], *[f"see {t}" for texts, _ in secrets.VALUE_SHAPES for t in texts]]
+    rows = [({"port": "1", n: v},) for n in ("port2", *shape) for v in values] + [({},), (None,)]
+    df = spark.createDataFrame(rows, "a map<string,string>")
+    plain = F.transform_values("a", lambda k, v: F.when(secrets.secret_key_name(k) | secrets.secret_shaped(v), secrets.REDACTED).otherwise(v))
+    made = df.select("a", secrets.redact_attributes(F.col("a")).alias("x"), plain.alias("y"))
+    got = made.collect()
+    assert all(r.x == r.y for r in got) and any(r.x != r.a for r in got) and any(r.a and r.x == r.a for r in got)
+    assert "CASE WHEN" in (plan := made.select("x")._jdf.queryExecution().optimizedPlan().toString()) and plan.index("Contains(lower(concat_ws(") < plan.index("transform_values(")
