@@ -53,6 +53,16 @@ def _faults(path: str, held: Column, fields: dict[str, str]) -> Column:
     return F.coalesce(F.array_compact(F.transform(F.map_entries(held), fault)), F.array().cast("array<string>"))
 
 
+def _sound() -> str:
+    """A pattern of what ``schema_of_variant`` tells of a snapshot without any of the faults that ``_all_faults`` knows. Types of an array's elements are told as one, which is among these only if each of them is."""
+    kinds = _SHAPES | {"array<string>": "ARRAY<(?:STRING|VOID)>", "map<string,string>": r"OBJECT<(?:\w++: (?:STRING|VOID)(?:, |(?=>)))*+>"}
+    held = lambda fields: "OBJECT<(?:(?:" + "|".join(f"{name}: (?:{kind}|VOID)" for name, kind in fields.items()) + ")(?:, |(?=>)))*+>"
+    typed = lambda ddl: held({name: kinds[kind] for name, kind in _fields(ddl).items()})
+    rows = {name: f"ARRAY<(?:{typed(ddl)}|VOID)>" for name, ddl in ENTITIES.items()}
+    shot = held({"target": typed(TARGET), "env": typed(ENV), "collected_at": "STRING", "depth": "BIGINT"} | rows)
+    return "^" + held(dict.fromkeys(("schema", "name", "description"), "STRING") | {"snapshot": shot}) + "$"
+
+
 def _all_faults(v: Column) -> Column:
     """Faults of a whole snapshot, the outermost first."""
     held = lambda path, kind=_OBJECT: F.try_variant_get(v, path, kind)
@@ -82,7 +92,8 @@ def load(spark: SparkSession, folder: str, lines: bool = False, most_bytes: int
     if lines:
         text = spark.read.text(folder).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.octet_length("value").cast("long").alias("bytes"), "value")
         if parts:
-            text = text.withColumns({"part_of": F.substring_index("value", "\t", 1), "value": F.regexp_extract("value", r"(?s)^[^\t]*\t(.*)$", 1)})
+            tab = F.instr("value", "\t")
+            text = text.withColumns({"part_of": F.substring_index("value", "\t", 1), "value": F.when(tab > 0, F.substr("value", tab + 1)).otherwise("")})
         text = text.withColumn("value", F.when(F.col("bytes") <= most_bytes, F.col("value")))
     else:  # this source reads no content of files that its filter on the length leaves out
         files = spark.read.format("binaryFile").load(folder)
@@ -90,10 +101,10 @@ def load(spark: SparkSession, folder: str, lines: bool = False, most_bytes: int
         text = listed(files.where(F.col("length") <= most_bytes), F.col("content")).union(listed(files.where(F.col("length") > most_bytes), F.lit(None)))
     text = text.withColumn("value", F.make_valid_utf8("value"))
     parsed = text.withColumns({"v": F.try_parse_json("value"), "typed": F.from_json("value", _TYPED, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})})
-    faults = _all_faults(F.col("v"))
+    faults = F.when(F.regexp_like("types", F.lit(_sound())), F.array().cast("array<string>")).otherwise(_all_faults(F.col("v")))  # field by field only where there are any
     reject = (
         F.when(F.col("bytes") > most_bytes, "too large")
-        .when(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT<"), "malformed")
+        .when(F.col("v").isNull() | ~F.col("types").startswith("OBJECT<"), "malformed")
         .when(F.size("faults") > 0, F.try_element_at("faults", F.lit(1)))
         .when(F.col("typed._bad").isNotNull(), "malformed")
         .when(F.coalesce("typed.schema", F.lit("")) != SCHEMA_VERSION, "unknown schema")
@@ -101,7 +112,7 @@ def load(spark: SparkSession, folder: str, lines: bool = False, most_bytes: int
         .when(F.col("typed.snapshot.env").isNull(), "no environment")
         .otherwise("")
     )
-    judged = parsed.withColumn("faults", faults).withColumn("reject", reject)
+    judged = parsed.withColumn("types", F.schema_of_variant("v")).withColumn("faults", faults).withColumn("reject", reject)
     return judged.select("typed.schema", "typed.name", "typed.description", F.when(F.col("reject") == "", F.col("typed.snapshot")).alias("snapshot"), "file", "reject", *(["part_of"] if parts else []))
 
 
@@ -126,15 +137,31 @@ def hosts(loaded: DataFrame) -> DataFrame:
     return with_defaults(ok).withColumns(text | {"container": F.coalesce("container", F.lit(False)), "history_files": F.coalesce("history_files", F.array().cast("array<string>"))})
 
 
+def _rows_apart(loaded: DataFrame) -> DataFrame:
+    """``loaded`` with a row for each place in the lists of entities, and one at least: ``at`` is the place, from 0 or null, ``e`` has what each entity's list holds there, null where it ends."""
+    def listed(name: str, ddl: str) -> Column:
+        rows, kind = F.col(f"snapshot.{name}"), f"struct<{ddl.replace(' ', ':').replace(',:', ',')}>"
+        empty = F.struct(*[F.lit(None).cast(k).alias(x) for x, k in _fields(ddl).items()])  # a null element is a row whose fields are missing
+        whole = F.when(F.exists(rows, lambda e: e.isNull()), F.transform(rows, lambda e: F.coalesce(e, empty))).otherwise(rows)
+        return F.coalesce(whole, F.array().cast(f"array<{kind}>")).alias(name)
+
+    known = [x for x in ("part_of", "reject") if x in loaded.columns]
+    shot = F.struct(*[F.col(f"snapshot.{x}") for x in ("target", "env", "collected_at", "depth")]).alias("snapshot")
+    lists = loaded.select(*known, shot, *[listed(name, ddl) for name, ddl in ENTITIES.items()])
+    return lists.select(*known, "snapshot", F.posexplode_outer(F.arrays_zip(*ENTITIES)).alias("at", "e"))
+
+
 def entities(loaded: DataFrame) -> dict[str, DataFrame]:
-    """SRC-03: a table per entity, keyed by host. Missing texts are empty, missing flags false, missing numbers 0; only times stay null. The snapshots are parsed once for all tables."""
-    ok = stored(loaded)  # a table reads its own columns of it
+    """SRC-03: a table per entity, keyed by host. Missing texts are empty, missing flags false, missing numbers 0; only times stay null. The snapshots are parsed once for all tables, and kept as rows of
+    entities, since lists would be read some thousand at a time."""
+    ok = stored(_rows_apart(loaded))  # a table reads its own columns of it
     if "part_of" in loaded.columns:
-        ok = ok.join(ok.where("reject <> ''").select("part_of").distinct(), "part_of", "left_anti")
+        ok = ok.join(stored(ok.where("reject <> ''").select("part_of").distinct()), "part_of", "left_anti")  # stored, so that Spark knows its size
     ok = ok.where("reject = ''")
-    out = {"hosts": hosts(ok).distinct() if "part_of" in loaded.columns else hosts(ok)}
+    first = ok.where("coalesce(at, 0) = 0")
+    out = {"hosts": hosts(first).distinct() if "part_of" in loaded.columns else hosts(first)}
     for name in ENTITIES:
-        rows = ok.select(F.col("snapshot.target.id").alias("host_id"), F.explode(f"snapshot.{name}").alias("e")).select("host_id", "e.*")
+        rows = ok.where(F.col(f"e.{name}").isNotNull()).select(F.col("snapshot.target.id").alias("host_id"), f"e.{name}.*")
         fill = {"string": F.lit(""), "boolean": F.lit(False), "int": F.lit(0), "bigint": F.lit(0)}
         out[name] = rows.withColumns({c: F.coalesce(c, fill[k].cast(k)) for c, k in rows.dtypes if k in fill and c != "host_id"} | {c: F.coalesce(c, F.create_map().cast(k)) for c, k in rows.dtypes if k.startswith("map")})
     return out

@@ -179,3 +179,27 @@ def test_reports_are_written_from_one_copy_and_compressed(spark, tmp_path):
     assert len(files) > 5 and all(x.name.endswith(".gz") for x in files)
     got = {name: sorted((r.host_id, r.part, r.place, sorted(json.loads(r.body).items(), key=str)) for r in sinks.read_rows(spark, str(tmp_path)).where(F.col("assessment") == name).collect()) for name in ("text", "variant")}
     assert got["text"] == got["variant"] and len(got["text"]) == 40 and ("attributes", {"k": "<redacted>", "port": None}) in got["text"][0][3]
+
+
+def test_faults_are_looked_for_field_by_field_only_where_there_are_any(spark, tmp_path):
+    """What is told of the types as a whole decides as the fields do: mixed, missing, null, empty and odd ones."""
+    rows = ['[]', '[null]', '[{}]', '[{"name":"a"},{"name":null,"groups":[]},null]', '[{"name":"a"},{"name":1}]', '[{"groups":["x",null]},{"groups":null}]', '[{"groups":["x",1]}]', '[{"authorized_keys":1},{"authorized_keys":1.5}]', '[{"authorized_keys":123456789012345678901}]', '[{"nam`e":"x"}]', '[{"name":{}}]', '[1]', '{}', 'null', '[[]]']
+    maps = ['{"a":"b"}', '{"a":null}', '{}', '{"a":{"b":"c"}}', '{"a.b":"c"}', '{"7":"c"}', '{"x y: BIGINT>":"c"}', '{"a":1}', 'null']
+    texts = [f'{{"schema":"1.0","snapshot":{{"env":{{}},"accounts":{x}}}}}' for x in rows] + [f'{{"snapshot":{{"depth":{n},"assets":[{{"attributes":{x}}},{{"attributes":{{"z":"z"}}}}]}}}}' for n, x in enumerate(maps)] + ['{"snapshot":null}', '{}', '{"snapshot":{"target":{"id":1,"zone":"x"}}}']
+    v = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.try_parse_json("t").alias("v"))
+    got = v.select("t", F.regexp_like(F.schema_of_variant("v"), F.lit(snapshots._sound())).alias("sound"), (F.size(snapshots._all_faults(F.col("v"))) == 0).alias("whole")).collect()
+    assert all(r.whole for r in got if r.sound) and {r.t for r in got if r.whole and not r.sound} <= {texts[len(rows) + 4], texts[len(rows) + 5], texts[len(rows) + 6]}
+    assert sum(r.sound for r in got) > 10 and sum(not r.whole for r in got) > 8
+
+
+def test_entities_are_kept_as_rows_and_not_as_lists(spark, tmp_path):
+    """Lists of different lengths, null elements, none at all, and hosts without any; no list is read from what is kept."""
+    shot = '{{"schema":"1.0","name":"f","snapshot":{{"target":{{"id":{},"type":"host"}},"env":{{"platform":"linux"}}{}}}}}'
+    texts = [shot.format(1, ',"accounts":[{"name":"a"},null,{"name":"b","groups":["x",null]}],"sockets":[{"port":1}],"assets":[{"attributes":{"k":"v"}}]'), shot.format(2, ""), shot.format(3, ',"sockets":null,"secrets":[]'), '{"schema":']
+    (tmp_path / "x.txt").write_text("\n".join(texts) + "\n")
+    tables = snapshots.entities(snapshots.load(spark, str(tmp_path), lines=True))
+    assert sorted(r.host_id for r in tables["hosts"].collect()) == [1, 2, 3]
+    assert sorted((r.host_id, r.name, r.groups, r.authorized_keys) for r in tables["accounts"].collect()) == [(1, "", None, 0), (1, "a", None, 0), (1, "b", ["x", None], 0)]
+    assert {name: df.count() for name, df in tables.items() if name not in ("hosts", "accounts")} == {name: int(name in ("sockets", "assets")) for name in snapshots.ENTITIES if name != "accounts"}
+    plan = tables["sockets"]._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "array<struct" not in plan
