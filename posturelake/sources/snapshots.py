@@ -94,7 +94,8 @@ def load(spark: SparkSession, folder: str, lines: bool = False, most_bytes: int
         if parts:
             tab = F.instr("value", "\t")
             text = text.withColumns({"part_of": F.substring_index("value", "\t", 1), "value": F.when(tab > 0, F.substr("value", tab + 1)).otherwise("")})
-        text = text.withColumn("value", F.when(F.col("bytes") <= most_bytes, F.col("value")))
+        text = text.withColumns({"value": F.when(F.col("bytes") <= most_bytes, F.col("value")), "deal": F.xxhash64("value")})
+        text = text.hint("rebalance", "deal").drop("deal")  # a compressed file is one task's, and some MB of it are hundreds of MB to parse
     else:  # this source reads no content of files that its filter on the length leaves out
         files = spark.read.format("binaryFile").load(folder)
         listed = lambda rows, value: rows.select(F.col("path").alias("file"), F.col("length").alias("bytes"), value.cast("string").alias("value"))

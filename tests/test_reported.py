@@ -203,3 +203,18 @@ def test_entities_are_kept_as_rows_and_not_as_lists(spark, tmp_path):
     assert {name: df.count() for name, df in tables.items() if name not in ("hosts", "accounts")} == {name: int(name in ("sockets", "assets")) for name in snapshots.ENTITIES if name != "accounts"}
     plan = tables["sockets"]._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and "array<struct" not in plan
+
+
+def test_lines_of_one_compressed_file_are_parsed_by_many_tasks(spark, tmp_path):
+    shot = """'{"schema":"1.0","name":"' || sha2(string(id), 256) || '","snapshot":{"target":{"id":' || id || ',"type":"host"},"env":{}}}' AS value"""
+    spark.range(0, 300, 1, 1).selectExpr(shot).write.option("compression", "gzip").text(str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*.gz"))) == 1
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        for k in old:
+            spark.conf.set(k, "1k")
+        loaded = snapshots.load(spark, str(tmp_path / "in"), lines=True).select("name", "reject", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert len({r.name for r in loaded}) == 300 and {r.reject for r in loaded} == {""} and len({r.task for r in loaded}) >= 4
