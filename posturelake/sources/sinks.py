@@ -95,7 +95,8 @@ def write_table(df: DataFrame, folder: str, collected_date: Column, assessment:
 
 def write_updates(df: DataFrame, batch: int, folder: str) -> None:
     """What one batch of a stream in update mode tells; for ``foreachBatch``. A batch that is run again writes over what it wrote, so that it counts once."""
-    df.write.mode("overwrite").parquet(f"{folder}/batch={batch:010}")
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").options(compression="zstd", **DIGESTS_PLAIN).parquet(f"{folder}/batch={batch:010}")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
